@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gristmill.functions.site import SITE_SQL
-from gristmill.llm import line_templates, mixing, packing, term_bitmaps
+from gristmill.llm import line_templates, mixing, packing, prose, reading, residue, spam, term_bitmaps
 from gristmill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,47 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).where("mark is not null").select("term")
 
 
+def _common(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+    return prose.stop_words(table(spark, sf_dir, "stop_words"))
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.scored(table(spark, sf_dir, "documents"), _common(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_scores(spark, sf_dir).where("p_spam >= 0.5").select("doc_id")
+
+
+def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents failing the deciding rule, with the spam pages and without residue."""
+    failed = p5_stats(spark, sf_dir).where(F.array_contains("reasons", "mostly_outside_sentences")).select("doc_id")
+    both = failed.union(p3_found(spark, sf_dir)).distinct()
+    return both.join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+def p7_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_residue(spark, sf_dir).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.with_level(documents, reading.fit(documents, table(spark, sf_dir, "reading_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = p10_levels(spark, sf_dir).where("level = 5 and english").select("doc_id")
+    return hard.join(p5_found(spark, sf_dir), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
@@ -46,7 +88,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-BLANKS_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0B}]+"
+BLANKS_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+"
 
 LINES_SQL = rf"""
 lines AS (
@@ -86,10 +128,18 @@ def queries() -> dict[str, Query]:
         "p1_clean": p1_clean,
         "p2_found": p2_found,
         "p2_terms": p2_terms,
+        "p3_found": p3_found,
+        "p3_scores": p3_scores,
+        "p5_found": p5_found,
+        "p5_stats": p5_stats,
+        "p7_found": p7_found,
+        "p7_residue": p7_residue,
         "p8_pack": p8_pack,
         "p8_report": p8_report,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_levels": p10_levels,
     }
 
 

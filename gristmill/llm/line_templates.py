@@ -1,11 +1,10 @@
 """Problem 1: lines repeated across one site's documents.
 
 Lines are parsed into templates: letter case and white space are folded and each run of
-digits becomes a wildcard slot. The templates of a site form a tree of fixed depth, whose
-levels are the site, the number of tokens and the first ``depth`` tokens; a leaf holds the
-full template. The tree is kept as a table of paths, so a partial aggregation builds the
-tree of one partition and the shuffle merges the trees. Templates that cover enough of a
-site's documents are joined back to the lines, and can be removed from the texts.
+digits becomes a wildcard slot. Each partition grows trees of fixed depth (site, number of
+tokens, first tokens; a leaf is a full template) and counts documents at the leaves; equal
+leaves of all partitions are merged. Templates that cover enough of a site's documents are
+joined back to the lines, and can be removed from the texts.
 
 Null or blank texts hold no lines but count as documents of their site; rows without a site
 hold no cases; a line without a letter is never a template; lines repeated within a document
@@ -14,64 +13,104 @@ count once for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
 
-#: White space of a line, Unicode blanks and the byte-order mark included.
-BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 SLOT = "0"
-
-
-def template(line: Column) -> Column:
-    """The line with folded case and white space and with wildcard slots for numbers."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), BLANKS, " ")), "[0-9]+", SLOT)
-
-
-def parsed_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, depth: int = 3) -> DataFrame:
-    """One row per line with a letter: tree path, leaf key, line number, and whether it is the
-    first line of its template in the document.
-
-    The leaf key is a 128-bit hash of the template, so the shuffles carry no text. Firsts are
-    found by sorting within the document, so counting documents needs no distinct.
-    """
-    lines = F.transform(
-        F.split(F.col(text_col), "\n"),
-        lambda line, i: F.struct(template(line).alias("t"), i.cast("int").alias("line_no")),
-    )
-    keyed = F.transform(
-        F.filter(lines, lambda s: s["t"].rlike(r"\p{L}")),
-        lambda s: F.struct(
-            F.xxhash64(s["t"], F.lit(7)).alias("leaf_a"),
-            F.xxhash64(F.lit(13), s["t"]).alias("leaf_b"),
-            s["line_no"].alias("line_no"),
-            F.size(F.split(s["t"], " ")).alias("n_tokens"),
-            F.xxhash64(F.substring_index(s["t"], " ", depth)).alias("branch"),
-        ),
-    )
-    docs = df.select(F.col(id_col).alias("_id"), site(F.col(url_col)).alias("_site"), F.array_sort(keyed).alias("s"))
-    docs = docs.where(F.col("_site").isNotNull() & (F.size("s") > 0))
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform("s", lambda x: x["leaf_a"].bitwiseXOR(x["leaf_b"])))
-    docs = docs.select("_id", "_site", F.arrays_zip(F.col("s").alias("s"), F.slice(before, 1, F.size("s")).alias("b")).alias("z"))
-    rows = docs.select("_id", "_site", F.explode("z").alias("z"))
-    return rows.select(
-        "_id",
-        "_site",
-        "z.s.n_tokens",
-        "z.s.branch",
-        "z.s.leaf_a",
-        "z.s.leaf_b",
-        "z.s.line_no",
-        (F.col("z.b").isNull() | (F.col("z.b") != (F.col("z.s.leaf_a").bitwiseXOR(F.col("z.s.leaf_b"))))).alias("first"),
-    )
-
-
-def frequent_templates(parsed: DataFrame, sizes: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """Tree paths whose template covers at least ``min_docs`` documents and ``min_share`` of its site."""
-    path = ["_site", "n_tokens", "branch", "leaf_a", "leaf_b"]
-    merged = parsed.where("first").groupBy(*path).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return merged.join(sizes, "_site").where(F.col("n_docs") >= min_share * F.col("site_docs"))
+_DIGITS = re.compile("[0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: A partition's trees are handed on when they hold so many leaves.
+MAX_LEAVES = 250_000
+
+LEAF = "leaf_a bigint, leaf_b bigint"
+TREE = f"_site string, n_tokens int, branch bigint, {LEAF}, n int"
+
+
+def template_tokens(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Line number and template tokens of each line with a letter."""
+    for i, line in enumerate(_DIGITS.sub(SLOT, text.lower()).split("\n")):
+        if _LETTER.search(line):
+            yield i, line.split()
+
+
+def leaf_key(tokens: list[str]) -> bytes:
+    """128-bit key of a template, so that no shuffle carries text."""
+    return xxhash.xxh3_128_digest(" ".join(tokens).encode())
+
+
+def _keys(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+
+
+def trees(docs: DataFrame, depth: int) -> DataFrame:
+    """Leaves of the trees of each partition (of pieces of it where it is large), with the
+    number of documents of each."""
+
+    def rows(tree: dict) -> pa.RecordBatch:
+        flat = [
+            (s, n, branch, leaf, count)
+            for s, by_length in tree.items()
+            for n, branches in by_length.items()
+            for branch, leaves in branches.items()
+            for leaf, count in leaves.items()
+        ]
+        sites, lengths, branches, leaves, counts = zip(*flat, strict=True)
+        firsts = [int.from_bytes(xxhash.xxh3_64_digest(b.encode()), "little", signed=True) for b in branches]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sites), pa.array(lengths, pa.int32()), pa.array(firsts, pa.int64()), *_keys(leaves), pa.array(counts, pa.int32())],
+            ["_site", "n_tokens", "branch", "leaf_a", "leaf_b", "n"],
+        )
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: dict[str, dict[int, dict[str, dict[bytes, int]]]] = {}
+        held = 0
+        for batch in batches:
+            for host, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen = {}
+                for _, tokens in template_tokens(text):
+                    seen.setdefault(leaf_key(tokens), tokens)
+                by_length = tree.setdefault(host, {})
+                for key, tokens in seen.items():
+                    leaves = by_length.setdefault(len(tokens), {}).setdefault(" ".join(tokens[:depth]), {})
+                    leaves[key] = leaves.get(key, 0) + 1
+                held += len(seen)
+                if held > MAX_LEAVES:
+                    yield rows(tree)
+                    tree, held = {}, 0
+        if held:
+            yield rows(tree)
+
+    return docs.mapInArrow(grow, TREE)
+
+
+def keyed_lines(docs: DataFrame, id_type: str) -> DataFrame:
+    """(_id, _site, line_no, leaf) of every line with a letter."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, numbers, digests = [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                for i, tokens in template_tokens(text):
+                    owner.append(row)
+                    numbers.append(i)
+                    digests.append(leaf_key(tokens))
+            if owner:
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), *_keys(digests)],
+                    ["_id", "_site", "line_no", "leaf_a", "leaf_b"],
+                )
+
+    return docs.mapInArrow(parse, f"_id {id_type}, _site string, line_no int, {LEAF}")
 
 
 def repeated_lines(
@@ -88,15 +127,15 @@ def repeated_lines(
     Lines meet the frequent templates by an equality join: Spark broadcasts the templates
     only below its checked threshold, and splits the partitions of a hot site otherwise.
     """
-    sizes = (
-        df.select(site(F.col(url_col)).alias("_site"))
-        .where(F.col("_site").isNotNull())
-        .groupBy("_site")
-        .agg(F.count("*").alias("site_docs"))
-    )
-    parsed = parsed_lines(df, id_col, text_col, url_col, depth)
-    frequent = frequent_templates(parsed, sizes, min_docs, min_share).select("_site", "leaf_a", "leaf_b")
-    return parsed.join(frequent, ["_site", "leaf_a", "leaf_b"]).select(F.col("_id").alias(id_col), "line_no")
+    keyed = df.withColumn("_site", site(F.col(url_col))).where("_site is not null")
+    sizes = keyed.groupBy("_site").agg(F.count("*").alias("site_docs"))
+    docs = keyed.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), "_site", text_col)
+    path = ["_site", "n_tokens", "branch", "leaf_a", "leaf_b"]
+    merged = trees(docs, depth).groupBy(*path).agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    frequent = merged.join(sizes, "_site").where(F.col("n_docs") >= min_share * F.col("site_docs"))
+    keys = ["_site", "leaf_a", "leaf_b"]
+    lines = keyed_lines(docs, df.schema[id_col].dataType.simpleString())
+    return lines.join(frequent.select(*keys), keys).select(F.col("_id").alias(id_col), "line_no")
 
 
 def without_repeated_lines(df: DataFrame, id_col: str = "log_id", text_col: str = "text", **how) -> DataFrame:
