@@ -24,7 +24,7 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, rng: np.rando
     if depth == 0 or len(y) < 2 * least or node.value in (0.0, 1.0):
         return node
     best, gini = None, 2 * node.value * (1 - node.value) * total - 1e-9
-    for f in rng.choice(x.shape[1], max(1, int(np.ceil(x.shape[1] * 0.5))), replace=False):
+    for f in rng.choice(x.shape[1], max(1, int(np.ceil(x.shape[1] * 0.7))), replace=False):
         order = np.argsort(x[:, f], kind="stable")
         v, yw, ww = x[order, f], (w * y)[order].cumsum(), w[order].cumsum()
         at = np.flatnonzero(v[1:] > v[:-1])
@@ -46,7 +46,7 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, rng: np.rando
     return node
 
 
-def train(x: np.ndarray, y: np.ndarray, n_trees: int = 15, depth: int = 5, seed: int = 5, least: int = 5) -> list[Node]:
+def train(x: np.ndarray, y: np.ndarray, n_trees: int = 20, depth: int = 7, seed: int = 5, least: int = 5) -> list[Node]:
     """Trees on bootstrap samples; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     w = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))

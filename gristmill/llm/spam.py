@@ -34,7 +34,7 @@ PRICE = re.compile(r"(?:[$€£]\s?\d+(?:[.,]\d\d)?|\d+[.,]\d\d\s?(?:EUR|USD|GBP
 ARTICLE = re.compile(r"\b[A-Z]{1,4}-\d{3,7}\b")
 LABEL = re.compile(r"\s*(?:tags?|keywords?|labels?|categories)\s*:", re.I)
 MARK = re.compile(
-    r"^\W*(?:visit|click here|go to|see|more|open|read)\b.{0,5}[:»A-Z]|read more\s*$|\[open\]|\(link\)|»\s*$|^\s*[>›»]\s|^\W*(?:partner|related|useful) (?:sites|links)\W*$",
+    r"^\W*(?:visit|click here|go to|see|more|open|read)\b.{0,5}[:»A-Z]|read more\s*$|\[open\]|\(link\)|»\s*$|^\s*[›»]\s|^\W*(?:partner|related|useful) (?:sites|links)\W*$",
     re.I,
 )
 PART = re.compile(r"\s+[|/·»›•~]+\s+")
@@ -48,10 +48,16 @@ SALES = frozenset(
 FEATURES = [
     "url_share", "url_line_share", "tag_share", "offer_share", "price_line_share", "label_line_share", "mark_line_share", "caption_share",
     "sales_share", "phrase_share", "distinct_share", "common_share", "natural_share", "digit_share",
-    "symbol_share", "words_per_line", "joined_share",
+    "symbol_share", "words_per_line", "joined_share", "evidence",
 ]
 
 
+SIGNS = (
+    "url_share", "url_line_share", "tag_share", "offer_share", "price_line_share", "label_line_share", "mark_line_share",
+    "caption_share", "phrase_share",
+)
+
+
 def features(text: str, common: frozenset[str]) -> list[float]:
     lines, sizes, known = line_words(text, common)
     if len(lines) > 2 and sizes[0] <= 14:
@@ -76,14 +82,14 @@ def features(text: str, common: frozenset[str]) -> list[float]:
             captions += sum(len(p.split()) for p in fit)
     raw = bare.split()
     joined = sum(1 for t in raw if ("-" in t or "_" in t) and len(t) > 8 and sum(p.lower() in SALES for p in re.split("[-_#]", t)))
-    return [
+    found = [
         1 - len("".join(bare.split())) / max(chars, 1),
         sum(1 for x, size, k in zip(lines, sizes, known, strict=True) if k <= 0.2 * size and URL.search(x)) / rows,
         min(1.0, tags / max(len(raw), 1)),
         min(1.0, 6 * (len(PRICE.findall(bare)) + len(ARTICLE.findall(bare))) / n),
         sum(1 for x in lines if PRICE.search(x)) / rows,
         sum(1 for x in lines if LABEL.match(x)) / rows,
-        sum(1 for x in lines if MARK.search(x)) / rows,
+        sum(1 for x, size, k in zip(lines, sizes, known, strict=True) if size <= 12 and k <= 0.4 * size and MARK.search(x)) / rows,
         captions / n,
         sum(map(SALES.__contains__, words)) / total,
         sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
@@ -95,6 +101,10 @@ def features(text: str, common: frozenset[str]) -> list[float]:
         n / rows,
         joined / max(len(raw), 1),
     ]
+    # The strongest single sign of spam: its kinds are many, and each page shows but one or two.
+    signs = dict(zip(FEATURES, found, strict=False))
+    strong = [signs[k] for k in SIGNS] + [min(1.0, 3 * signs["sales_share"]), min(1.0, 3 * signs["joined_share"])]
+    return [*found, max(strong)]
 
 
 def with_features(df: DataFrame, common: frozenset[str], id_col: str, text_col: str, url_col: str) -> DataFrame:
