@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import SITE_SQL
-from gristmill.llm import line_templates, mixing, packing, prose, reading, residue, spam, term_bitmaps
+from gristmill.llm import layout, line_templates, mixing, near_duplicates, packing, prose, reading, residue, spam, term_bitmaps
 from gristmill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_scores(spark, sf_dir).where("p_spam >= 0.5").select("doc_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_pairs(table(spark, sf_dir, "documents"), threshold=0.7, width=3)
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.furniture_lines(table(spark, sf_dir, "pagelog"))
+
+
 def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
 
@@ -90,6 +102,20 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BLANKS_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+"
 
+P4_FOUND = r"""
+WITH f AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS g
+  FROM f WHERE len(w) >= 50),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+k AS (SELECT s.doc_id, s.g FROM s JOIN rare USING (g)),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT x AS doc_id_a, y AS doc_id_b
+FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+WHERE shared >= 0.7 * (p.n + q.n - shared)"""
+
 LINES_SQL = rf"""
 lines AS (
   SELECT log_id, {SITE_SQL.format("fetch_url")} AS site, unnest(string_split(text, chr(10))) AS line,
@@ -130,8 +156,11 @@ def queries() -> dict[str, Query]:
         "p2_terms": p2_terms,
         "p3_found": p3_found,
         "p3_scores": p3_scores,
+        "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p5_found": p5_found,
         "p5_stats": p5_stats,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_residue": p7_residue,
         "p8_pack": p8_pack,
@@ -147,5 +176,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
         "p2_terms": P2_TERMS,
+        "p4_found": P4_FOUND,
         "p2_found": f"SELECT term FROM ({P2_TERMS}) WHERE mark IS NOT NULL",
     }

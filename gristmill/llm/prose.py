@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 BULLET = re.compile(r"\s*(?:[-*•·–▪‣>+]|\d{1,3}[.)])\s")
 END = (".", "!", "?", ".”", "!”", "?”", '."', '!"', '?"', "…", ":", ".)")
+#: Signs that end or part words of a sentence; others, as in "n/a" or "no|yes", do not.
+STOPS = {ord(c): " " for c in ",.!?;:\"()“”„«»¿¡…"}
+#: Lines of program code, whose keywords look like function words.
+CODE = re.compile(r"[{}]|!=|==|->|\+=|= \[|^\s*(?:def|int|return|#define|#include|import|class|//)\b|^\s*//|;\s*/\*")
+#: Common words that also stand in cells of tables.
+CELLS = frozenset(["no", "yes", "n", "a/n"])
 #: Share of function words from which a line counts as natural language.
 NATURAL = 0.2
 
@@ -37,39 +43,43 @@ def stop_words(words: DataFrame) -> frozenset[str]:
     if len(rows) > 100_000:
         raise ValueError("the list of common words is not a small table")
     # A line of a list holding several words, parted by white space, is several words.
-    return frozenset(w for r in rows for w in r.w.split())
+    return frozenset(w for r in rows for w in r.w.split()) - CELLS
 
 
-def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int], list[int]]:
-    """Non-blank lines, and of each the number of words and of common words."""
-    lines, sizes, known = [], [], []
+def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int], list[int], int]:
+    """Non-blank lines, of each the number of words and of common words, and all words of letters."""
+    lines, sizes, known, plain = [], [], [], 0
     for line in text.split("\n"):
         tokens = line.split()
         if tokens:
-            words = WORD.findall(line.lower())
+            words = line.lower().translate(STOPS).split()
             lines.append(line)
             sizes.append(max(len(tokens), len(words)))
-            known.append(sum(map(common.__contains__, words)))
-    return lines, sizes, known
+            known.append(0 if CODE.search(line) else sum(map(common.__contains__, words)))
+            plain += sum(map(str.isalpha, words))
+    return lines, sizes, known, plain
 
 
-def natural_words(sizes: list[int], known: list[int]) -> int:
-    """Words in natural lines: enough common words in the line, or in it and its neighbours."""
-    total, last = 0, len(sizes) - 1
+def natural_lines(sizes: list[int], known: list[int]) -> list[bool]:
+    """Which lines are natural: enough common words in the line, or in it and its neighbours."""
+    flags, last = [k >= NATURAL * n for n, k in zip(sizes, known, strict=True)], len(sizes) - 1
+    if all(flags):
+        return flags
     for i, (n, k) in enumerate(zip(sizes, known, strict=True)):
-        if k >= NATURAL * n:
-            total += n
-        elif n <= 16 and 10 * k >= n and 0 < i < last:
+        if not flags[i] and n <= 16 and 10 * k >= n and 0 < i < last:
             a, b = sizes[i - 1 : i + 2], known[i - 1 : i + 2]
-            if sum(b) >= NATURAL * sum(a) and b[0] and b[2]:
-                total += n
-    return total
+            flags[i] = bool(sum(b) >= NATURAL * sum(a) and b[0] and b[2])
+    return flags
+
+
+def natural_words(sizes: list[int], known: list[int]) -> int:
+    return sum(n for n, flag in zip(sizes, natural_lines(sizes, known), strict=True) if flag)
 
 
 def stats(text: str | None, common: frozenset[str]) -> tuple:
     if not text or text.isspace():
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
-    lines, sizes, known = line_words(text, common)
+    lines, sizes, known, plain = line_words(text, common)
     n, rows = sum(sizes), len(lines)
     if not n:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
@@ -85,7 +95,7 @@ def stats(text: str | None, common: frozenset[str]) -> tuple:
         sum(1 for x in ends if x.endswith(END)) / rows,
         sum(known) / n,
         sum(known),
-        sum(1 for t in tokens if any(map(str.isalpha, t))) / len(tokens),
+        min(1.0, plain / len(tokens)),
         1 - len(set(ends)) / rows,
         natural_words(sizes, known) / n,
     )

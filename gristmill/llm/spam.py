@@ -21,17 +21,20 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
 from gristmill.llm import forest
-from gristmill.llm.prose import WORD, line_words, natural_words
+from gristmill.llm.prose import line_words, natural_lines
 from gristmill.runtime import cut
 
 #: At most so many weakly labelled pages train the trees.
-SAMPLE = 20_000
+SAMPLE = 10_000
 
 URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,9}/\S*", re.I)
 TAG = re.compile(r"(?<!\S)#[\w-]*[^\W\d][\w-]*")
 PRICE = re.compile(r"(?:[$€£]\s?\d+(?:[.,]\d\d)?|\d+[.,]\d\d\s?(?:EUR|USD|GBP|€|\$|£))|\bin stock\b|\bsold out\b|\badd to cart\b", re.I)
 #: Article numbers of products, as "OR-17656".
 ARTICLE = re.compile(r"\b[A-Z]{1,4}-\d{3,7}\b")
+OFFER = re.compile(r"[$€£]|\b(?:EUR|USD|GBP|in stock|sold out|add to cart)\b|\b[A-Z]{1,4}-\d{3}", re.I)
+BARE = re.compile(r"\.[a-z]{2,9}/", re.I)
+DIGIT, DIGITS = re.compile(r"\d"), re.compile(r"\S*\d\S*")
 LABEL = re.compile(r"\s*(?:tags?|keywords?|labels?|categories)\s*:", re.I)
 MARK = re.compile(
     r"^\W*(?:visit|click here|go to|see|more|open|read)\b.{0,5}[:»A-Z]|read more\s*$|\[open\]|\(link\)|»\s*$|^\s*[›»]\s|^\W*(?:partner|related|useful) (?:sites|links)\W*$",
@@ -47,11 +50,8 @@ SALES = frozenset(
 
 FEATURES = [
     "url_share", "url_line_share", "tag_share", "offer_share", "price_line_share", "label_line_share", "mark_line_share", "caption_share",
-    "sales_share", "phrase_share", "distinct_share", "common_share", "natural_share", "digit_share",
-    "symbol_share", "words_per_line", "joined_share", "evidence",
+    "sales_share", "common_share", "natural_share", "phrase_share", "digit_share", "words_per_line", "joined_share", "evidence",
 ]
-
-
 SIGNS = (
     "url_share", "url_line_share", "tag_share", "offer_share", "price_line_share", "label_line_share", "mark_line_share",
     "caption_share", "phrase_share",
@@ -59,47 +59,64 @@ SIGNS = (
 
 
 def features(text: str, common: frozenset[str]) -> list[float]:
-    lines, sizes, known = line_words(text, common)
+    """FEATURES of a text. All but the shares of common and natural words look at the lines
+    that are no natural sentences, and are measured against the whole text."""
+    lines, sizes, known, _ = line_words(text, common)
     if len(lines) > 2 and sizes[0] <= 14:
         lines, sizes, known = lines[1:], sizes[1:], known[1:]
-    n = sum(sizes)
+    n, rows = sum(sizes), len(lines)
     if not n:
         return [0.0] * len(FEATURES)
-    rows, body = len(lines), "\n".join(lines)
-    bare = URL.sub(" ", body)
-    chars = len("".join(body.split()))
-    tags = len(TAG.findall(bare))
-    words = WORD.findall(bare.lower())
-    total = max(len(words), 1)
-    pairs = Counter(
-        a + " " + b for a, b in zip(words, words[1:], strict=False) if a not in common and b not in common
-    )
-    captions = joined = 0
-    for line, size, k in zip(lines, sizes, known, strict=True):
-        parts = PART.split(line.strip())
-        if len(parts) >= 3 and k <= 0.15 * size:
-            fit = [p for p in parts if 2 <= len(p.split()) <= 6 and not any(map(str.isdigit, p))]
-            captions += sum(len(p.split()) for p in fit)
+    natural = natural_lines(sizes, known)
+    rest = [x for x in zip(lines, sizes, known, natural, strict=True) if not x[3]]
+    share = 1 - sum(x[1] for x in rest) / n
+    if not rest:
+        return [0.0] * 9 + [sum(known) / n, share, 0.0, 0.0, n / rows, 0.0, 0.0]
+    body = "\n".join(x[0] for x in rest)
+    urls = offers = url_lines = price_lines = label_lines = mark_lines = captions = joined = tags = 0.0
+    bare = body
+    if "://" in body or "www." in body or BARE.search(body):
+        bare = URL.sub(" ", body)
+        urls = (len("".join(body.split())) - len("".join(bare.split()))) / len("".join(text.split()))
+        url_lines = sum(1 for x in rest if x[2] <= 0.2 * x[1] and URL.search(x[0]))
     raw = bare.split()
-    joined = sum(1 for t in raw if ("-" in t or "_" in t) and len(t) > 8 and sum(p.lower() in SALES for p in re.split("[-_#]", t)))
+    total = max(n, 1)
+    if "#" in bare:
+        tags = len(TAG.findall(bare))
+    if OFFER.search(bare):
+        offers = len(PRICE.findall(bare)) + len(ARTICLE.findall(bare))
+        price_lines = sum(1 for x in rest if PRICE.search(x[0]))
+    for line, size, k, _ in rest:
+        if ":" in line and LABEL.match(line):
+            label_lines += 1
+        if size <= 12 and k <= 0.4 * size and MARK.search(line):
+            mark_lines += 1
+        if k <= 0.15 * size:
+            parts = PART.split(line.strip())
+            if len(parts) >= 3:
+                captions += sum(m for p in parts if 2 <= (m := len(p.split())) <= 6 and not DIGIT.search(p))
+    # Phrases are of neighbouring plain words: tokens with digits or signs inside part them.
+    low = [x.strip(",.;:!?\"'()*-") for x in bare.lower().split()]
+    plain = [t if t.isalpha() and t not in common else "" for t in low]
+    pairs = Counter(a + " " + b for a, b in zip(plain, plain[1:], strict=False) if a and b)
+    if "-" in bare or "_" in bare:
+        joined = sum(1 for t in raw if ("-" in t or "_" in t) and len(t) > 8 and not SALES.isdisjoint(re.split("[-_#]", t.lower())))
     found = [
-        1 - len("".join(bare.split())) / max(chars, 1),
-        sum(1 for x, size, k in zip(lines, sizes, known, strict=True) if k <= 0.2 * size and URL.search(x)) / rows,
-        min(1.0, tags / max(len(raw), 1)),
-        min(1.0, 6 * (len(PRICE.findall(bare)) + len(ARTICLE.findall(bare))) / n),
-        sum(1 for x in lines if PRICE.search(x)) / rows,
-        sum(1 for x in lines if LABEL.match(x)) / rows,
-        sum(1 for x, size, k in zip(lines, sizes, known, strict=True) if size <= 12 and k <= 0.4 * size and MARK.search(x)) / rows,
+        urls,
+        url_lines / rows,
+        tags / total,
+        min(1.0, 6 * offers / n),
+        price_lines / rows,
+        label_lines / rows,
+        mark_lines / rows,
         captions / n,
-        sum(map(SALES.__contains__, words)) / total,
-        sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
-        len(set(words)) / total,
+        sum(map(SALES.__contains__, low)) / total,
         sum(known) / n,
-        natural_words(sizes, known) / n,
-        sum(1 for t in raw if any(map(str.isdigit, t))) / max(len(raw), 1),
-        sum(1 for t in raw if not any(map(str.isalnum, t))) / max(len(raw), 1),
+        share,
+        sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
+        len(DIGITS.findall(bare)) / total,
         n / rows,
-        joined / max(len(raw), 1),
+        joined / total,
     ]
     # The strongest single sign of spam: its kinds are many, and each page shows but one or two.
     signs = dict(zip(FEATURES, found, strict=False))
