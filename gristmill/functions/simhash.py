@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 
 import numpy as np
@@ -80,10 +81,39 @@ def blocks(value: Column, distance_bits: int = 3) -> Column:
 def from_unsigned(value: Column) -> Column:
     """Unsigned decimal(20,0) to the signed 64-bit value of the same bits."""
     text = value.cast("decimal(20,0)")
-    wrapped = text - F.lit(1 << 64).cast("decimal(20,0)")
-    return F.when(text >= F.lit(1 << 63).cast("decimal(20,0)"), wrapped.cast("bigint")).otherwise(text.cast("bigint"))
+    wrapped = text - F.lit(Decimal(1 << 64))
+    return F.when(text >= F.lit(Decimal(1 << 63)), wrapped.cast("bigint")).otherwise(text.cast("bigint"))
 
 
 def to_unsigned(value: Column) -> Column:
     wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, (wide + F.lit(1 << 64).cast("decimal(21,0)")).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(value < 0, (wide + F.lit(Decimal(1 << 64))).cast("decimal(20,0)")).otherwise(wide)
+
+
+def _bits(value: Column, low: int, high: int) -> Column:
+    shifted = F.shiftrightunsigned(value, low) if low else value
+    return shifted if high - low == 64 else shifted.bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+
+def table_keys(value: Column, k: int = 3) -> Column:
+    """Array of (block, bits, part, rest): keys under which two values within distance k meet.
+
+    Of k + 1 blocks at least one agrees; of k + 1 parts of the other bits again at least one
+    does. Both together key (k + 1)**2 tables of far more bits than one block has.
+    """
+    n, keys = k + 1, []
+    for b in range(n):
+        low, high = round(64 * b / n), round(64 * (b + 1) / n)
+        above = F.shiftleft(F.shiftrightunsigned(value, high), low) if high < 64 else F.lit(0).cast("bigint")
+        other = above.bitwiseOR(_bits(value, 0, low)) if low else above
+        room = 64 - (high - low)
+        for p in range(n):
+            keys.append(
+                F.struct(
+                    F.lit(b).alias("block"),
+                    _bits(value, low, high).alias("bits"),
+                    F.lit(p).alias("part"),
+                    _bits(other, round(room * p / n), round(room * (p + 1) / n)).alias("rest"),
+                )
+            )
+    return F.array(*keys)
