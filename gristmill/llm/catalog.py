@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.site import SITE_SQL
 from gristmill.llm import layout, line_templates, mixing, near_duplicates, packing, prose, reading, residue, spam, term_bitmaps
-from gristmill.runtime import table
+from gristmill.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,7 @@ def _common(spark: SparkSession, sf_dir: str) -> frozenset[str]:
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.scored(table(spark, sf_dir, "documents"), _common(spark, sf_dir))
+    return spam.scored(cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,18 @@ def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
 
 
+def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents failing the deciding rule of text quality, and spam pages."""
+    measured = cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), with_stats=True))
+    failed = prose.with_reasons(measured.drop("natural_share").withColumnRenamed("natural_share_all", "natural_share"))
+    failed = failed.where(F.array_contains("reasons", "mostly_outside_sentences")).select("doc_id")
+    spams = spam.scored(measured).where("p_spam >= 0.5").select("doc_id")
+    return failed.union(spams).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents failing the deciding rule, with the spam pages and without residue."""
-    failed = p5_stats(spark, sf_dir).where(F.array_contains("reasons", "mostly_outside_sentences")).select("doc_id")
-    both = failed.union(p3_found(spark, sf_dir)).distinct()
-    return both.join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    return _outside(spark, sf_dir).join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p7_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +88,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = p10_levels(spark, sf_dir).where("level = 5 and english").select("doc_id")
-    return hard.join(p5_found(spark, sf_dir), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    return hard.join(_outside(spark, sf_dir), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

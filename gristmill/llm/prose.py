@@ -23,6 +23,8 @@ BULLET = re.compile(r"\s*(?:[-*•·–▪‣>+]|\d{1,3}[.)])\s")
 END = (".", "!", "?", ".”", "!”", "?”", '."', '!"', '?"', "…", ":", ".)")
 #: Signs that end or part words of a sentence; others, as in "n/a" or "no|yes", do not.
 STOPS = {ord(c): " " for c in ",.!?;:\"()“”„«»¿¡…"}
+#: The same for ASCII texts, as a string, which is faster.
+_ASCII_STOPS = "".join(" " if i in STOPS else chr(i) for i in range(128))
 #: Lines of program code, whose keywords look like function words.
 CODE = re.compile(r"[{}]|!=|==|->|\+=|= \[|^\s*(?:def|int|return|#define|#include|import|class|//)\b|^\s*//|;\s*/\*")
 #: Common words that also stand in cells of tables.
@@ -48,14 +50,18 @@ def stop_words(words: DataFrame) -> frozenset[str]:
 
 def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int], list[int], int]:
     """Non-blank lines, of each the number of words and of common words, and all words of letters."""
-    lines, sizes, known, plain = [], [], [], 0
-    for line in text.split("\n"):
-        tokens = line.split()
-        if tokens:
-            words = line.lower().translate(STOPS).split()
+    low = text.lower()
+    low = low.translate(_ASCII_STOPS if low.isascii() else STOPS)
+    lines, sizes, known, plain, has = [], [], [], 0, common.__contains__
+    for line, row in zip(text.split("\n"), low.split("\n"), strict=False):
+        words = row.split()
+        if words:
+            k = sum(map(has, words))
+            if k and CODE.search(line):
+                k = 0
             lines.append(line)
-            sizes.append(max(len(tokens), len(words)))
-            known.append(0 if CODE.search(line) else sum(map(common.__contains__, words)))
+            sizes.append(len(words))
+            known.append(k)
             plain += sum(map(str.isalpha, words))
     return lines, sizes, known, plain
 
@@ -76,10 +82,11 @@ def natural_words(sizes: list[int], known: list[int]) -> int:
     return sum(n for n, flag in zip(sizes, natural_lines(sizes, known), strict=True) if flag)
 
 
-def stats(text: str | None, common: frozenset[str]) -> tuple:
+def stats(text: str | None, common: frozenset[str], parts: tuple | None = None) -> tuple:
+    """STATS of a text; ``parts``: its line_words, where they are already known."""
     if not text or text.isspace():
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
-    lines, sizes, known, plain = line_words(text, common)
+    lines, sizes, known, plain = parts or line_words(text, common)
     n, rows = sum(sizes), len(lines)
     if not n:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
@@ -88,7 +95,7 @@ def stats(text: str | None, common: frozenset[str]) -> tuple:
     ends = [x.rstrip() for x in lines]
     return (
         n,
-        sum(map(len, tokens)) / len(tokens),
+        len("".join(tokens)) / len(tokens),
         symbols / n,
         sum(1 for x in lines if BULLET.match(x)) / rows,
         sum(1 for x in ends if x.endswith(("...", "…"))) / rows,

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
-from gristmill.llm import forest
+from gristmill.llm import forest, prose
 from gristmill.llm.prose import line_words, natural_lines
 from gristmill.runtime import cut
 
@@ -58,10 +58,10 @@ SIGNS = (
 )
 
 
-def features(text: str, common: frozenset[str]) -> list[float]:
+def features(text: str, common: frozenset[str], parts: tuple | None = None) -> list[float]:
     """FEATURES of a text. All but the shares of common and natural words look at the lines
     that are no natural sentences, and are measured against the whole text."""
-    lines, sizes, known, _ = line_words(text, common)
+    lines, sizes, known, _ = parts or line_words(text, common)
     if len(lines) > 2 and sizes[0] <= 14:
         lines, sizes, known = lines[1:], sizes[1:], known[1:]
     n, rows = sum(sizes), len(lines)
@@ -124,19 +124,28 @@ def features(text: str, common: frozenset[str]) -> list[float]:
     return [*found, max(strong)]
 
 
-def with_features(df: DataFrame, common: frozenset[str], id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """id, site and FEATURES of every document with text."""
+def with_features(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", url_col: str = "fetch_url", with_stats: bool = False) -> DataFrame:
+    """id, site and FEATURES of every document with text; on demand with its quality statistics
+    (``prose.STATS``), as both come from the same look at its lines."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, common) for t in batch.column(2).to_pylist()]
+            rows, more = [], []
+            for text in batch.column(2).to_pylist():
+                parts = line_words(text, common)
+                rows.append(features(text, common, parts))
+                if with_stats:
+                    more.append(prose.stats(text, common, parts))
             if rows:
                 columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [id_col, "_site", *FEATURES])
+                columns += [pa.array(c) for c in zip(*more, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
 
+    stats = [f"{k}_all {v}" if k in FEATURES else f"{k} {v}" for k, v in map(str.split, prose.STATS.split(", "))] if with_stats else []
+    names = [id_col, "_site", *FEATURES, *(x.split()[0] for x in stats)]
     source = df.where(F.trim(F.col(text_col)) != "").select(id_col, site(F.col(url_col)).alias("_site"), text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(measure, f"`{id_col}` {kind}, _site string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), *stats]))
 
 
 def weak_label() -> Column:
@@ -175,22 +184,12 @@ def train(measured: DataFrame, sample: int = SAMPLE) -> list[forest.Node]:
     return forest.train(x, y)
 
 
-def scored(
-    df: DataFrame,
-    common: frozenset[str],
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    url_col: str = "fetch_url",
-    smoothing: float = 0.4,
-    prior_pages: float = 20.0,
-    sample: int = SAMPLE,
-) -> DataFrame:
-    """id, site, p_page, host_rate, p_spam of every document with text.
+def scored(measured: DataFrame, id_col: str = "doc_id", smoothing: float = 0.4, prior_pages: float = 20.0, sample: int = SAMPLE) -> DataFrame:
+    """id, site, p_page, host_rate, p_spam of every measured document (``with_features``, cut).
 
     The host's rate is shrunk towards the corpus's by ``prior_pages`` pages, and moves the
     page's log-odds by ``smoothing`` times the difference of their log-odds.
     """
-    measured = cut(with_features(df, common, id_col, text_col, url_col))
     trees = train(measured, sample)
     pages = measured.select(id_col, "_site", forest.vote(trees, FEATURES).alias("p_page"))
     per_host = pages.groupBy("_site").agg(F.sum("p_page").alias("spam"), F.count("*").alias("pages"))
