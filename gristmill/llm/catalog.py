@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import SITE_SQL
-from gristmill.llm import layout, line_templates, mixing, near_duplicates, packing, prose, reading, residue, spam, term_bitmaps
+from gristmill.llm import layout, line_templates, mixing, near_duplicates, packing, prose, reading, render, residue, spam, term_bitmaps
 from gristmill.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.furniture_lines(table(spark, sf_dir, "pagelog"))
 
 
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the log without their furniture lines."""
+    pages = table(spark, sf_dir, "pagelog")
+    drop = p6_found(spark, sf_dir).groupBy("log_id").agg(F.collect_list("line_no").alias("_drop"))
+    joined = pages.select("log_id", "text").join(drop, "log_id", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_drop"), i.cast("int")))
+    return joined.select("log_id", F.array_join(kept, "\n").alias("main_text"))
+
+
+def p6_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of each response's HTML, rendered with its layout."""
+    return render.rendered(table(spark, sf_dir, "responses"), "resp_id", "raw.content", main_only=True)
+
+
 def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
 
@@ -168,6 +182,8 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_stats": p5_stats,
         "p6_found": p6_found,
+        "p6_main_text": p6_main_text,
+        "p6_render": p6_render,
         "p7_found": p7_found,
         "p7_residue": p7_residue,
         "p8_pack": p8_pack,

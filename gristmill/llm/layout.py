@@ -8,8 +8,8 @@ being closed by the first line that cannot belong to it, and the visibility rule
 block that is not the article's.
 
 Evidence from the corpus joins in: labels that stand alone on pages of several sites are menu
-entries, and lines repeated across a site (problem 1) are furniture unless they are of a form
-that articles repeat. Null and blank texts have no lines to drop.
+entries, and short lines that open many pages of one site are its name. Null and blank texts
+have no lines to drop.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
-from gristmill.llm.line_templates import repeated_lines
+from gristmill.runtime import cut
 
+_DIGITS = re.compile("[0-9]+")
 MARKER = re.compile(r"^(?:[-*•›»>·–|]\s+|\d{1,2}[.)]\s+)+")
 #: Openings of furniture lines, whatever follows.
 OPENING = re.compile(
@@ -91,15 +92,19 @@ def title_like(line: str) -> bool:
     return 1 < len(words) <= 14 and line[-1] not in ".!?;,:{}" and not ITEM.search(re.sub(r"\((?:\d+ min read)\)", "", line)) and any(map(str.isalpha, line))
 
 
-def furniture(text: str, host: str | None, menu: frozenset[str]) -> list[int]:
-    """Numbers of the lines that are not of the article."""
+def furniture(text: str, host: str | None, menu: frozenset[str], doubtful: list | None = None) -> list[int]:
+    """Numbers of the lines that are not of the article.
+
+    ``doubtful`` takes (number, folded line) of short lines before the article's first sentence,
+    any of which may be the name of the site.
+    """
     out: list[int] = []
     name = None
     if host:
         labels = [x for x in host.split(".") if len(x) > 2]
         name = labels[0] if labels else None
     aside: list[int] | None = None  # lines of the open teaser list
-    headline = False
+    headline = waiting = False
     crumb_title = None
     for i, raw in enumerate(text.split("\n")):
         line = raw.strip()
@@ -126,6 +131,8 @@ def furniture(text: str, host: str | None, menu: frozenset[str]) -> list[int]:
             kind = "furniture"
         if crumb_title in menu:
             crumb_title = None
+        if kind:
+            waiting = False
         if kind == "furniture":
             if aside:
                 aside = None
@@ -145,7 +152,14 @@ def furniture(text: str, host: str | None, menu: frozenset[str]) -> list[int]:
                 if not text.split("\n")[aside[-1]].rstrip().endswith(("...", "…")) and (BYLINE.match(low) or DATELINE.match(low) or len(words) > 8):
                     out.remove(aside[-1])
             aside = None
-        headline = True
+        # A headline is followed by more of its article, the name of a site by furniture.
+        headline = headline or waiting or len(words) > 8
+        waiting = True
+        if doubtful is not None:
+            if BYLINE.match(low) or DATELINE.match(low) or len(words) > 8:
+                doubtful = None
+            elif len(words) <= 6 and not ITEM.search(bare):
+                doubtful.append((i, _DIGITS.sub("0", low)))
     return sorted(out)
 
 
@@ -171,21 +185,46 @@ def menu_entries(df: DataFrame, text_col: str, url_col: str, min_sites: int, min
 
 
 def furniture_lines(
-    df: DataFrame, id_col: str = "log_id", text_col: str = "text", url_col: str = "fetch_url", min_sites: int = 8, min_rows: int = 12
+    df: DataFrame,
+    id_col: str = "log_id",
+    text_col: str = "text",
+    url_col: str = "fetch_url",
+    min_sites: int = 8,
+    min_rows: int = 12,
+    min_docs: int = 5,
+    min_share: float = 0.02,
 ) -> DataFrame:
-    """(id, line_no) of the non-blank lines that are not part of the page's article."""
+    """(id, line_no) of the non-blank lines that are not part of the page's article.
+
+    A short line before the article that stands there on at least ``min_docs`` pages and
+    ``min_share`` of the pages of its site is the site's name.
+    """
     menu = MENU | menu_entries(df, text_col, url_col, min_sites, min_rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, numbers, texts = [], [], batch.column(2).to_pylist()
+            owner, numbers, keys, texts = [], [], [], batch.column(2).to_pylist()
             for row, (host, text) in enumerate(zip(batch.column(1).to_pylist(), texts, strict=True)):
-                found = furniture(text, host, menu)
-                owner.extend([row] * len(found))
-                numbers.extend(found)
+                doubtful: list[tuple[int, str]] = []
+                found = furniture(text, host, menu, doubtful)
+                both = [(i, None) for i in found] + (doubtful if host else [])
+                owner.extend([row] * len(both))
+                numbers.extend(i for i, _ in both)
+                keys.extend(k for _, k in both)
             if owner:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(numbers, pa.int32())], [id_col, "line_no"])
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.string())],
+                    [id_col, "_site", "line_no", "_key"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.where(F.trim(F.col(text_col)) != "").select(id_col, site(F.col(url_col)).alias("_site"), text_col)
-    return rows.mapInArrow(find, f"`{id_col}` {kind}, line_no int")
+    keyed = df.withColumn("_site", site(F.col(url_col)))
+    rows = keyed.where(F.trim(F.col(text_col)) != "").select(id_col, "_site", text_col)
+    lines = cut(rows.mapInArrow(find, f"`{id_col}` {kind}, _site string, line_no int, _key string"))
+    sizes = keyed.where("_site is not null").groupBy("_site").agg(F.count("*").alias("_pages"))
+    doubtful = lines.where("_key is not null")
+    names = doubtful.groupBy("_site", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).join(sizes, "_site")
+    names = names.where(F.col("_n") >= min_share * F.col("_pages")).select("_site", "_key")
+    sure = lines.where("_key is null").select(id_col, "line_no")
+    return sure.union(doubtful.join(names, ["_site", "_key"], "left_semi").select(id_col, "line_no"))

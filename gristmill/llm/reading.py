@@ -2,10 +2,11 @@
 
 A word's acquisition grade comes from the graded texts: its document rates by band are made
 shares, and the grade is where their running sum, from the easiest band on, passes a small
-part. A document's level is read from quantiles of the grades of its known words; for each
-border between bands, the quantile and the cut that misplace the fewest graded texts are
-chosen. Grades and cuts are fitted on a bounded sample of graded texts; every document is
-then measured over its whole text.
+part. A document is described by quantiles of the grades of its known words, distinct and in
+running text, and by their means. They are calibrated against the graded texts: for each
+border between bands a logistic weighting of the quantiles says whether a text lies above it,
+and the level is the number of borders passed. Grades and weights are fitted on a bounded
+sample of graded texts; every document is then measured over its whole text.
 
 Documents without a known word get no level. A document counts as English if English function
 words outnumber those of each other language. Labels without a document, null bands and
@@ -15,6 +16,7 @@ repeated labels are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +29,10 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Of ASCII texts, words are found by blanking every other sign, which is faster.
 _PLAIN = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
 #: At most so many graded documents fit the model.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: A word needs so many graded documents to have a grade, and the running share that marks it as known.
 MIN_DOCS, KNOWN = 4, 0.2
-QUANTILES = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+QUANTILES = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was on are as with by at from this be or which an were our every each one while",
@@ -44,7 +46,7 @@ WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 @dataclass
 class Model:
     grades: dict[str, float]
-    borders: list[tuple[int, float]]  # per border between neighbouring bands: index of the quantile, cut
+    borders: list[np.ndarray]  # per border between neighbouring bands: constant and weights of the quantiles
     bands: list[int]
 
 
@@ -60,9 +62,18 @@ def is_english(words: list[str]) -> bool:
     return n["en"] > max(n["de"], n["fr"], n["es"])
 
 
+def _spread(grades: list[float]) -> list[float]:
+    grades.sort()
+    last = len(grades) - 1
+    return [grades[round(q * last)] for q in QUANTILES] + [sum(grades) / len(grades)]
+
+
 def quantiles(words: list[str], grades: dict[str, float]) -> list[float] | None:
-    known = sorted(g for g in map(grades.get, set(words)) if g is not None)
-    return [known[round(q * (len(known) - 1))] for q in QUANTILES] if known else None
+    """Quantiles and mean of the grades of the known words, distinct and with repeats."""
+    running = [g for g in map(grades.get, words) if g is not None]
+    if not running:
+        return None
+    return _spread([g for g in map(grades.get, set(words)) if g is not None]) + _spread(running)
 
 
 def acquisition(counts: dict[int, int], sizes: dict[int, int]) -> float:
@@ -77,16 +88,17 @@ def acquisition(counts: dict[int, int], sizes: dict[int, int]) -> float:
     return float(max(sizes))
 
 
-def border(values: np.ndarray, above: np.ndarray) -> tuple[int, float]:
-    """Fewest misplaced texts and the cut that gives them."""
-    order = np.argsort(values, kind="stable")
-    v, up = values[order], above[order]
-    wrong = np.r_[(~up).sum(), (~up).sum() + np.cumsum(np.where(up, 1, -1))]
-    ends = np.r_[True, v[1:] != v[:-1], True]
-    wrong = np.where(ends, wrong, len(v) + 1)
-    i = int(wrong.argmin())
-    cut = v[0] - 1 if i == 0 else v[-1] + 1 if i == len(v) else (v[i - 1] + v[i]) / 2
-    return int(wrong[i]), float(cut)
+def border(x: np.ndarray, above: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Constant and weights of a penalised logistic regression of ``above`` on the quantiles."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[np.ones(len(x)), (x - mean) / spread]
+    w, ridge = np.zeros(z.shape[1]), penalty * np.eye(z.shape[1])
+    ridge[0, 0] = 1e-3
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-6)[:, None]) + ridge, z.T @ (above - p) - ridge @ w)
+    slope = w[1:] / spread
+    return np.r_[w[0] - slope @ mean, slope]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -97,11 +109,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(set(words_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["band", "words"])
+            rows = [list(Counter(words_of(t)).items()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.map_(pa.string(), pa.int32()))], ["band", "words"])
 
     # Bounded by the sample: distinct words of the graded documents only.
-    bags = graded.select("band", text_col).mapInArrow(distinct, "band int, words array<string>").collect()
+    bags = graded.select("band", text_col).mapInArrow(distinct, "band int, words map<string,int>").collect()
     sizes: dict[int, int] = {}
     counts: dict[str, dict[int, int]] = {}
     for bag in bags:
@@ -111,21 +123,22 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             per[bag.band] = per.get(bag.band, 0) + 1
     grades = {w: acquisition(c, sizes) for w, c in counts.items() if sum(c.values()) >= MIN_DOCS}
     bands = sorted(sizes)
-    pairs = [(bag.band, q) for bag in bags if (q := quantiles(bag.words, grades))]
+    pairs = [(bag.band, q) for bag in bags if (q := quantiles([w for w, n in bag.words.items() for _ in range(n)], grades))]
     if not pairs:
         return Model({}, [], bands)
     band, q = np.array([b for b, _ in pairs]), np.array([x for _, x in pairs])
-    borders = []
-    for upper in bands[1:]:
-        best = min((border(q[:, i], band >= upper) + (i,) for i in range(len(QUANTILES))), key=lambda x: x[0])
-        borders.append((best[2], best[1]))
-    return Model(grades, borders, bands)
+    return Model(grades, [border(q, (band >= upper).astype(float)) for upper in bands[1:]], bands)
 
 
-def level(q: list[float] | None, model: Model) -> int | None:
-    if q is None or not model.bands:
-        return None
-    return model.bands[sum(q[i] > cut for i, cut in model.borders)]
+def levels(rows: list[list[float] | None], model: Model) -> list[int | None]:
+    known = [i for i, q in enumerate(rows) if q is not None]
+    out: list[int | None] = [None] * len(rows)
+    if known and model.bands:
+        x = np.array([rows[i] for i in known])
+        passed = sum((w[0] + x @ w[1:] > 0).astype(int) for w in model.borders) if model.borders else np.zeros(len(x), int)
+        for i, n in zip(known, passed.tolist(), strict=True):
+            out[i] = model.bands[n]
+    return out
 
 
 def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,14 +148,14 @@ def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            levels, known, english = [], [], []
+            rows, known, english = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                levels.append(level(quantiles(words, model.grades), model))
+                rows.append(quantiles(words, model.grades))
                 known.append(sum(map(model.grades.__contains__, words)))
                 english.append(is_english(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(levels, pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())],
+                [batch.column(0), pa.array(levels(rows, model), pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())],
                 [id_col, "level", "n_known", "english"],
             )
 
