@@ -60,7 +60,7 @@ SIGNS = (
 
 def features(text: str, common: frozenset[str], parts: tuple | None = None) -> list[float]:
     """FEATURES of a text. All but the shares of common and natural words look at the lines
-    that are no natural sentences, and are measured against the whole text."""
+    that are no natural sentences, and are measured by words against the whole text."""
     lines, sizes, known, _ = parts or line_words(text, common)
     if len(lines) > 2 and sizes[0] <= 14:
         lines, sizes, known = lines[1:], sizes[1:], known[1:]
@@ -78,19 +78,19 @@ def features(text: str, common: frozenset[str], parts: tuple | None = None) -> l
     if "://" in body or "www." in body or BARE.search(body):
         bare = URL.sub(" ", body)
         urls = (len("".join(body.split())) - len("".join(bare.split()))) / len("".join(text.split()))
-        url_lines = sum(1 for x in rest if x[2] <= 0.2 * x[1] and URL.search(x[0]))
+        url_lines = sum(x[1] for x in rest if x[2] <= 0.2 * x[1] and URL.search(x[0]))
     raw = bare.split()
     total = max(n, 1)
     if "#" in bare:
         tags = len(TAG.findall(bare))
     if OFFER.search(bare):
         offers = len(PRICE.findall(bare)) + len(ARTICLE.findall(bare))
-        price_lines = sum(1 for x in rest if PRICE.search(x[0]))
+        price_lines = sum(x[1] for x in rest if PRICE.search(x[0]))
     for line, size, k, _ in rest:
         if ":" in line and LABEL.match(line):
-            label_lines += 1
+            label_lines += size
         if size <= 12 and k <= 0.4 * size and MARK.search(line):
-            mark_lines += 1
+            mark_lines += size
         if k <= 0.15 * size:
             parts = PART.split(line.strip())
             if len(parts) >= 3:
@@ -103,12 +103,12 @@ def features(text: str, common: frozenset[str], parts: tuple | None = None) -> l
         joined = sum(1 for t in raw if ("-" in t or "_" in t) and len(t) > 8 and not SALES.isdisjoint(re.split("[-_#]", t.lower())))
     found = [
         urls,
-        url_lines / rows,
+        url_lines / n,
         tags / total,
         min(1.0, 6 * offers / n),
-        price_lines / rows,
-        label_lines / rows,
-        mark_lines / rows,
+        price_lines / n,
+        label_lines / n,
+        mark_lines / n,
         captions / n,
         sum(map(SALES.__contains__, low)) / total,
         sum(known) / n,
