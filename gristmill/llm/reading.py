@@ -41,6 +41,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de y en un una que para con por del se al es lo pero sin después como más",
 }
 WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: tuple(k for k, v in WORDS_OF.items() if w in v) for w in frozenset().union(*WORDS_OF.values())}
 
 
 @dataclass
@@ -58,8 +59,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def is_english(words: list[str]) -> bool:
-    n = {k: sum(map(v.__contains__, words)) for k, v in WORDS_OF.items()}
-    return n["en"] > max(n["de"], n["fr"], n["es"])
+    n = Counter(map(_LANGUAGES.get, words))
+    said = {k: sum(c for langs, c in n.items() if langs and k in langs) for k in WORDS_OF}
+    return said["en"] > max(said["de"], said["fr"], said["es"])
 
 
 def _spread(grades: list[float]) -> list[float]:
@@ -70,7 +72,10 @@ def _spread(grades: list[float]) -> list[float]:
 
 def quantiles(words: list[str], grades: dict[str, float]) -> list[float] | None:
     """Quantiles and mean of the grades of the known words, distinct and with repeats."""
-    running = [g for g in map(grades.get, words) if g is not None]
+    return _described(words, [g for g in map(grades.get, words) if g is not None], grades)
+
+
+def _described(words: list[str], running: list[float], grades: dict[str, float]) -> list[float] | None:
     if not running:
         return None
     return _spread([g for g in map(grades.get, set(words)) if g is not None]) + _spread(running)
@@ -151,8 +156,9 @@ def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             rows, known, english = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                rows.append(quantiles(words, model.grades))
-                known.append(sum(map(model.grades.__contains__, words)))
+                running = [g for g in map(model.grades.get, words) if g is not None]
+                known.append(len(running))
+                rows.append(_described(words, running, model.grades))
                 english.append(is_english(words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(levels(rows, model), pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())],
