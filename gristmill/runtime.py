@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "gristmill", **conf: str) -> SparkSession:
@@ -49,3 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``key`` and the seed, so alike on every run.
+
+    A first cut by the hash keeps about half as many again as are wanted, so the sort behind the
+    limit sees a bounded number of rows, however many partitions there are.
+    """
+    total = df.count()
+    rank = F.xxhash64(F.lit(seed), F.col(key))
+    if total > 2 * n:
+        parts = 1 << 40
+        df = df.where(F.pmod(rank, F.lit(parts)) < int(parts * min(1.0, (1.5 * n + 100) / total)))
+    return df.orderBy(rank, key).limit(n)
