@@ -25,6 +25,7 @@ from gristmill.functions.site import site
 from gristmill.runtime import cut
 
 _DIGITS = re.compile("[0-9]+")
+_LABEL = re.compile(r"[^\W\d_][^\d_.,;:!?()|]{1,23}$")
 MARKER = re.compile(r"^(?:[-*•›»>·–|]\s+|\d{1,2}[.)]\s+)+")
 #: Openings of furniture lines, whatever follows.
 OPENING = re.compile(
@@ -55,7 +56,7 @@ MENU = frozenset(
     "intranet|wiki|software|software store|downloads|forms|policies|awards|alumni|giving|outreach|partners|photos|gallery|facilities|admissions|undergraduate|graduate|blog|archive|press|media|resources|services|support|overview|academics|"
     "departments|programs|teaching|links|shop|store|subscribe|newsletter|register|imprint|accessibility|privacy".split("|")
 )
-BYLINE = re.compile(r"(?:by|written by|posted by|von|par|por)\s+\S+", re.I)
+BYLINE = re.compile(r"(?:by|written by|posted by|von|par|por)\s+\S+|.{3,60},? (?:staff |senior |guest |freelance )?(?:writer|reporter|correspondent|columnist|editor)$", re.I)
 DATELINE = re.compile(r"^\w+day,? .*\d|^\w+day,? \w+ \d|^\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|^\d{4}-\d\d-\d\d\b|^(?:\d{1,2} )?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w* \d", re.I)
 #: Forms that articles repeat: items of lists, figures, code, table rows.
 ITEM = re.compile(r"\bno\.? \d+|\d+ x |\(\d+\)|, \d+ pcs|^figure \d|^table \d|[;{}]$|[{}]|^#define|\breturn\b|^\S+[,|;\t]|\s[|]\s|\t", re.I)
@@ -95,8 +96,9 @@ def title_like(line: str) -> bool:
 def furniture(text: str, host: str | None, menu: frozenset[str], doubtful: list | None = None) -> list[int]:
     """Numbers of the lines that are not of the article.
 
-    ``doubtful`` takes (number, folded line) of short lines before the article's first sentence,
-    any of which may be the name of the site.
+    ``doubtful`` takes (number, folded line, kind) of other short lines: kind "name" of those
+    before the article's first sentence, any of which may be the name of the site, and kind
+    "label" of those of up to three plain words, which may be menu entries.
     """
     out: list[int] = []
     name = None
@@ -105,6 +107,7 @@ def furniture(text: str, host: str | None, menu: frozenset[str], doubtful: list
         name = labels[0] if labels else None
     aside: list[int] | None = None  # lines of the open teaser list
     headline = waiting = False
+    early = doubtful is not None
     crumb_title = None
     for i, raw in enumerate(text.split("\n")):
         line = raw.strip()
@@ -155,35 +158,16 @@ def furniture(text: str, host: str | None, menu: frozenset[str], doubtful: list
         # A headline is followed by more of its article, the name of a site by furniture.
         headline = headline or waiting or len(words) > 8
         waiting = True
-        if doubtful is not None:
+        if doubtful is not None and len(words) <= 3 and _LABEL.match(low) and not BYLINE.match(low):
+            doubtful.append((i, low, "label"))
+        if early:
             if BYLINE.match(low) or DATELINE.match(low) or len(words) > 8:
-                doubtful = None
+                early = False
             elif len(words) <= 6 and not ITEM.search(bare):
-                doubtful.append((i, _DIGITS.sub("0", low)))
+                doubtful.append((i, _DIGITS.sub("0", low), "name"))
     return sorted(out)
 
 
-def menu_entries(df: DataFrame, text_col: str, url_col: str, min_sites: int, min_rows: int) -> frozenset[str]:
-    """Short lines without digits that stand on pages of many sites; at most 5,000, the commonest.
-
-    A site or a line counts once per page, so the partial aggregates are small; menus are short
-    lists by nature, and entries beyond the bound would only be found by the other rules.
-    """
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"^[-*•›»>·–|\s]+", "")))
-    short = F.array_distinct(F.filter(lines, lambda x: (F.length(x).between(3, 24)) & ~x.rlike(r"[^\p{L} &'-]|\S+ \S+ \S+ \S+")))
-    pages = df.where(F.col(text_col).isNotNull()).select(site(F.col(url_col)).alias("s"), F.explode_outer(short).alias("t"))
-    per_site = pages.where("s is not null and t is not null").groupBy("t", "s").agg(F.count("*").alias("n"))
-    rows = (
-        per_site.groupBy("t")
-        .agg(F.count("*").alias("sites"), F.sum("n").alias("n"))
-        .where((F.col("sites") >= min_sites) & (F.col("n") >= min_rows))
-        .orderBy(F.desc("sites"), "t")
-        .limit(5000)
-        .collect()
-    )
-    return frozenset(r.t for r in rows)
-
-
 def furniture_lines(
     df: DataFrame,
     id_col: str = "log_id",
@@ -197,34 +181,39 @@ def furniture_lines(
     """(id, line_no) of the non-blank lines that are not part of the page's article.
 
     A short line before the article that stands there on at least ``min_docs`` pages and
-    ``min_share`` of the pages of its site is the site's name.
+    ``min_share`` of the pages of its site is the site's name. A label of up to three words on
+    ``min_rows`` pages of ``min_sites`` sites is a menu entry.
     """
-    menu = MENU | menu_entries(df, text_col, url_col, min_sites, min_rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, numbers, keys, texts = [], [], [], batch.column(2).to_pylist()
+            owner, numbers, keys, kinds, texts = [], [], [], [], batch.column(2).to_pylist()
             for row, (host, text) in enumerate(zip(batch.column(1).to_pylist(), texts, strict=True)):
-                doubtful: list[tuple[int, str]] = []
-                found = furniture(text, host, menu, doubtful)
-                both = [(i, None) for i in found] + (doubtful if host else [])
+                doubtful: list[tuple[int, str, str]] = []
+                found = furniture(text, host, MENU, doubtful)
+                both = [(i, None, None) for i in found] + (doubtful if host else [])
                 owner.extend([row] * len(both))
-                numbers.extend(i for i, _ in both)
-                keys.extend(k for _, k in both)
+                numbers.extend(x[0] for x in both)
+                keys.extend(x[1] for x in both)
+                kinds.extend(x[2] for x in both)
             if owner:
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.string())],
-                    [id_col, "_site", "line_no", "_key"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.string()), pa.array(kinds, pa.string())],
+                    [id_col, "_site", "line_no", "_key", "_kind"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
     keyed = df.withColumn("_site", site(F.col(url_col)))
     rows = keyed.where(F.trim(F.col(text_col)) != "").select(id_col, "_site", text_col)
-    lines = cut(rows.mapInArrow(find, f"`{id_col}` {kind}, _site string, line_no int, _key string"))
+    lines = cut(rows.mapInArrow(find, f"`{id_col}` {kind}, _site string, line_no int, _key string, _kind string"))
     sizes = keyed.where("_site is not null").groupBy("_site").agg(F.count("*").alias("_pages"))
-    doubtful = lines.where("_key is not null")
-    names = doubtful.groupBy("_site", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).join(sizes, "_site")
+    per_site = lines.where("_key is not null").groupBy("_kind", "_site", "_key").agg(F.count("*").alias("_n"))
+    names = per_site.where((F.col("_kind") == "name") & (F.col("_n") >= min_docs)).join(sizes, "_site")
     names = names.where(F.col("_n") >= min_share * F.col("_pages")).select("_site", "_key")
-    sure = lines.where("_key is null").select(id_col, "line_no")
-    return sure.union(doubtful.join(names, ["_site", "_key"], "left_semi").select(id_col, "line_no"))
+    labels = per_site.where("_kind = 'label'").groupBy("_key").agg(F.count("*").alias("_sites"), F.sum("_n").alias("_rows"))
+    labels = labels.where((F.col("_sites") >= min_sites) & (F.col("_rows") >= min_rows)).select("_key")
+    of_name = lines.where("_kind = 'name'").join(names, ["_site", "_key"], "left_semi")
+    of_label = lines.where("_kind = 'label'").join(labels, "_key", "left_semi")
+    more = of_name.select(id_col, "line_no").union(of_label.select(id_col, "line_no")).distinct()
+    return lines.where("_key is null").select(id_col, "line_no").union(more)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.runtime import bounded_sample
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Of ASCII texts, words are found by blanking every other sign, which is faster.
 _PLAIN = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
@@ -109,7 +111,7 @@ def border(x: np.ndarray, above: np.ndarray, penalty: float = 1.0, rounds: int =
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Word grades and borders from at most ``sample`` graded documents."""
     told = labels.where("band is not null").groupBy(id_col).agg(F.min("band").alias("band"))
-    told = told.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(sample)
+    told = bounded_sample(told, id_col, sample, seed=11)
     graded = df.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(told), id_col)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.site import site
 from gristmill.llm import forest, prose
 from gristmill.llm.prose import line_words, natural_lines
-from gristmill.runtime import cut
+from gristmill.runtime import bounded_sample
 
 #: At most so many weakly labelled pages train the trees.
 SAMPLE = 10_000
@@ -176,7 +176,7 @@ def train(measured: DataFrame, sample: int = SAMPLE) -> list[forest.Node]:
     labelled = measured.withColumn("label", weak_label()).where("label is not null")
     parts = []
     for label in (1.0, 0.0):
-        chosen = labelled.where(F.col("label") == label).orderBy(F.xxhash64(measured.columns[0], F.lit(3))).limit(sample // 2)
+        chosen = bounded_sample(labelled.where(F.col("label") == label), measured.columns[0], sample // 2, seed=3)
         parts.append(np.array([list(r) for r in chosen.select(*FEATURES).collect()], float).reshape(-1, len(FEATURES)))
     if not len(parts[0]) or not len(parts[1]):
         return []
