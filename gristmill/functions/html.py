@@ -91,7 +91,8 @@ class _Builder(HTMLParser):
 
 
 def decoded(content: bytes | str | None) -> str:
-    """UTF-8, or Latin-1 where that fails; null is empty."""
+    """UTF-8, or Latin-1 where that fails; null is empty. Of UTF-16 pages the zero bytes stay, so
+    they don't look like HTML, but their links are found, as the parser drops them."""
     if content is None:
         return ""
     if isinstance(content, str):

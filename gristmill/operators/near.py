@@ -19,3 +19,21 @@ def near_values(values: DataFrame, column: str = "simhash", k: int = 3) -> DataF
     pairs = keyed.join(keyed.withColumnRenamed("v", "w"), ["block", "bits", "part", "rest"]).where("v < w")
     apart = distance(F.col("v"), F.col("w"))
     return pairs.where(apart <= k).select(F.col("v").alias("value_a"), F.col("w").alias("value_b"), apart.alias("distance")).distinct()
+
+
+def search(queries: DataFrame, index: DataFrame, column: str = "simhash", k: int = 3) -> DataFrame:
+    """``queries`` (all columns) with value, distance and n_entries of every distinct value of the
+    index within distance ``k``; a value's entries may be looked up by it.
+
+    Copies in the index are one value with a count, so hot values cost one row per query. Null
+    values neither ask nor answer.
+    """
+    q, v = queries.where(F.col(column).isNotNull()), index.where(F.col(column).isNotNull())
+    counted = v.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n_entries"))
+    asked = q.select(F.col(column).alias("asked")).distinct()
+    left = asked.select("asked", F.explode(table_keys(F.col("asked"), k)).alias("t")).select("asked", "t.*")
+    right = counted.select("value", F.explode(table_keys(F.col("value"), k)).alias("t")).select("value", "t.*")
+    apart = distance(F.col("asked"), F.col("value"))
+    met = left.join(right, ["block", "bits", "part", "rest"]).where(apart <= k).select("asked", "value", apart.alias("distance")).distinct()
+    found = met.join(counted, "value").withColumnRenamed("asked", column)
+    return q.join(found, column)

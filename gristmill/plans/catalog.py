@@ -11,7 +11,7 @@ from gristmill import conf
 from gristmill.functions import rules, simhash, text, urls
 from gristmill.operators import frontier, near, responses, stats, traps
 from gristmill.plans import crawl, sql
-from gristmill.runtime import table
+from gristmill.runtime import cut, table
 from gristmill.sources import pagelog
 from gristmill.streaming import traps as stream
 
@@ -129,6 +129,13 @@ def near_dup_values(spark, sf_dir):
     return near.near_values(doc_simhash(spark, sf_dir))
 
 
+def near_dup_search(spark, sf_dir):
+    """Of every document whose id is divisible by 20: the SimHash values of all documents within
+    distance 3, and how many documents have each."""
+    prints = cut(doc_simhash(spark, sf_dir))
+    return near.search(prints.where("doc_id % 20 = 0"), prints).select("doc_id", "value", "distance", "n_entries")
+
+
 def near_dup_log_values(spark, sf_dir):
     logged = table(spark, sf_dir, "pagelog").select(simhash.from_unsigned(F.col("simhash")).alias("simhash"))
     return near.near_values(logged)
@@ -199,7 +206,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         subdomain_counts, url_normalize, url_pattern, url_hash, scope_filter, admission_verdict, first_wins_dedup, unique_pages,
         longest_page, largest_pages_top10, word_counts_top50, word_frequencies, response_filter, response_redirects, html_links, html_text,
-        response_events, doc_features, doc_simhash, near_dup_values, near_dup_log_values, low_value_docs, running_error_rate, pattern_bans,
+        response_events, doc_features, doc_simhash, near_dup_values, near_dup_search, near_dup_log_values, low_value_docs, running_error_rate, pattern_bans,
         subtree_bans, enabled_after_bans, streamed_bans, replay_bans, replay_events, frontier_state, frontier_load, frontier_dequeue,
         frontier_enqueue, crawl_rounds,
     )

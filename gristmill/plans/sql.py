@@ -131,16 +131,25 @@ FROM r"""
 
 FEATURES = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _SUMS = " | ".join(f"(CASE WHEN sum(n * (2 * CAST((h >> {b}) & 1 AS INT) - 1)) > 0 THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
-SIMHASH = f"""
-tok AS (SELECT doc_id, unnest({FEATURES}) AS w FROM documents),
-cnt AS (SELECT doc_id, md5_number_upper(w)::UBIGINT AS h, count(*) AS n FROM tok GROUP BY 1, 2),
-hashed AS (SELECT doc_id, {_SUMS} AS u FROM cnt GROUP BY doc_id),
-prints AS (
-  SELECT d.doc_id, coalesce(CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END, 0) AS simhash
-  FROM documents d LEFT JOIN hashed h ON d.doc_id = h.doc_id)
+
+
+def signed(u: str) -> str:
+    return f"CASE WHEN {u} >= 9223372036854775808 THEN ({u}::HUGEINT - 18446744073709551616)::BIGINT ELSE {u}::BIGINT END"
+
+
+def simhashes(of: str, key: str) -> str:
+    """CTEs up to ``prints`` (key, simhash) over key and text of a relation."""
+    return f"""
+tok AS (SELECT {key}, unnest({FEATURES}) AS w FROM {of}),
+cnt AS (SELECT {key}, md5_number_upper(w)::UBIGINT AS h, count(*) AS n FROM tok GROUP BY 1, 2),
+hashed AS (SELECT {key}, {_SUMS} AS u FROM cnt GROUP BY {key}),
+prints AS (SELECT d.{key}, coalesce({signed("u")}, 0) AS simhash FROM {of} d LEFT JOIN hashed h ON d.{key} = h.{key})
 """
 
 
+SIMHASH = simhashes("documents", "doc_id")
+
+
 def near(values: str) -> str:
     return f"""
 v AS (SELECT DISTINCT simhash AS x FROM {values} WHERE simhash IS NOT NULL)
@@ -148,10 +157,7 @@ SELECT a.x AS value_a, b.x AS value_b, CAST(bit_count(xor(a.x, b.x)) AS INT) AS
 FROM v a JOIN v b ON a.x < b.x AND bit_count(xor(a.x, b.x)) <= 3"""
 
 
-LOGGED = """
-logged AS (
-  SELECT CASE WHEN simhash >= 9223372036854775808 THEN (simhash::HUGEINT - 18446744073709551616)::BIGINT ELSE simhash::BIGINT END AS simhash
-  FROM pagelog)"""
+LOGGED = f"logged AS (SELECT {signed('simhash')} AS simhash FROM pagelog)"
 
 T = conf.TrapThresholds()
 EVENTS = f"""
@@ -185,6 +191,65 @@ subs AS (
 """
 
 
+REPLAY = f"""
+named AS ({NORMALIZED}),
+known AS (
+  SELECT m.seq, regexp_replace(m.host, '^www\\.', '') AS host, m.path, m.query, coalesce(m.text, '') AS text, p.bucket_keys, p.simhash AS logged
+  FROM named m JOIN pagelog p ON p.log_id = m.log_id WHERE m.ok),
+unhashed AS (SELECT seq, text FROM known WHERE logged IS NULL AND text <> ''),
+{simhashes("unhashed", "seq")},
+replayed AS (
+  SELECT k.host, unnest(CASE WHEN len(coalesce(k.bucket_keys, [])) > 0 THEN k.bucket_keys ELSE [{path_pattern("k.path")}] END) AS pattern, k.seq,
+         NULL::INT AS status, coalesce({signed("k.logged")}, s.simhash) AS simhash, len({FEATURES.replace("text", "k.text")}) AS n_features,
+         concat('http://', k.host, {dedup_path("k.path")}, CASE WHEN k.query = '' THEN '' ELSE concat('?', k.query) END) AS dedup_key
+  FROM known k LEFT JOIN prints s ON s.seq = k.seq)
+"""
+REPLAY_BANS = f"{REPLAY}, {BANS.replace('FROM trap_events', 'FROM replayed')}"
+
+#: Latin-1 where UTF-8 fails; each byte is its character. Pages in UTF-16 look like HTML only
+#: without their zero bytes, so they have links but no visible text.
+HTML = """
+SELECT resp_id, coalesce(raw.url, url) AS base, raw.content AS c,
+       coalesce(TRY(decode(raw.content)), array_to_string([chr(('0x' || substr(hex(raw.content), 2 * i + 1, 2))::INT) FOR i IN range(octet_length(raw.content))], ''), '') AS html
+FROM responses"""
+_HIDDEN = "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in ("head", "nav", "script", "style", "title", "noscript", "header", "footer", "aside"))
+PAGES = f"""
+checked AS ({RESPONSE_FILTER}),
+pages AS (SELECT h.* FROM ({HTML}) h JOIN checked k ON k.resp_id = h.resp_id WHERE k.outcome = 'page'),
+texts AS (
+  SELECT resp_id, CASE WHEN regexp_matches(lower(substr(html, 1, 8192)), '<html|<body|<!doctype') THEN array_to_string([
+    t FOR t IN [trim(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), chr(9) || chr(10) || chr(13) || ' ') FOR x IN string_split(regexp_replace(regexp_replace(html, '(?is){_HIDDEN}', chr(1), 'g'), '(?s)<!--.*?-->|<[!/a-zA-Z][^>]*>', chr(1), 'g'), chr(1))]
+    IF t <> ''], chr(10)) ELSE '' END AS text
+  FROM pages)
+"""
+
+
+def resolved(base: str, target: str) -> str:
+    """Of absolute targets and those from the root of the site, which are all there are here."""
+    root = f"concat({split(base, 1)}, '://', {split(base, 2)})"
+    return f"CASE WHEN regexp_matches({target}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {target} WHEN starts_with({target}, '/') THEN concat({root}, {target}) END"
+
+
+def fetch_url(u: str) -> str:
+    query = clean_query(split(u, 4))
+    return f"CASE WHEN regexp_matches({u}, '{VALID}') THEN concat(lower({split(u, 1)}), '://', {host(u)}, {split(u, 3)}, CASE WHEN {query} = '' THEN '' ELSE concat('?', {query}) END) END"
+
+
+REDIRECT_TARGETS = f"""
+WITH checked AS ({RESPONSE_FILTER}),
+moved AS (SELECT r.resp_id, r.url, {header("location")} AS place FROM responses r JOIN checked k ON k.resp_id = r.resp_id WHERE k.outcome = 'redirect'),
+met AS (SELECT resp_id, {resolved("url", "nullif(place, '')")} AS u FROM moved)
+SELECT resp_id, {fetch_url("u")} AS target FROM met"""
+LINKS = f"""{PAGES},
+raws AS (SELECT resp_id, base, regexp_extract_all(replace(html, chr(0), ''), '(?i)<a\\s+href="\\s*([^"]+?)\\s*"', 1) AS hrefs FROM pages),
+each AS (SELECT resp_id, base, unnest(range(len(hrefs))) AS spot, unnest(hrefs) AS href FROM raws),
+met AS (SELECT resp_id, spot, {resolved("base", "href")} AS u FROM each),
+normal AS (SELECT resp_id, spot, {fetch_url("u")} AS link FROM met),
+firsts AS (SELECT resp_id, link, min(spot) AS spot FROM normal WHERE link IS NOT NULL GROUP BY 1, 2),
+links AS (SELECT resp_id, row_number() OVER (PARTITION BY resp_id ORDER BY spot) - 1 AS pos, link FROM firsts)
+"""
+
+
 def disabled(of: str) -> str:
     return f"""off AS (
   SELECT DISTINCT q.host, q.pattern FROM {of} q JOIN bans b ON b.host = q.host AND b.pattern = q.pattern
@@ -239,9 +304,25 @@ def oracle_sql() -> dict[str, str]:
         "word_counts_top50": f"WITH {FREQUENCIES} SELECT row_number() OVER (ORDER BY n DESC, f) AS rank, word, n FROM freq QUALIFY rank <= 50",
         "word_frequencies": f"WITH {FREQUENCIES} SELECT word, n FROM freq",
         "response_filter": RESPONSE_FILTER,
+        "response_redirects": REDIRECT_TARGETS,
+        "html_links": f"WITH {LINKS} SELECT resp_id, CAST(pos AS INT) AS pos, link FROM links",
+        "html_text": f"WITH {PAGES} SELECT resp_id, text FROM texts",
+        "response_events": f"""WITH {PAGES}, {simhashes("texts", "resp_id")}
+SELECT {netloc("r.url")} AS host, {path_pattern(split("r.url", 3))} AS pattern, r.resp_id AS seq, r.status, p.simhash,
+       CASE WHEN t.resp_id IS NOT NULL THEN len({FEATURES.replace("text", "t.text")}) END AS n_features
+FROM responses r LEFT JOIN texts t ON t.resp_id = r.resp_id LEFT JOIN prints p ON p.resp_id = r.resp_id WHERE regexp_matches(r.url, '{VALID}')""",
+        "replay_events": f"WITH {REPLAY} SELECT host, pattern, seq, simhash, n_features, dedup_key FROM replayed",
+        "replay_bans": f"WITH {REPLAY_BANS} SELECT host, pattern, seq, reason FROM bans",
+        "frontier_enqueue": f"""WITH {LINKS}, {STATE},
+found AS (SELECT {url_hash("link")} AS url_hash, link AS url, resp_id * 100000 + pos AS seq FROM links),
+fresh AS (SELECT url_hash, arg_min(url, seq) AS url, min(seq) AS seq FROM found GROUP BY url_hash)
+SELECT url_hash, url, CAST(seq AS BIGINT) AS seq FROM fresh WHERE url_hash NOT IN (SELECT url_hash FROM state)""",
         "doc_features": f"SELECT doc_id, len({FEATURES}) AS n_features, len(regexp_extract_all(lower(coalesce(text, '')), '{WORD}')) AS n_words FROM documents",
         "doc_simhash": f"WITH {SIMHASH} SELECT doc_id, simhash FROM prints",
         "near_dup_values": f"WITH {SIMHASH}, {near('prints')}",
+        "near_dup_search": f"""WITH {SIMHASH}, v AS (SELECT simhash AS value, count(*) AS n_entries FROM prints GROUP BY 1)
+SELECT p.doc_id, v.value, CAST(bit_count(xor(p.simhash, v.value)) AS INT) AS distance, v.n_entries
+FROM prints p JOIN v ON bit_count(xor(p.simhash, v.value)) <= 3 WHERE p.doc_id % 20 = 0""",
         "near_dup_log_values": f"WITH {LOGGED}, {near('logged')}",
         "low_value_docs": f"SELECT doc_id, len({FEATURES}) AS n_features FROM documents WHERE len({FEATURES}) < {T.min_words}",
         "running_error_rate": f"WITH {EVENTS} SELECT host, pattern, seq, CAST(requests AS BIGINT) AS requests, CAST(errors AS BIGINT) AS errors FROM run WHERE status BETWEEN 100 AND 599",
