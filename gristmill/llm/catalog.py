@@ -156,6 +156,12 @@ frequent AS (
 P1_FOUND = f"""WITH {LINES_SQL}
 SELECT p.log_id, p.line_no FROM parsed p JOIN frequent f ON p.site = f.site AND p.t = f.t"""
 
+P1_CLEAN = f"""WITH {LINES_SQL},
+hits AS (SELECT p.log_id, list(p.line_no) AS nos FROM parsed p JOIN frequent f ON p.site = f.site AND p.t = f.t GROUP BY p.log_id)
+SELECT g.log_id, array_to_string([string_split(g.text, chr(10))[i + 1] FOR i IN range(len(string_split(g.text, chr(10)))) IF NOT list_contains(coalesce(h.nos, []), i)], chr(10)) AS text_clean,
+       CAST(coalesce(len(h.nos), 0) AS INT) AS n_removed
+FROM pagelog g LEFT JOIN hits h ON h.log_id = g.log_id"""
+
 TERMS_SQL = """
 words AS (
   SELECT log_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS term FROM pagelog),
@@ -198,6 +204,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_clean": P1_CLEAN,
         "p2_terms": P2_TERMS,
         "p4_found": P4_FOUND,
         "p2_found": f"SELECT term FROM ({P2_TERMS}) WHERE mark IS NOT NULL",
