@@ -73,9 +73,13 @@ def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
 
 
-def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _measured(spark: SparkSession, sf_dir: str, also=None) -> DataFrame:
+    """Spam features and quality statistics of all documents, from one pass over their texts."""
+    return cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), with_stats=True, also=also))
+
+
+def _outside(measured: DataFrame) -> DataFrame:
     """Documents failing the deciding rule of text quality, and spam pages."""
-    measured = cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), with_stats=True))
     failed = prose.with_reasons(measured.drop("natural_share").withColumnRenamed("natural_share_all", "natural_share"))
     failed = failed.where(F.array_contains("reasons", "mostly_outside_sentences")).select("doc_id")
     spams = spam.scored(measured).where("p_spam >= 0.5").select("doc_id")
@@ -84,7 +88,7 @@ def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents failing the deciding rule, with the spam pages and without residue."""
-    return _outside(spark, sf_dir).join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    return _outside(_measured(spark, sf_dir)).join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p7_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +105,12 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hard = p10_levels(spark, sf_dir).where("level = 5 and english").select("doc_id")
-    return hard.join(_outside(spark, sf_dir), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    """English documents of the hardest band; the level, the features and the statistics of a
+    document are measured in one pass."""
+    model = reading.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    measured = _measured(spark, sf_dir, (reading.LEVEL, reading.measurer(spark, model)))
+    hard = measured.where("level = 5 and english").select("doc_id")
+    return hard.join(_outside(measured), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

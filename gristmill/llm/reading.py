@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.runtime import bounded_sample
+from gristmill.runtime import bounded_sample, cut
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Of ASCII texts, words are found by blanking every other sign, which is faster.
@@ -112,28 +112,29 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Word grades and borders from at most ``sample`` graded documents."""
     told = labels.where("band is not null").groupBy(id_col).agg(F.min("band").alias("band"))
     told = bounded_sample(told, id_col, sample, seed=11)
-    graded = df.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(told), id_col)
+    kept = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    graded = cut(kept.join(F.broadcast(told), id_col).select("band", "text"))  # bounded by the sample
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [list(Counter(words_of(t)).items()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.map_(pa.string(), pa.int32()))], ["band", "words"])
-
-    # Bounded by the sample: distinct words of the graded documents only.
-    bags = graded.select("band", text_col).mapInArrow(distinct, "band int, words map<string,int>").collect()
-    sizes: dict[int, int] = {}
-    counts: dict[str, dict[int, int]] = {}
-    for bag in bags:
-        sizes[bag.band] = sizes.get(bag.band, 0) + 1
-        for w in bag.words:
-            per = counts.setdefault(w, {})
-            per[bag.band] = per.get(bag.band, 0) + 1
-    grades = {w: acquisition(c, sizes) for w, c in counts.items() if sum(c.values()) >= MIN_DOCS}
+            rows = [sorted(set(words_of(t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["band", "words"])
+
+    sizes = {r.band: r.n for r in graded.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    per_band = graded.mapInArrow(distinct, "band int, words array<string>").select("band", F.explode("words").alias("word")).groupBy("word", "band").count()
+    known = per_band.groupBy("word").agg(F.collect_list(F.struct("band", "count")).alias("c")).where(F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["count"]) >= MIN_DOCS)
+    grades = {r.word: acquisition({x["band"]: x["count"] for x in r.c}, sizes) for r in known.collect()}
     bands = sorted(sizes)
-    pairs = [(bag.band, q) for bag in bags if (q := quantiles([w for w, n in bag.words.items() for _ in range(n)], grades))]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [quantiles(words_of(t), grades) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["band", "q"])
+
+    pairs = graded.mapInArrow(describe, "band int, q array<double>").where("q is not null").collect()
     if not pairs:
         return Model({}, [], bands)
-    band, q = np.array([b for b, _ in pairs]), np.array([x for _, x in pairs])
+    band, q = np.array([r.band for r in pairs]), np.array([r.q for r in pairs])
     return Model(grades, [border(q, (band >= upper).astype(float)) for upper in bands[1:]], bands)
 
 
@@ -148,24 +149,34 @@ def levels(rows: list[list[float] | None], model: Model) -> list[int | None]:
     return out
 
 
-def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, level, n_known, english) of every document; the model is bounded by its sample."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+LEVEL = "level int, n_known bigint, english boolean"
+
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measurer(spark: SparkSession, model: Model) -> Callable[[list], list[pa.Array]]:
+    """A function of texts that gives the columns of LEVEL; the model is bounded by its sample."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(texts: list) -> list[pa.Array]:
         model = shared.value
+        rows, known, english = [], [], []
+        for text in texts:
+            words = words_of(text)
+            running = [g for g in map(model.grades.get, words) if g is not None]
+            known.append(len(running))
+            rows.append(_described(words, running, model.grades))
+            english.append(is_english(words))
+        return [pa.array(levels(rows, model), pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())]
+
+    return measure
+
+
+def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, level, n_known, english) of every document."""
+    measure = measurer(df.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, known, english = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                running = [g for g in map(model.grades.get, words) if g is not None]
-                known.append(len(running))
-                rows.append(_described(words, running, model.grades))
-                english.append(is_english(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(levels(rows, model), pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())],
-                [id_col, "level", "n_known", "english"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *measure(batch.column(1).to_pylist())], [id_col, "level", "n_known", "english"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, level int, n_known bigint, english boolean")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {LEVEL}")

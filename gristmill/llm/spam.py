@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,28 +124,41 @@ def features(text: str, common: frozenset[str], parts: tuple | None = None) -> l
     return [*found, max(strong)]
 
 
-def with_features(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", url_col: str = "fetch_url", with_stats: bool = False) -> DataFrame:
-    """id, site and FEATURES of every document with text; on demand with its quality statistics
-    (``prose.STATS``), as both come from the same look at its lines."""
+def with_features(
+    df: DataFrame,
+    common: frozenset[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    url_col: str = "fetch_url",
+    with_stats: bool = False,
+    also: tuple[str, Callable[[list], list[pa.Array]]] | None = None,
+) -> DataFrame:
+    """id, site and FEATURES of every document with text.
+
+    On demand with its quality statistics (``prose.STATS``), as both come from the same look at
+    its lines, and with the columns of ``also``: their schema, and a function of texts.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, more = [], []
-            for text in batch.column(2).to_pylist():
+            rows, stats, texts = [], [], batch.column(2).to_pylist()
+            for text in texts:
                 parts = line_words(text, common)
                 rows.append(features(text, common, parts))
                 if with_stats:
-                    more.append(prose.stats(text, common, parts))
+                    stats.append(prose.stats(text, common, parts))
             if rows:
                 columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-                columns += [pa.array(c) for c in zip(*more, strict=True)]
+                columns += [pa.array(c) for c in zip(*stats, strict=True)]
+                columns += also[1](texts) if also else []
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
 
-    stats = [f"{k}_all {v}" if k in FEATURES else f"{k} {v}" for k, v in map(str.split, prose.STATS.split(", "))] if with_stats else []
-    names = [id_col, "_site", *FEATURES, *(x.split()[0] for x in stats)]
+    more = [f"{k}_all {v}" if k in FEATURES else f"{k} {v}" for k, v in map(str.split, prose.STATS.split(", "))] if with_stats else []
+    more += also[0].split(", ") if also else []
+    names = [id_col, "_site", *FEATURES, *(x.split()[0] for x in more)]
     source = df.where(F.trim(F.col(text_col)) != "").select(id_col, site(F.col(url_col)).alias("_site"), text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), *stats]))
+    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), *more]))
 
 
 def weak_label() -> Column:
