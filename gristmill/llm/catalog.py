@@ -74,14 +74,14 @@ def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str, also=None) -> DataFrame:
-    """Spam features and quality statistics of all documents, from one pass over their texts."""
-    return cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), with_stats=True, also=also))
+    """Spam features and natural share of all documents, from one pass over their texts."""
+    return cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), also=also))
 
 
 def _outside(measured: DataFrame) -> DataFrame:
     """Documents failing the deciding rule of text quality, and spam pages."""
-    failed = prose.with_reasons(measured.drop("natural_share").withColumnRenamed("natural_share_all", "natural_share"))
-    failed = failed.where(F.array_contains("reasons", "mostly_outside_sentences")).select("doc_id")
+    whole = measured.select("doc_id", "n_words", F.col("natural_all").alias("natural_share")).where("n_words > 0")
+    failed = whole.where(prose.rules()["mostly_outside_sentences"]).select("doc_id")
     spams = spam.scored(measured).where("p_spam >= 0.5").select("doc_id")
     return failed.union(spams).distinct()
 

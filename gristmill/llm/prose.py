@@ -48,11 +48,11 @@ def stop_words(words: DataFrame) -> frozenset[str]:
     return frozenset(w for r in rows for w in r.w.split()) - CELLS
 
 
-def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int], list[int], int]:
-    """Non-blank lines, of each the number of words and of common words, and all words of letters."""
+def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int], list[int]]:
+    """Non-blank lines, and of each the number of words and of common words."""
     low = text.lower()
     low = low.translate(_ASCII_STOPS if low.isascii() else STOPS)
-    lines, sizes, known, plain, has = [], [], [], 0, common.__contains__
+    lines, sizes, known, has = [], [], [], common.__contains__
     for line, row in zip(text.split("\n"), low.split("\n"), strict=False):
         words = row.split()
         if words:
@@ -62,8 +62,7 @@ def line_words(text: str, common: frozenset[str]) -> tuple[list[str], list[int],
             lines.append(line)
             sizes.append(len(words))
             known.append(k)
-            plain += sum(map(str.isalpha, words))
-    return lines, sizes, known, plain
+    return lines, sizes, known
 
 
 def natural_lines(sizes: list[int], known: list[int]) -> list[bool]:
@@ -86,7 +85,7 @@ def stats(text: str | None, common: frozenset[str], parts: tuple | None = None)
     """STATS of a text; ``parts``: its line_words, where they are already known."""
     if not text or text.isspace():
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
-    lines, sizes, known, plain = parts or line_words(text, common)
+    lines, sizes, known = parts or line_words(text, common)
     n, rows = sum(sizes), len(lines)
     if not n:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)
@@ -102,7 +101,7 @@ def stats(text: str | None, common: frozenset[str], parts: tuple | None = None)
         sum(1 for x in ends if x.endswith(END)) / rows,
         sum(known) / n,
         sum(known),
-        min(1.0, plain / len(tokens)),
+        sum(1 for t in tokens if t[0].isalpha() or t[-1].isalpha() or any(map(str.isalpha, t))) / len(tokens),
         1 - len(set(ends)) / rows,
         natural_words(sizes, known) / n,
     )

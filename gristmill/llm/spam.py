@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
-from gristmill.llm import forest, prose
-from gristmill.llm.prose import line_words, natural_lines
+from gristmill.llm import forest
+from gristmill.llm.prose import line_words, natural_lines, natural_words
 from gristmill.runtime import bounded_sample
 
 #: At most so many weakly labelled pages train the trees.
@@ -61,7 +61,7 @@ SIGNS = (
 def features(text: str, common: frozenset[str], parts: tuple | None = None) -> list[float]:
     """FEATURES of a text. All but the shares of common and natural words look at the lines
     that are no natural sentences, and are measured by words against the whole text."""
-    lines, sizes, known, _ = parts or line_words(text, common)
+    lines, sizes, known = parts or line_words(text, common)
     if len(lines) > 2 and sizes[0] <= 14:
         lines, sizes, known = lines[1:], sizes[1:], known[1:]
     n, rows = sum(sizes), len(lines)
@@ -130,35 +130,31 @@ def with_features(
     id_col: str = "doc_id",
     text_col: str = "text",
     url_col: str = "fetch_url",
-    with_stats: bool = False,
     also: tuple[str, Callable[[list], list[pa.Array]]] | None = None,
 ) -> DataFrame:
-    """id, site and FEATURES of every document with text.
+    """id, site, FEATURES, and the words and natural share of the whole text (``n_words``,
+    ``natural_all``: what the deciding rule of text quality looks at) of every document with text.
 
-    On demand with its quality statistics (``prose.STATS``), as both come from the same look at
-    its lines, and with the columns of ``also``: their schema, and a function of texts.
+    On demand with the columns of ``also``: their schema, and a function of texts.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, stats, texts = [], [], batch.column(2).to_pylist()
+            rows, texts = [], batch.column(2).to_pylist()
             for text in texts:
                 parts = line_words(text, common)
-                rows.append(features(text, common, parts))
-                if with_stats:
-                    stats.append(prose.stats(text, common, parts))
+                n = sum(parts[1])
+                rows.append((*features(text, common, parts), float(n), natural_words(parts[1], parts[2]) / n if n else 0.0))
             if rows:
                 columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-                columns += [pa.array(c) for c in zip(*stats, strict=True)]
                 columns += also[1](texts) if also else []
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
 
-    more = [f"{k}_all {v}" if k in FEATURES else f"{k} {v}" for k, v in map(str.split, prose.STATS.split(", "))] if with_stats else []
-    more += also[0].split(", ") if also else []
-    names = [id_col, "_site", *FEATURES, *(x.split()[0] for x in more)]
+    more = also[0].split(", ") if also else []
+    names = [id_col, "_site", *FEATURES, "n_words", "natural_all", *(x.split()[0] for x in more)]
     source = df.where(F.trim(F.col(text_col)) != "").select(id_col, site(F.col(url_col)).alias("_site"), text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), *more]))
+    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), "n_words double", "natural_all double", *more]))
 
 
 def weak_label() -> Column:
