@@ -89,8 +89,12 @@ def clean_query(query: Column, tracking: Sequence[str] | None = None) -> Column:
 
 
 def path_pattern(path: Column) -> Column:
-    """The shape of a path: variable segments give way to their class; see the docstrings of the
-    classes in the README."""
+    """The shape of a path: variable segments give way to their class.
+
+    Per segment, in order: numerals {NUMBER}, a date {DATE}, a year and month {YEAR_MONTH}, 128
+    characters or more {LARGE}, ``a:b:c`` its name spaces and {PAGE}, a last segment with a dot
+    {FILE}, else the segment in lower case. Trailing slashes go, so the root is the empty pattern.
+    """
     items = F.split(path, "/", -1)
     leaf = F.array_max(F.transform(items, lambda x, i: F.when(x != "", i).otherwise(-1)))
     pieces = F.transform(
