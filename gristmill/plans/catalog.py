@@ -50,8 +50,9 @@ def scope_filter(spark, sf_dir):
 
 
 def _bans(spark, sf_dir):
-    bans = traps.pattern_bans(_events(spark, sf_dir))
-    return bans, traps.subtree_bans(bans)
+    # Bans are asked for several times in a plan: they are few rows, and made once.
+    bans = cut(traps.pattern_bans(_events(spark, sf_dir)))
+    return bans, cut(traps.subtree_bans(bans))
 
 
 def admission_verdict(spark, sf_dir):
