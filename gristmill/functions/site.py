@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scheme and host of an absolute http(s) URL; user info and port are not part of the host.
-_HOST = r"(?i)^https?://(?:[^/?#@\\s]*@)?([^/?#:@\\s]+)".replace("\\\\", "\\")
+_HOST = r"(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+)"
 
 
 def site(url: Column) -> Column:
