@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,17 +76,46 @@ HINTS = frozenset(
     "overloaded upgraded lorem placeholder dummy gefunden existiert aktivieren fehler zugriff encontrada introuvable erreur activer acceso "
     "acceder wartung mantenimiento cargando chargement indisponible".split()
 )
-#: Every form above holds one of these words; texts and segments without any are passed over.
-TRIGGERS = HINTS | frozenset(
-    "error token login null nan missing renamed removed existe permission scripts text content heading copy filler blah asdf foo qwerty xxxx tbd title subtitle own ignore gateway unauthorized gone timeout establishing "
-    "connect failed allowed sql exist invalid timed log sign rights page start wrong unexpected again occurred check upgraded temporarily "
-    "construction checking security turn switch javascript update away seite angeforderte anmelden melden sitzung wartungsarbeiten página pagina "
-    "encontr encontrado denegado activar active habilite habilitar sesión sesion producido accès acces activez cette wait http uh fatal parse "
-    "warning notice deprecated file service down exception".split()
-)
-#: The same for forms of everyday words.
-PHRASES = ("not found", "your browser", "browser is", "for maintenance", "en maintenance", "be right back")
-LATIN_WORDS = frozenset("lorem ipsum dolor dolore amet".split())
+#: The one form without a fixed literal: a word said three times at the start of a segment.
+REPEATED = re.compile(r"\b(\w+)(?: \1){2,}\b", re.I)
+#: Letters that a pattern without regard to case takes for ASCII ones, though lower() doesn't.
+_FOLD = str.maketrans({"ſ": "s", "ı": "i", "İ": "i"})
+
+
+def fold(text: str) -> str:
+    return text.translate(_FOLD).lower() if not text.isascii() else text.lower()
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    """Literals of which every match of a parsed pattern holds at least one."""
+    options, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            options.append(frozenset([fold(run)]))
+        run, inner = "", None
+        if op is _parser.BRANCH:
+            inner = [_needed(x) for x in arg[1]]
+            inner = None if None in inner else frozenset().union(*inner)
+        elif op is _parser.SUBPATTERN:
+            inner = _needed(arg[3])
+        elif op is _parser.MAX_REPEAT and arg[0] > 0:
+            inner = _needed(arg[2])
+        if inner:
+            options.append(inner)
+    return max(options, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _literals(pattern: re.Pattern) -> list[frozenset[str] | None]:
+    """Needed literals of each alternative of a pattern; None for REPEATED, which has but a space."""
+    ((_, (_, ways)),) = _parser.parse(pattern.pattern, pattern.flags)
+    return [x if (x := _needed(way)) and min(map(len, x)) > 1 else None for way in ways]
+
+
+#: Derived from the forms: every match of FILLER or NOTICE holds one of these, or is REPEATED.
+LITERALS = tuple(sorted(frozenset().union(*(x for p in (FILLER, NOTICE) for x in _literals(p) if x))))
 #: Cues that a sentence speaks about such things instead of being one; three of CUES do as well.
 SPEAKS = re.compile(
     r"\b(?:mark such as|variable \S+ holds|is swapped|written as|learned (?:why|how|that)|explain\w* (?:how|why|that)|tells? the|(?:log|message|manual|book) says|shows? (?:how|that|why)"
@@ -98,12 +128,11 @@ CUES = frozenset(
 )
 SENTENCE = re.compile(r"\n|(?<=[.!?…])\s+(?=[\"“¿¡(\[{]?[A-ZÄÖÜÉÈÀÁÍÓÚÑ¿¡])")
 WORDS = re.compile(r"\w+")
-#: Of ASCII texts, words are found by blanking every other sign, which is faster.
-_PLAIN = "".join(chr(i) if chr(i).isalnum() or chr(i) == "_" else " " for i in range(128))
 
 
-def label(segment: str, words: list[str], latin: bool = True, marks: bool = True) -> tuple[int, str]:
-    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open."""
+def label(segment: str, words: list[str], latin: bool = True, marks: bool = True, literals: tuple[str, ...] = LITERALS) -> tuple[int, str]:
+    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``literals``:
+    those of LITERALS that the segment's text holds."""
     kind = ""
     if marks and any(x in segment for x in FIELD_SIGNS):
         for m in FIELD.finditer(segment):
@@ -112,7 +141,8 @@ def label(segment: str, words: list[str], latin: bool = True, marks: bool = True
                 break
     if not kind and latin and words and sum(1 for w in words if w[:5] in LATIN) >= max(2, 0.5 * len(words)):
         return 1, "filler"
-    if not kind and (not TRIGGERS.isdisjoint(words) or any(p in " ".join(words) for p in PHRASES)):
+    low = fold(segment)
+    if not kind and (any(x in low for x in literals) or REPEATED.match(segment)):
         kind = "filler" if FILLER.search(segment) else "notice" if NOTICE.search(segment) else ""
     if not kind:
         return 0, ""
@@ -120,27 +150,31 @@ def label(segment: str, words: list[str], latin: bool = True, marks: bool = True
     return (-1 if long and (SPEAKS.search(segment) or len(CUES.intersection(words)) >= 3) else 1), kind
 
 
+def folded(part: str) -> str:
+    return re.sub(r"\d+", "0", " ".join(part.lower().split()))
+
+
 SEGMENTS = "text string, label int, kind string, n_words int"
 
 
 def segments_of(text: str) -> list[tuple[str, int, str, int]]:
     """Trusted and open segments of a text, without repeats: folded text, label, kind, words."""
     out: dict[str, list] = {}
-    low = text.lower()
-    every = set(low.translate(_PLAIN).split() if low.isascii() else WORDS.findall(low))
-    latin = not LATIN_WORDS.isdisjoint(every)
+    low = fold(text)
+    literals = tuple(x for x in LITERALS if x in low)
+    latin = sum(1 for w in WORDS.findall(text.lower()) if w[:5] in LATIN) >= 2
     marks = any(x in text for x in FIELD_SIGNS)
-    if not latin and not marks and TRIGGERS.isdisjoint(every) and not any(p in low for p in PHRASES):
+    if not latin and not marks and not literals and not REPEATED.search(text) and HINTS.isdisjoint(WORDS.findall(text.lower())):
         return []
     for part in SENTENCE.split(text):
         part = part.strip()
         if not part:
             continue
         words = WORDS.findall(part.lower())
-        sign, kind = label(part, words, latin, marks)
+        sign, kind = label(part, words, latin, marks, literals)
         if not sign and (len(words) > 25 or len(HINTS.intersection(words)) < (1 if len(words) <= 8 else 2)):
             continue
-        key = re.sub(r"\d+", "0", " ".join(part.lower().split()))
+        key = folded(part)
         if key in out:
             out[key][3] += len(words)
         else:

@@ -78,6 +78,24 @@ def test_residue(spark):
     assert residue.residue(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ValueError: could not convert string", "NullPointerException: x", "400 Bad Request", "We could not find /x.", "It may have been moved.",
+        "Try the search box instead.", "Request a new link.", "La session a expiré", "No se encontró el recurso", "test test", "bla bla bla",
+        "story here", "Vestibulum faucibus viverra sagittis", "PLEAſE WAIT", "Oops!", "ORA-00942: x", "503 Service Temporarily Unavailable", "scrİpts and cookies",
+    ],
+)
+def test_no_form_is_passed_over(text):
+    assert [x[1] for x in residue.segments_of(PROSE + "\n" + text)] == [1]
+
+
+def test_every_form_implies_the_guard():
+    needs = [(x, p) for p in (residue.FILLER, residue.NOTICE) for x in residue._literals(p)]
+    assert [p for x, p in needs if x is None] == [residue.FILLER]  # REPEATED, which is tested by itself
+    assert all(x <= set(residue.LITERALS) for x, _ in needs if x)
+
+
 def test_labels_spread_to_near_copies(spark):
     base = "some unusual wording telling that this service may not be reached at present reload"
     nodes = [(1, base, 1, "notice"), (2, base + "s", 0, ""), (3, "a wholly different line about other things reload", 0, ""), (4, "speaks about it at some length and more", -1, "notice")]
