@@ -18,11 +18,14 @@ import re
 from collections.abc import Iterator
 from re import _parser
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.functions.simhash import distance, simhash_of, table_keys
+from gristmill.functions.simhash import distance, simhash_of
 from gristmill.operators.components import connected_components
 from gristmill.runtime import cut
 
@@ -209,28 +212,88 @@ def _grams(text: str) -> list[str]:
     return [text[i : i + 4] for i in range(max(1, len(text) - 3))]
 
 
-def spread(nodes: DataFrame, max_distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """Labels of open segments: (node, label, kind) of those in a component with trusted residue.
+#: Tables, and minima of 3-gram hashes that key a table.
+BANDS, ROWS = 32, 3
+_RNG = np.random.default_rng(7)
+_FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
-    ``nodes``: node, text, label, kind; one row per distinct segment. A component that also
-    holds a sentence speaking about residue gives no label.
+
+def band_keys(texts: list[str]) -> np.ndarray:
+    """Keys (texts x BANDS) under which near texts meet; each is of ROWS minima over the 3-grams.
+
+    Texts whose 3-grams have a share j in common meet in some table with the chance
+    1 - (1 - j**3)**32. The distance of 64-bit SimHashes can't be used instead: a changed word in
+    ten flips 4 to 12 bits, and tables for such distances have keys of a few bits.
     """
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    for at in range(0, len(texts), 2048):
+        padded = [f" {' '.join(WORDS.findall(t))} " if t else "   " for t in texts[at : at + 2048]]
+        padded = [p if len(p) > 2 else "   " for p in padded]
+        sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        g = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+        g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        ends = np.cumsum(sizes)
+        whole = np.ones(len(c), bool)
+        whole[ends - 1] = whole[ends - 2] = False
+        g = (g >> np.uint64(32)).astype(np.uint32)[whole[:-2]]
+        starts = np.concatenate([[0], np.cumsum(sizes - 2)[:-1]])
+        for b in range(BANDS):
+            key = np.full(len(padded), b, np.uint64)
+            for k in range(b * ROWS, (b + 1) * ROWS):
+                key = (key ^ np.minimum.reduceat(g * _FACTORS[k] + _SHIFTS[k], starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            out[at : at + len(padded), b] = key
+    return out
+
+
+def with_keys(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, text) with the keys of their texts."""
 
-    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [simhash_of(_grams(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["node", "text", "h"])
-
-    prints = cut(nodes.select("node", "text").mapInArrow(fingerprint, "node bigint, text string, h bigint"))
-    keyed = prints.select("node", "h", F.explode(table_keys(F.col("h"), max_distance)).alias("t")).select("node", "h", "t.*")
-    other = keyed.select(F.col("node").alias("node2"), F.col("h").alias("h2"), "block", "bits", "part", "rest")
-    near = keyed.join(other, ["block", "bits", "part", "rest"]).where(
-        (F.col("node") < F.col("node2")) & (distance(F.col("h"), F.col("h2")) <= max_distance)
-    )
+            keys = pa.array(band_keys(batch.column(1).to_pylist()).view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["node", "text", "keys"])
+
+    return nodes.select("node", "text").mapInArrow(find, "node bigint, text string, keys array<bigint>")
+
+
+#: Near lengths meet: a text of level n goes with n - 1, n and n + 1 (similar texts differ by a quarter at most).
+_LEVEL = "cast(floor(ln(greatest(length(text), 1)) / ln(1.25)) as int)"
+
+
+def near_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """(node, text, node2, text2) of texts that meet in a table and are similar enough. ``left``,
+    ``right``: node, text, keys."""
+    level = F.expr(_LEVEL) if similarity >= 0.8 else F.lit(0)
+    one = left.select("node", F.length("text").alias("size"), F.explode("keys").alias("key"), level.alias("level"))
+    one = one.select("node", "size", "key", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("level"))
+    two = right.select(F.col("node").alias("node2"), F.length("text").alias("size2"), F.explode("keys").alias("key"), level.alias("level"))
+    most = (1 - similarity) * F.greatest("size", "size2")
+    met = one.join(two, ["key", "level"]).where((F.col("node") != F.col("node2")) & (F.abs(F.col("size") - F.col("size2")) <= most))
     # Pairs meet in several tables; texts are compared once.
-    met = near.select("node", "node2").distinct()
-    both = met.join(prints.select("node", "text"), "node").join(prints.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
-    close = both.where(F.levenshtein("text", "text2") <= (1 - similarity) * F.greatest(F.length("text"), F.length("text2")))
+    met = met.select("node", "node2").distinct()
+    both = met.join(left.select("node", "text"), "node").join(right.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
+    return both.where(F.levenshtein("text", "text2") <= (1 - similarity) * F.greatest(F.length("text"), F.length("text2")))
+
+
+@F.pandas_udf(T.LongType())
+def _print(texts: pd.Series) -> pd.Series:
+    return pd.Series([simhash_of(_grams(t)) for t in texts], dtype="int64")
+
+
+def spread(nodes: DataFrame, max_distance: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """Labels of open segments: (node, label, kind) of those in a component with trusted residue.
+
+    ``nodes``: node, text, label, kind; one row per distinct segment. A component that also
+    holds a sentence speaking about residue gives no label. ``max_distance``: if given, the
+    SimHashes of a pair must lie within it as well.
+    """
+    keyed = cut(with_keys(nodes))
+    close = near_pairs(keyed, keyed, similarity).where("node < node2")
+    if max_distance is not None:
+        close = close.where(distance(_print("text"), _print("text2")) <= max_distance)
     edges = close.select(F.col("node").alias("a"), F.col("node2").alias("b"))
     parts = connected_components(edges)
     labelled = nodes.join(parts.withColumnRenamed("id", "node"), "node")

@@ -103,6 +103,40 @@ def test_labels_spread_to_near_copies(spark):
     assert [(r.node, r.spread_kind) for r in residue.spread(df, max_distance=10).collect()] == [(2, "notice")]
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_reworded_notices_are_candidates(spark):
+    import random
+
+    base = [
+        "this service is closed due to repairs of the store", "click the button below to continue to the site", "the requested item can't be shown to you now",
+        "your browser has javascript turned off for this site", "change the settings of your account to see this text",
+    ]
+    rng, texts = random.Random(1), list(base)
+    for t in base:
+        for a, b in (("due to", "owing to"), ("continue", "go on"), ("requested", "wanted"), ("javascript", "javascirpt"), ("settings", "setting")):
+            texts += [t.replace(a, b)] if a in t else []
+        for n in (1, 2, 4):
+            for _ in range(5):
+                x = list(t)
+                for _ in range(n):
+                    x[rng.randrange(len(x))] = rng.choice("abcdefgh")
+                texts.append("".join(x))
+    texts = sorted(set(texts))
+    wanted = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
+    keyed = residue.with_keys(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"))
+    got = {(r.node, r.node2) for r in residue.near_pairs(keyed, keyed, 0.8).where("node < node2").collect()}
+    assert got <= wanted and len(got) >= 0.95 * len(wanted) > 300, (len(got), len(wanted))
+    print(len(got), len(wanted))
+
+
 PAGE = """Skip navigation
 Retragi Lab
 Menu
