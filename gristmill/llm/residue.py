@@ -2,14 +2,13 @@
 
 Each whole text is cut into segments (lines and sentences). Trusted labels say which segments
 are unfilled template fields, filler or notices, and which speak about such things in their
-own sentences. Segments that hold words of notices but match no trusted form stay open: they
-and the trusted ones meet in partitioned SimHash tables, pairs are verified by Hamming
-distance and by the similarity of their texts, and trusted labels spread through the
+own sentences. All other segments are open: they and the trusted ones meet in MinHash tables,
+pairs are verified by the similarity of their texts, and trusted labels spread through the
 connected components. A document is a case if it holds a field or a notice, or consists of
 filler. Null and blank texts are never cases.
 
-Equal segments are one node whatever the number of documents; the tables' keys have 28 bits,
-so buckets stay small, and the pairs compared lie within one bucket.
+Equal segments are one node whatever the number of documents. Only components that hold trusted
+residue can give a label, so pairs are searched outward from it, until nothing new is reached.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from re import _parser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +46,12 @@ LATIN = frozenset(
     "egest sagit morbi velat velit ligun ligul tempr tempo tempu pelle rhonc vitae porta element vesti place phare "
     "feugi sapie matti iacul orci dui nunc sed justo eros preti aliqu congu facil ullam laore vulpu inter magna".split()
 )
+#: Stems that living languages share ("interpretation facilitated"); in texts without one of
+#: LATIN_WORDS, two words of other stems are asked for.
+SHARED = frozenset(
+    "conse inter facil porta place magna tempo tempr liber curse cursu elit nulla bland massi massa molli sit sed justo eros dolor viver sapie vesti felis dui".split()
+)
+LATIN_WORDS = frozenset("lorem ipsum dolor dolore amet".split())
 #: Phrases of filler text.
 FILLER = re.compile(
     r"\b(?:text text|blind text|dummy text|sample text|example content|placeholder (?:copy|text)|filler text|blah blah|asdf|foo bar|qwerty"
@@ -73,12 +78,6 @@ NOTICE = re.compile(
     r"|service unavailable\W*|login required\W*|down for maintenance\W*|file \"/\S+\", line \d+.*)",
     re.I,
 )
-#: Words of notices; a segment that holds them but matches no trusted form stays open.
-HINTS = frozenset(
-    "javascript cookie cookies enable enabled disabled denied forbidden unavailable expired oops sorry reload loading traceback undefined "
-    "overloaded upgraded lorem placeholder dummy gefunden existiert aktivieren fehler zugriff encontrada introuvable erreur activer acceso "
-    "acceder wartung mantenimiento cargando chargement indisponible".split()
-)
 #: The one form without a fixed literal: a word said three times at the start of a segment.
 REPEATED = re.compile(r"\b(\w+)(?: \1){2,}\b", re.I)
 #: Letters that a pattern without regard to case takes for ASCII ones, though lower() doesn't.
@@ -91,11 +90,18 @@ def fold(text: str) -> str:
 
 def _needed(parsed) -> frozenset[str] | None:
     """Literals of which every match of a parsed pattern holds at least one."""
-    options, run = [], ""
-    for op, arg in [*parsed, (None, None)]:
+    options, run, todo = [], "", [(None, None), *reversed(list(parsed))]
+    while todo:
+        op, arg = todo.pop()
         if op is _parser.LITERAL:
             run += chr(arg)
             continue
+        if op is _parser.MAX_REPEAT and arg[0] > 0:
+            todo += [(_parser.ANY, None), *reversed(list(arg[2]))]  # once, then anything
+            continue
+        if op is _parser.SUBPATTERN and not any(x is _parser.BRANCH for x, _ in arg[3]):
+            todo += reversed(list(arg[3]))
+            continue
         if run:
             options.append(frozenset([fold(run)]))
         run, inner = "", None
@@ -104,21 +110,30 @@ def _needed(parsed) -> frozenset[str] | None:
             inner = None if None in inner else frozenset().union(*inner)
         elif op is _parser.SUBPATTERN:
             inner = _needed(arg[3])
-        elif op is _parser.MAX_REPEAT and arg[0] > 0:
-            inner = _needed(arg[2])
         if inner:
             options.append(inner)
     return max(options, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 
 
+def _ways(seq: list) -> list[list]:
+    """A parsed pattern with its nested branches taken apart, as many sequences without branches."""
+    for k, (op, arg) in enumerate(seq):
+        if op is _parser.BRANCH:
+            return [y for x in arg[1] for y in _ways([*seq[:k], *x, *seq[k + 1 :]])]
+        if op is _parser.SUBPATTERN and arg[0] is None:
+            return _ways([*seq[:k], *arg[3], *seq[k + 1 :]])
+    return [seq]
+
+
 def _literals(pattern: re.Pattern) -> list[frozenset[str] | None]:
     """Needed literals of each alternative of a pattern; None for REPEATED, which has but a space."""
-    ((_, (_, ways)),) = _parser.parse(pattern.pattern, pattern.flags)
+    ways = _ways(list(_parser.parse(pattern.pattern, pattern.flags)))
     return [x if (x := _needed(way)) and min(map(len, x)) > 1 else None for way in ways]
 
 
 #: Derived from the forms: every match of FILLER or NOTICE holds one of these, or is REPEATED.
-LITERALS = tuple(sorted(frozenset().union(*(x for p in (FILLER, NOTICE) for x in _literals(p) if x))))
+_ALL = frozenset().union(*(x for p in (FILLER, NOTICE) for x in _literals(p) if x))
+LITERALS = tuple(sorted(x for x in _ALL if not any(y != x and y in x for y in _ALL)))
 #: Cues that a sentence speaks about such things instead of being one; three of CUES do as well.
 SPEAKS = re.compile(
     r"\b(?:mark such as|variable \S+ holds|is swapped|written as|learned (?:why|how|that)|explain\w* (?:how|why|that)|tells? the|(?:log|message|manual|book) says|shows? (?:how|that|why)"
@@ -133,17 +148,20 @@ SENTENCE = re.compile(r"\n|(?<=[.!?…])\s+(?=[\"“¿¡(\[{]?[A-ZÄÖÜÉÈÀÁ
 WORDS = re.compile(r"\w+")
 
 
-def label(segment: str, words: list[str], latin: bool = True, marks: bool = True, literals: tuple[str, ...] = LITERALS) -> tuple[int, str]:
+def label(segment: str, words: list[str], latin: bool = True, marks: bool = True, literals: tuple[str, ...] = LITERALS, anchored: bool = False) -> tuple[int, str]:
     """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``literals``:
-    those of LITERALS that the segment's text holds."""
+    those of LITERALS that the segment's text holds; ``anchored``: the text holds one of LATIN_WORDS."""
     kind = ""
     if marks and any(x in segment for x in FIELD_SIGNS):
         for m in FIELD.finditer(segment):
             if not CAPITALS.match(m[0]) or m[0].upper() == m[0]:
                 kind = "field"
                 break
-    if not kind and latin and words and sum(1 for w in words if w[:5] in LATIN) >= max(2, 0.5 * len(words)):
-        return 1, "filler"
+    if not kind and latin and words:
+        stems = [w[:5] for w in words if w[:5] in LATIN]
+        sure = anchored or not LATIN_WORDS.isdisjoint(words)
+        if len(stems) >= max(2, 0.5 * len(words)) and (sure or sum(1 for x in stems if x not in SHARED) >= 2):
+            return 1, "filler"
     low = fold(segment)
     if not kind and (any(x in low for x in literals) or REPEATED.match(segment)):
         kind = "filler" if FILLER.search(segment) else "notice" if NOTICE.search(segment) else ""
@@ -160,22 +178,30 @@ def folded(part: str) -> str:
 SEGMENTS = "text string, label int, kind string, n_words int"
 
 
+def _repeats(low: str) -> bool:
+    """Whether words may be REPEATED; words alone between spaces are looked at first."""
+    words = low.split(" ")
+    return any(map(str.endswith, words, words[1:])) and REPEATED.search(low) is not None
+
+
 def segments_of(text: str) -> list[tuple[str, int, str, int]]:
-    """Trusted and open segments of a text, without repeats: folded text, label, kind, words."""
+    """Trusted segments of a text, without repeats: folded text, label, kind, words."""
     out: dict[str, list] = {}
     low = fold(text)
     literals = tuple(x for x in LITERALS if x in low)
-    latin = sum(1 for w in WORDS.findall(text.lower()) if w[:5] in LATIN) >= 2
+    every = WORDS.findall(text.lower())
+    latin = sum(1 for w in every if w[:5] in LATIN) >= 2
+    anchored = latin and not LATIN_WORDS.isdisjoint(every)
     marks = any(x in text for x in FIELD_SIGNS)
-    if not latin and not marks and not literals and not REPEATED.search(text) and HINTS.isdisjoint(WORDS.findall(text.lower())):
+    if not latin and not marks and not literals and not _repeats(low):
         return []
     for part in SENTENCE.split(text):
         part = part.strip()
         if not part:
             continue
         words = WORDS.findall(part.lower())
-        sign, kind = label(part, words, latin, marks, literals)
-        if not sign and (len(words) > 25 or len(HINTS.intersection(words)) < (1 if len(words) <= 8 else 2)):
+        sign, kind = label(part, words, latin, marks, literals, anchored)
+        if not sign:
             continue
         key = folded(part)
         if key in out:
@@ -186,7 +212,7 @@ def segments_of(text: str) -> list[tuple[str, int, str, int]]:
 
 
 def with_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, total words, and the trusted and open segments of documents that have any."""
+    """id, total words, and the trusted segments of documents that have any."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,70 +238,77 @@ def _grams(text: str) -> list[str]:
     return [text[i : i + 4] for i in range(max(1, len(text) - 3))]
 
 
-#: Tables, and minima of 3-gram hashes that key a table.
+#: Tables, and minima of 4-gram hashes that key a table.
 BANDS, ROWS = 32, 3
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def band_keys(texts: list[str]) -> np.ndarray:
-    """Keys (texts x BANDS) under which near texts meet; each is of ROWS minima over the 3-grams.
+def band_keys(texts: list[str], around: bool = False) -> np.ndarray:
+    """Keys (texts x BANDS) under which near texts meet; each is of ROWS minima over the 4-grams and the
+    level of length.
 
-    Texts whose 3-grams have a share j in common meet in some table with the chance
+    Texts whose 4-grams have a share j in common meet in some table with the chance
     1 - (1 - j**3)**32. The distance of 64-bit SimHashes can't be used instead: a changed word in
     ten flips 4 to 12 bits, and tables for such distances have keys of a few bits.
+    Similar texts differ in length by a quarter at most, so lengths meet that are on the same level
+    or the next: ``around`` gives keys of three levels (texts x 3 BANDS), to meet those of one.
     """
     out = np.zeros((len(texts), BANDS), np.uint64)
     for at in range(0, len(texts), 2048):
-        padded = [f" {' '.join(WORDS.findall(t))} " if t else "   " for t in texts[at : at + 2048]]
-        padded = [p if len(p) > 2 else "   " for p in padded]
+        padded = [f" {' '.join(WORDS.findall(t))} " for t in texts[at : at + 2048]]
+        padded = [p if len(p) > 3 else "    " for p in padded]
         sizes = np.fromiter(map(len, padded), np.int64, len(padded))
         c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        g = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+        g = c[:-3] * np.uint64(0x9E3779B97F4A7C15) + c[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:-1] * np.uint64(0x165667B19E3779F9) + c[3:] * np.uint64(0x27D4EB2F165667C5)
         g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         ends = np.cumsum(sizes)
         whole = np.ones(len(c), bool)
-        whole[ends - 1] = whole[ends - 2] = False
-        g = (g >> np.uint64(32)).astype(np.uint32)[whole[:-2]]
-        starts = np.concatenate([[0], np.cumsum(sizes - 2)[:-1]])
+        whole[ends - 1] = whole[ends - 2] = whole[ends - 3] = False
+        g = (g >> np.uint64(32)).astype(np.uint32)[whole[:-3]]
+        starts = np.concatenate([[0], np.cumsum(sizes - 3)[:-1]])
         for b in range(BANDS):
             key = np.full(len(padded), b, np.uint64)
             for k in range(b * ROWS, (b + 1) * ROWS):
                 key = (key ^ np.minimum.reduceat(g * _FACTORS[k] + _SHIFTS[k], starts)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
             out[at : at + len(padded), b] = key
-    return out
+    level = np.floor(np.log(np.maximum(1, [len(t) for t in texts])) / np.log(1.25)).astype(np.int64)[:, None]
+    shifts = (-1, 0, 1) if around else (0,)
+    return np.concatenate([out ^ ((level + i + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for i in shifts], axis=1) if texts else out
 
 
-def with_keys(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, text) with the keys of their texts."""
+def with_keys(nodes: DataFrame, around: bool = False) -> DataFrame:
+    """``nodes`` (node, text, kind) with the keys of their texts (see ``band_keys``)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array(band_keys(batch.column(1).to_pylist()).view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["node", "text", "keys"])
+            keys = pa.array(band_keys(batch.column(1).to_pylist(), around).view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["node", "text", "kind", "keys"])
 
-    return nodes.select("node", "text").mapInArrow(find, "node bigint, text string, keys array<bigint>")
+    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, keys array<bigint>")
 
 
-#: Near lengths meet: a text of level n goes with n - 1, n and n + 1 (similar texts differ by a quarter at most).
-_LEVEL = "cast(floor(ln(greatest(length(text), 1)) / ln(1.25)) as int)"
+def _marked(column: str) -> Column:
+    return F.array_contains(F.array(*[F.contains(F.col(column), F.lit(x)) for x in FIELD_SIGNS]), True)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """(node, text, node2, text2) of texts that meet in a table and are similar enough. ``left``,
-    ``right``: node, text, keys."""
-    level = F.expr(_LEVEL) if similarity >= 0.8 else F.lit(0)
-    one = left.select("node", F.length("text").alias("size"), F.explode("keys").alias("key"), level.alias("level"))
-    one = one.select("node", "size", "key", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("level"))
-    two = right.select(F.col("node").alias("node2"), F.length("text").alias("size2"), F.explode("keys").alias("key"), level.alias("level"))
+    """(node, text, node2, text2) of texts that meet in a table and are similar enough. ``left``
+    (with keys around), ``right``: node, text, kind, keys. An unfilled field and a text without any mark of one are
+    never a pair, as the latter is the filled copy."""
+    one = left.select("node", F.length("text").alias("size"), F.explode("keys").alias("key"))
+    two = right.select(F.col("node").alias("node2"), F.length("text").alias("size2"), F.explode("keys").alias("key"))
     most = (1 - similarity) * F.greatest("size", "size2")
-    met = one.join(two, ["key", "level"]).where((F.col("node") != F.col("node2")) & (F.abs(F.col("size") - F.col("size2")) <= most))
+    met = one.join(two, "key").where((F.col("node") != F.col("node2")) & (F.abs(F.col("size") - F.col("size2")) <= most))
     # Pairs meet in several tables; texts are compared once.
     met = met.select("node", "node2").distinct()
-    both = met.join(left.select("node", "text"), "node").join(right.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
-    return both.where(F.levenshtein("text", "text2") <= (1 - similarity) * F.greatest(F.length("text"), F.length("text2")))
+    both = met.join(left.select("node", "text", "kind"), "node").join(
+        right.select(F.col("node").alias("node2"), F.col("text").alias("text2"), F.col("kind").alias("kind2")), "node2"
+    )
+    filled = ((F.col("kind") == "field") & ~_marked("text2")) | ((F.col("kind2") == "field") & ~_marked("text"))
+    return both.where(~filled).where(F.expr(f"levenshtein(text, text2, cast(floor({1 - similarity!r} * greatest(length(text), length(text2)) + 1e-9) as int)) >= 0"))
 
 
 @F.pandas_udf(T.LongType())
@@ -290,8 +323,7 @@ def spread(nodes: DataFrame, max_distance: int | None = None, similarity: float
     holds a sentence speaking about residue gives no label. ``max_distance``: if given, the
     SimHashes of a pair must lie within it as well.
     """
-    keyed = cut(with_keys(nodes))
-    close = near_pairs(keyed, keyed, similarity).where("node < node2")
+    close = near_pairs(cut(with_keys(nodes, around=True)), cut(with_keys(nodes)), similarity).where("node < node2")
     if max_distance is not None:
         close = close.where(distance(_print("text"), _print("text2")) <= max_distance)
     edges = close.select(F.col("node").alias("a"), F.col("node2").alias("b"))
@@ -306,13 +338,99 @@ def spread(nodes: DataFrame, max_distance: int | None = None, similarity: float
     )
 
 
+#: Keys of unfilled fields are marked by this, so that only texts with marks meet them.
+FIELD_SALT = 0x5BD1E9955BD1E995
+#: Bits of the filter of trusted keys, of fixed size whatever their number; it only saves rows.
+FILTER_BITS = 27
+
+
+def _filter(keyed: DataFrame) -> np.ndarray:
+    """Bitmap of the keys' lowest bits."""
+    at = keyed.select(F.explode("keys").alias("k")).select(F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("k"))
+    parts = at.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _met(df: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """id, total words, segment, its words and the keys that pass the filter, of every segment of
+    the documents that has such keys."""
+    sent, names = df.sparkSession.sparkContext.broadcast(bits), [id_col, "total", "text", "n_words", "keys"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                ids, docs, parts = batch.column(0), [], []
+                texts = batch.column(1).to_pylist()
+                for i, text in enumerate(texts):
+                    if text and not text.isspace():
+                        found = [folded(x) for part in SENTENCE.split(text) if (x := part.strip())]
+                        parts += found
+                        docs += [i] * len(found)
+                if not parts:
+                    continue
+                distinct = list(dict.fromkeys(parts))
+                keys = band_keys(distinct)
+                marked = np.array([any(m in x for m in FIELD_SIGNS) for x in distinct])[:, None]
+                keys = np.concatenate([keys, np.where(marked, keys ^ np.uint64(FIELD_SALT), keys)], axis=1)
+                low = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                hit = (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
+                hit[:, BANDS:] &= marked
+                kept = {distinct[k]: keys[k][hit[k]].view(np.int64).tolist() for k in np.flatnonzero(hit.any(axis=1)).tolist()}
+                rows = [(i, x) for i, x in zip(docs, parts, strict=True) if x in kept]
+                totals = {i: len(WORDS.findall(texts[i])) for i in {i for i, _ in rows}}
+                words = {x: len(WORDS.findall(x)) for x in kept}
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array([i for i, _ in rows], pa.int64())), pa.array([totals[i] for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string()),
+                            pa.array([words[x] for _, x in rows], pa.int32()), pa.array([kept[x] for _, x in rows], pa.list_(pa.int64())),
+                        ],
+                        names,
+                    )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, total bigint, text string, n_words int, keys array<bigint>")
+
+
+def reached(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, similarity: float = 0.8) -> DataFrame | None:
+    """(id, total, text, label 0, kind '', n_words, node) of the open segments that pairs link,
+    over any number of steps, to trusted residue; None if there are none.
+
+    All segments of all documents are searched; each step passes over the documents and asks for
+    neighbours of the segments found by the last one. ``nodes``: node, text, label, kind.
+    """
+    known, front, out = nodes.select("node"), nodes.where("label = 1"), None
+    while not front.isEmpty():
+        salted = F.transform("keys", lambda k: k.bitwiseXOR(F.lit(FIELD_SALT)))
+        keyed = cut(with_keys(front, around=True).withColumn("keys", F.when(F.col("kind") == "field", salted).otherwise(F.col("keys"))))
+        met = cut(_met(df, id_col, text_col, _filter(keyed)).withColumn("node", F.xxhash64("text")).join(known, "node", "left_anti"))
+        right = met.select("node", "text", F.lit("").alias("kind"), "keys").dropDuplicates(["node"])
+        new = cut(near_pairs(keyed, right, similarity).select(F.col("node2").alias("node"), F.col("text2").alias("text")).dropDuplicates(["node"]))
+        if new.isEmpty():
+            break
+        rows = met.join(new.select("node"), "node", "left_semi").groupBy(id_col, "total", "text", "node").agg(F.sum("n_words").cast("int").alias("n_words"))
+        rows = cut(rows.select(id_col, "total", "text", F.lit(0).alias("label"), F.lit("").alias("kind"), "n_words", "node"))
+        out = rows if out is None else out.union(rows)
+        known, front = known.union(new.select("node")), new.withColumn("kind", F.lit(""))
+    return out
+
+
 def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, reason) of every document with residue; reason is field, notice or filler."""
     found = cut(with_segments(df, id_col, text_col))
     rows = found.select(id_col, "total", F.explode("segments").alias("s")).select(id_col, "total", "s.*")
     rows = rows.withColumn("node", F.xxhash64("text"))
-    nodes = rows.groupBy("node").agg(F.first("text").alias("text"), F.max("label").alias("label"), F.max("kind").alias("kind"))
-    learned = spread(cut(nodes.where("length(text) <= 400")))
+    nodes = cut(rows.groupBy("node").agg(F.first("text").alias("text"), F.max("label").alias("label"), F.max("kind").alias("kind")))
+    opened = reached(df, id_col, text_col, nodes)
+    if opened is not None:
+        rows = rows.unionByName(opened)
+        nodes = cut(nodes.union(opened.select("node", "text", "label", "kind").dropDuplicates(["node"])))
+    learned = spread(nodes)
     told = rows.join(learned, "node", "left").withColumn("label", F.coalesce("spread_label", "label")).withColumn(
         "kind", F.coalesce("spread_kind", "kind")
     )

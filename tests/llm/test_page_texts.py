@@ -90,10 +90,14 @@ def test_no_form_is_passed_over(text):
     assert [x[1] for x in residue.segments_of(PROSE + "\n" + text)] == [1]
 
 
+def test_english_words_of_latin_stems_are_no_filler():
+    assert residue.segments_of(PROSE + "\nadministrative interpretation facilitated each\n0 x portable interpretation") == []
+
+
 def test_every_form_implies_the_guard():
     needs = [(x, p) for p in (residue.FILLER, residue.NOTICE) for x in residue._literals(p)]
     assert [p for x, p in needs if x is None] == [residue.FILLER]  # REPEATED, which is tested by itself
-    assert all(x <= set(residue.LITERALS) for x, _ in needs if x)
+    assert all(any(y in z for y in residue.LITERALS) for x, _ in needs if x for z in x)
 
 
 def test_labels_spread_to_near_copies(spark):
@@ -131,10 +135,25 @@ def test_reworded_notices_are_candidates(spark):
                 texts.append("".join(x))
     texts = sorted(set(texts))
     wanted = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
-    keyed = residue.with_keys(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"))
-    got = {(r.node, r.node2) for r in residue.near_pairs(keyed, keyed, 0.8).where("node < node2").collect()}
+    nodes = spark.createDataFrame([(i, x, "") for i, x in enumerate(texts)], "node bigint, text string, kind string")
+    pairs = residue.near_pairs(residue.with_keys(nodes, around=True), residue.with_keys(nodes), 0.8)
+    got = {(r.node, r.node2) for r in pairs.where("node < node2").collect()}
     assert got <= wanted and len(got) >= 0.95 * len(wanted) > 300, (len(got), len(wanted))
-    print(len(got), len(wanted))
+
+
+def test_all_segments_are_searched(spark):
+    """Copies of trusted residue without words of notices, of more than 25 words or 400 letters, and
+    copies of copies are found; filled fields and copies of what speaks about notices aren't."""
+    long = "The page you requested was put away with many other old things of the house " + "that nobody has asked for in a long while " * 10
+    rows = [
+        (1, "It may have been moved."), (2, PROSE + "\nIt might have been moved."), (3, long), (4, PROSE + "\n" + long.replace("requested was", "wanted was")),
+        (5, "Dear {{ first_name }}, we thank you for your kind letter of today"), (6, "Dear Ann, we thank you for your kind letter of today"), (7, PROSE),
+        (8, "We could not find the thing that was asked for in our house"), (9, "We couldn't find the thing that was asked for in our home"),
+        (10, "We wouldn't find a thing that was asked for in your home"),
+        (11, "Ann Lee explained how the team traced a 500 Internal Server Error to a full disk"), (12, "Ann Lee explained how the team traced a 500 Internl Servr Error to a full disk"),
+    ]
+    got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "notice", 2: "notice", 3: "notice", 4: "notice", 5: "field", 8: "notice", 9: "notice", 10: "notice"}
 
 
 PAGE = """Skip navigation
