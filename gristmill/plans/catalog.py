@@ -197,9 +197,13 @@ def frontier_enqueue(spark, sf_dir):
 
 
 def crawl_rounds(spark, sf_dir):
-    """Three rounds of a crawl over recorded responses from the frontier's first URLs."""
-    seeds = frontier_state(spark, sf_dir).where("not completed").select("url")
-    return crawl.crawl(table(spark, sf_dir, "responses"), seeds, rounds=3, scope=SCOPE)
+    """A crawl over recorded responses until nothing is due, from the frontier's open URLs and all
+    recorded URLs in scope, as those are what can be answered."""
+    recorded = table(spark, sf_dir, "responses")
+    host = urls.normalized(F.col("url"))["netloc"]
+    answered = recorded.where(rules.host_in_scope(host, SCOPE)).select("url")
+    seeds = frontier_state(spark, sf_dir).where("not completed").select("url").union(answered)
+    return crawl.crawl(recorded, seeds, scope=SCOPE)
 
 
 QUERIES: dict[str, Query] = {

@@ -6,6 +6,8 @@ fetches one page at a time; on a recorded ``seq`` the trap operators are exact.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ from gristmill.operators import frontier, responses, traps
 from gristmill.runtime import cut
 
 
-def crawl(recorded: DataFrame, seeds: DataFrame, rounds: int, scope: conf.Scope = conf.Scope(), limits: conf.TrapThresholds = conf.TrapThresholds()) -> DataFrame:
+def crawl(recorded: DataFrame, seeds: DataFrame, rounds: int | None = None, scope: conf.Scope = conf.Scope(), limits: conf.TrapThresholds = conf.TrapThresholds()) -> DataFrame:
     """(round, url, outcome) of every URL fetched. Seeds are taken as they are; links must be
     admitted. ``recorded``: url, status, raw; of several responses of a URL one is used. A URL
-    without a response has the outcome 'missing'.
+    without a response has the outcome 'missing'. Runs until no URL is due, or for ``rounds`` rounds.
     """
     answers = recorded.where("url is not null").dropDuplicates(["url"])
     due = seeds.where("url is not null").select("url").distinct()
@@ -26,7 +28,7 @@ def crawl(recorded: DataFrame, seeds: DataFrame, rounds: int, scope: conf.Scope
     seen = due.sparkSession.createDataFrame([], "host string, dedup_key string")
     events = due.sparkSession.createDataFrame([], "host string, pattern string, seq bigint, status int, simhash bigint, n_features int")
     done = None
-    for i in range(1, rounds + 1):
+    for i in count(1) if rounds is None else range(1, rounds + 1):
         fetched = cut(responses.with_outcome(due.join(answers.select("url", "status", "raw"), "url", "left")).select(
             "url", "status", "raw", F.when(F.col("status").isNull() & F.col("raw").isNull(), "missing").otherwise(F.col("outcome")).alias("outcome"),
             F.xxhash64("url").bitwiseAND(F.lit((1 << 40) - 1)).alias("at"),
@@ -47,4 +49,6 @@ def crawl(recorded: DataFrame, seeds: DataFrame, rounds: int, scope: conf.Scope
         seen = cut(seen.union(checked.where("verdict <> 'out-of-scope'").select("host", "dedup_key")).distinct())
         known = cut(known.union(new.select("url_hash")).distinct())
         due = new.select("url").distinct()
+        if rounds is None and due.isEmpty():
+            break
     return done
