@@ -24,7 +24,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session("*")
     log = pagelog.read(spark, args.directory)
     if args.command == "replay":
-        traps.pattern_bans(pagelog.replay(log)).show(1000, truncate=False)
+        for ban in traps.pattern_bans(pagelog.replay(log)).orderBy("host", "pattern").toLocalIterator():
+            print(ban.host, ban.pattern, ban.seq, ban.reason)
         return 0
     words = stats.stop_word_lines(open(args.stop_words, encoding="utf-8")) if args.stop_words else []
     report = stats.report(stats.first_pages(log), spark.createDataFrame([(w,) for w in words], "word string"))

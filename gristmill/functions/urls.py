@@ -23,6 +23,7 @@ VALID = (
 )
 #: The generic syntax of RFC 3986, appendix B.
 SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Fixed values that must match: forms of dates and of directory sorts, length of a large segment.
 DATE = (
     r"\d{4}[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])[-/.]\d{2,4}"
     r"|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.]\d{2,4}|\d{8}"
@@ -58,7 +59,8 @@ def dedup_path(path: Column) -> Column:
 
 
 def _decoded(x: Column) -> Column:
-    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    """Escapes are decoded one by one; a percent sign that begins none stands for itself."""
+    return F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _encoded(x: Column) -> Column:
@@ -66,11 +68,8 @@ def _encoded(x: Column) -> Column:
 
 
 def is_tracking(key: Column, keys: Sequence[str] | None = None) -> Column:
-    """Whether a query key is dropped. ``keys``: an own list, matched exactly, in place of the rule."""
-    if keys is not None:
-        return key.isin(list(keys))
-    families = "|".join(x.replace("-", r"\-") for x in conf.TRACKING_FAMILIES)
-    return key.isin(conf.TRACKING_KEYS) | key.rlike(f"^(?:{families})")
+    """Whether a query key is dropped: exact matches of ``keys``, by default those of the settings."""
+    return key.isin(list(conf.TRACKING_KEYS if keys is None else keys))
 
 
 def clean_query(query: Column, tracking: Sequence[str] | None = None) -> Column:
@@ -113,19 +112,26 @@ def path_pattern(path: Column) -> Column:
 
 def normalized(url: Column, tracking: Sequence[str] | None = None) -> Column:
     """struct<fetch_url, dedup_key, bucket_keys, scheme, netloc, path, query>."""
-    ok = is_valid(url)
-    name, path, query = host(url), part(url, 3), clean_query(part(url, 4), tracking)
-    tail = F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
-    return F.struct(
-        F.when(ok, F.concat(scheme(url), F.lit("://"), name, path, tail)).alias("fetch_url"),
-        F.when(ok, F.concat(F.lit("http://"), without_www(name), dedup_path(path), tail)).alias("dedup_key"),
-        F.when(ok, F.array(path_pattern(path))).otherwise(F.array().cast("array<string>")).alias("bucket_keys"),
-        F.when(ok, scheme(url)).alias("scheme"),
-        F.when(ok, without_www(name)).alias("netloc"),
-        F.when(ok, path).alias("path"),
-        F.when(ok, query).alias("query"),
+    parts = F.struct(
+        is_valid(url).alias("ok"), scheme(url).alias("scheme"), host(url).alias("host"), part(url, 3).alias("path"), clean_query(part(url, 4), tracking).alias("query")
     )
 
+    def build(p: Column) -> Column:
+        ok, name = p["ok"], p["host"]
+        tail = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
+        return F.struct(
+            F.when(ok, F.concat(p["scheme"], F.lit("://"), name, p["path"], tail)).alias("fetch_url"),
+            F.when(ok, F.concat(F.lit("http://"), without_www(name), dedup_path(p["path"]), tail)).alias("dedup_key"),
+            F.when(ok, F.array(path_pattern(p["path"]))).otherwise(F.array().cast("array<string>")).alias("bucket_keys"),
+            F.when(ok, p["scheme"]).alias("scheme"),
+            F.when(ok, without_www(name)).alias("netloc"),
+            F.when(ok, p["path"]).alias("path"),
+            F.when(ok, p["query"]).alias("query"),
+        )
+
+    # The parts are bound by a lambda, so each is computed once however often it is used.
+    return F.get(F.transform(F.array(parts), build), F.lit(0))
+
 
 def path_without_params(url: Column) -> Column:
     """Path as a parser sees it that splits ``;parameters`` off the last segment."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gristmill import conf
 from gristmill.functions import rules, urls
 from gristmill.operators import traps
+from gristmill.runtime import cut
 
 
 def state(frontier: DataFrame) -> DataFrame:
@@ -64,6 +65,8 @@ def verdicts(
     rows = n.select(
         "url", "seq", F.col("n.netloc").alias("host"), F.col("n.dedup_key").alias("dedup_key"), F.get(F.col("n.bucket_keys"), F.lit(0)).alias("pattern"), F.col("n.scheme").alias("_scheme")
     ).withColumn("_in", rules.host_in_scope(F.col("host"), scope))
+    # Three branches read these rows: they are made once, as URLs are dear to take apart.
+    rows = cut(rows)
     inside = rows.where("_in")
     firsts = inside.groupBy("host", "dedup_key").agg(F.min("seq").alias("_first"))
     if seen is not None:

@@ -11,13 +11,15 @@ from gristmill import conf
 from gristmill.functions import rules, simhash, text, urls
 from gristmill.operators import frontier, near, responses, stats, traps
 from gristmill.plans import crawl, sql
-from gristmill.runtime import cut, table
+from gristmill.runtime import cut, scratch, table
 from gristmill.sources import pagelog
 from gristmill.streaming import traps as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The tables' scope: computing hosts of one university, others are out.
 SCOPE = conf.Scope(domain="mereford.example")
+#: Thresholds so low that each kind of ban, and bans of subtrees, fall in tables of any size.
+LOW = conf.TrapThresholds(min_pages=3, max_urls=40, near_dup_trigger=2, low_value_trigger=3, min_requests=4, error_percent=30, subtree_trigger=2)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +53,8 @@ def scope_filter(spark, sf_dir):
 
 def _bans(spark, sf_dir):
     # Bans are asked for several times in a plan: they are few rows, and made once.
-    bans = cut(traps.pattern_bans(_events(spark, sf_dir)))
-    return bans, cut(traps.subtree_bans(bans))
+    bans = cut(traps.pattern_bans(_events(spark, sf_dir), LOW))
+    return bans, cut(traps.subtree_bans(bans, LOW))
 
 
 def admission_verdict(spark, sf_dir):
@@ -170,7 +172,21 @@ def streamed_bans(spark, sf_dir):
 
 def replay_bans(spark, sf_dir):
     """Bans that a restart restores from the page log."""
-    return traps.pattern_bans(pagelog.replay(_log(spark, sf_dir)))
+    return traps.pattern_bans(pagelog.replay(_log(spark, sf_dir)), LOW)
+
+
+def low_bans(spark, sf_dir):
+    """Bans by low thresholds: all four reasons."""
+    return traps.pattern_bans(_events(spark, sf_dir), LOW)
+
+
+def log_order(spark, sf_dir):
+    """The page log written as JSON lines by host and read back in order of files and lines."""
+    rows = table(spark, sf_dir, "pagelog").select("log_id", urls.normalized(F.col("fetch_url"))["netloc"].alias("host")).where("host is not null")
+    folder = scratch(spark, "log")
+    lines = rows.select("host", F.concat(F.lit("http://"), "host", F.lit("/")).alias("fetch_url"), F.col("log_id").cast("double").alias("fetched_at"))
+    lines.repartition("host").sortWithinPartitions("host", "fetched_at").write.partitionBy("host").json(folder)
+    return pagelog.read(spark, folder).select("seq", F.col("fetched_at").cast("bigint").alias("log_id"), F.split("fetch_url", "/")[2].alias("host"))
 
 
 def replay_events(spark, sf_dir):
@@ -212,7 +228,7 @@ QUERIES: dict[str, Query] = {
         subdomain_counts, url_normalize, url_pattern, url_hash, scope_filter, admission_verdict, first_wins_dedup, unique_pages,
         longest_page, largest_pages_top10, word_counts_top50, word_frequencies, response_filter, response_redirects, html_links, html_text,
         response_events, doc_features, doc_simhash, near_dup_values, near_dup_search, near_dup_log_values, low_value_docs, running_error_rate, pattern_bans,
-        subtree_bans, enabled_after_bans, streamed_bans, replay_bans, replay_events, frontier_state, frontier_load, frontier_dequeue,
+        low_bans, subtree_bans, enabled_after_bans, streamed_bans, replay_bans, replay_events, log_order, frontier_state, frontier_load, frontier_dequeue,
         frontier_enqueue, crawl_rounds,
     )
 }

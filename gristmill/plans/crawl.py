@@ -19,10 +19,15 @@ from gristmill.runtime import cut
 
 def crawl(recorded: DataFrame, seeds: DataFrame, rounds: int | None = None, scope: conf.Scope = conf.Scope(), limits: conf.TrapThresholds = conf.TrapThresholds()) -> DataFrame:
     """(round, url, outcome) of every URL fetched. Seeds are taken as they are; links must be
-    admitted. ``recorded``: url, status, raw; of several responses of a URL one is used. A URL
+    admitted. ``recorded``: url, status, raw and, where there are several responses of a URL, resp_id,
+    of which the least is used (without it, any). A URL
     without a response has the outcome 'missing'. Runs until no URL is due, or for ``rounds`` rounds.
     """
-    answers = recorded.where("url is not null").dropDuplicates(["url"])
+    answers = recorded.where("url is not null")
+    if "resp_id" in recorded.columns:
+        first = answers.groupBy("url").agg(F.min("resp_id").alias("resp_id"))
+        answers = answers.join(first, ["url", "resp_id"], "left_semi")
+    answers = answers.dropDuplicates(["url"])
     due = seeds.where("url is not null").select("url").distinct()
     known = due.select(urls.url_hash(F.col("url")).alias("url_hash")).distinct()
     seen = due.sparkSession.createDataFrame([], "host string, dedup_key string")

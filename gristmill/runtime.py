@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of checkpoints; without one (a cluster that names none) this fails."""
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return f"{shared}/{name}-{uuid.uuid4()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

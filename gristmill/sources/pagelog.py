@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,17 +20,30 @@ SCHEMA = T.StructType(
 )
 
 
+#: Records with this column set are malformed.
+_BAD = "_malformed"
+
+
 def read(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows of all ``*.jsonl`` files with ``file`` and ``seq``; blank and malformed lines are
-    skipped. ``seq`` rises in the order of file names and of lines within a file."""
-    lines = (
-        spark.read.schema(SCHEMA)
-        .option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json*")
-        .json(directory)
+    """Rows of all ``*.json*`` files with ``file`` and ``seq``; blank and malformed lines are
+    skipped. ``seq`` rises in the order of file paths and of lines within a file, from 0.
+
+    Files are read in any order and in pieces: a line's number is the number of lines in earlier
+    pieces (one small row per piece) and its place in its own, so no sort of the log is needed.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(directory)
+    piece = ["_file", "_start"]
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
     )
-    return lines.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
+    sizes = placed.groupBy(*piece).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)  # one row per piece of a file
+    offsets = sizes.select(*piece, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    schema = T.StructType([*SCHEMA.fields, T.StructField(_BAD, T.StringType())])
+    parsed = placed.where(F.trim("value") != "").withColumn("_r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
+    good = parsed.where(F.col("_r").isNotNull() & F.col(f"_r.{_BAD}").isNull())
+    joined = good.join(offsets, piece)
+    return joined.select(*[F.col(f"_r.{f.name}").alias(f.name) for f in SCHEMA.fields], F.col("_file").alias("file"), (F.col("_at") + F.col("_shift")).alias("seq"))
 
 
 def write(pages: DataFrame, directory: str) -> None:
@@ -46,7 +59,8 @@ def write(pages: DataFrame, directory: str) -> None:
         "fetched_at",
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows.write.mode("append").partitionBy("host").json(directory)
+    # One writer a host and batch, so hosts don't scatter over many small files.
+    rows.repartition("host").write.mode("append").partitionBy("host").json(directory)
 
 
 def replay(log: DataFrame, seq: str = "seq") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Traps on a stream: a stateful operator per host that emits a ban when it falls.
+"""Traps on a stream: a stateful operator per host and pattern that emits a ban when it falls.
 
-The state of a host holds its patterns' counters and page hashes, at most ``max_urls`` per
-pattern, as bytes. Events of a micro-batch are taken in the order of ``seq``; repeats of a
+A ban depends on the pattern's own events only, so a large host is spread over its patterns. The
+state holds a pattern's counters and page hashes, at most ``max_urls``, as bytes, and nothing but
+a mark once it is banned. Events of a micro-batch are taken in the order of ``seq``; repeats of a
 (pattern, seq) already seen in the batch are dropped. Events arriving in a later batch than
 their successors are taken as they come, as a crawl would.
 """
@@ -9,7 +10,6 @@ their successors are taken as they come, as a crawl would.
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill import conf
-from gristmill.runtime import ensure_checkpoint_dir
+from gristmill.runtime import scratch
 
 OUT = "host string, pattern string, seq bigint, reason string"
 EVENT = "host string, pattern string, seq bigint, status int, simhash bigint, n_features int"
@@ -73,33 +73,31 @@ class PatternState:
 
 def ban_stream(events: DataFrame, limits: conf.TrapThresholds = conf.TrapThresholds()) -> DataFrame:
     """Stream of bans (host, pattern, seq, reason) of a stream of events; null keys are left out."""
+    names = ["host", "pattern", "seq", "reason"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        patterns: dict[str, PatternState] = pickle.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable").drop_duplicates(["pattern", "seq"])
-        bans = []
+        own: PatternState = pickle.loads(state.get[0]) if state.exists else PatternState()
+        if own.banned:
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable").drop_duplicates("seq")
         for r in rows.itertuples(index=False):
-            own = patterns.setdefault(r.pattern, PatternState())
             status = None if pd.isna(r.status) else int(r.status)
             simhash = None if r.simhash_text is None or pd.isna(r.simhash_text) else int(r.simhash_text)
             reason = own.take(status, simhash, 0 if pd.isna(r.n_features) else int(r.n_features), limits)
             if reason:
-                bans.append((key[0], r.pattern, int(r.seq), reason))
-        state.update((pickle.dumps(patterns),))
-        if bans:
-            yield pd.DataFrame(bans, columns=["host", "pattern", "seq", "reason"])
+                yield pd.DataFrame([(*key, int(r.seq), reason)], columns=names)
+                break
+        state.update((pickle.dumps(own),))
 
     known = events.where("host is not null and pattern is not null and seq is not null")
     # Hashes travel as text: a nullable 64-bit integer would pass through a float in pandas.
     known = known.select("host", "pattern", "seq", "status", F.col("simhash").cast("string").alias("simhash_text"), "n_features")
-    return known.groupBy("host").applyInPandasWithState(step, OUT, "patterns binary", "append", GroupStateTimeout.NoTimeout)
+    return known.groupBy("host", "pattern").applyInPandasWithState(step, OUT, "counters binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(spark: SparkSession, path: str, limits: conf.TrapThresholds = conf.TrapThresholds()) -> DataFrame:
     """Bans of all events stored at ``path``, found by the stream in one available-now run."""
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gristmill-stream-")
-    run = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    run = scratch(spark, "stream")
     folder, _, name = path.rstrip("/").rpartition("/")
     files = spark.read.parquet(path).inputFiles()
     # A stream reads folders: a lone file is picked out of its own.

@@ -9,7 +9,7 @@ from gristmill.sources import pagelog
 
 def test_log_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(
-        [("http://www.h.example/a/1?utm_x=1", "some text", -1, 1.5), ("http://h.example/a/2", None, 7, 2.0), ("nonsense", "x", 1, 1.0)],
+        [("http://www.h.example/a/1?utm_source=1", "some text", -1, 1.5), ("http://h.example/a/2", None, 7, 2.0), ("nonsense", "x", 1, 1.0)],
         "url string, text string, simhash bigint, fetched_at double",
     )
     pagelog.write(pages, str(tmp_path / "log"))
@@ -23,6 +23,22 @@ def test_log_round_trip(spark, tmp_path):
     assert pagelog.replayed_rows(log) == 2
 
 
+def test_log_order_is_that_of_files_and_lines(spark, tmp_path):
+    # Spark packs large files first; the order of names must win, also where a file is read in pieces.
+    line = '{{"fetch_url": "http://h.example/{}", "text": "{}"}}'
+    (tmp_path / "a.jsonl").write_text("\n".join(line.format(f"a{i}", "") for i in range(3)))
+    (tmp_path / "b.jsonl").write_text("\n".join(line.format(f"b{i}", "x" * 500) if i % 7 else "" for i in range(400)))
+    (tmp_path / "c.jsonl").write_text(line.format("c0", "y" * 9) + "\nbroken\n" + line.format("c1", ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = pagelog.read(spark, str(tmp_path)).select("seq", "fetch_url").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(400) if i % 7] + ["c0", "c1"]
+    assert [r.fetch_url.rsplit("/")[-1] for r in sorted(rows)] == want
+    assert len({r.seq for r in rows}) == len(rows) and min(r.seq for r in rows) == 0
+
+
 def test_replay_fills_what_is_missing(spark):
     log = spark.createDataFrame(
         [(1, "http://h.example/x", None, None, "hello"), (2, "http://h.example/y", [], None, ""), (3, "bad", ["/k"], None, "t"), (4, "http://h.example/z", ["/k"], None, None)],

@@ -108,23 +108,23 @@ def test_prefix_sums_across_blocks(spark):
 def test_frontier_steps(spark):
     schema = "url_hash string, url string, completed boolean, seq bigint"
     saved = spark.createDataFrame(
-        [("", "http://a.ics.uci.edu/1", False, 1), ("", "https://a.ics.uci.edu/1", True, 5), ("", "http://a.ics.uci.edu/2", None, 2), ("", "http://b.ics.uci.edu/a/b/q", False, 3), ("", None, False, 4)], schema
+        [("", "http://a.ics.university.example/1", False, 1), ("", "https://a.ics.university.example/1", True, 5), ("", "http://a.ics.university.example/2", None, 2), ("", "http://b.ics.university.example/a/b/q", False, 3), ("", None, False, 4)], schema
     )
     state = frontier.state(saved)
-    assert {(r.url, r.completed) for r in state.collect()} == {("http://a.ics.uci.edu/1", True), ("http://a.ics.uci.edu/2", False), ("http://b.ics.uci.edu/a/b/q", False)}
+    assert {(r.url, r.completed) for r in state.collect()} == {("http://a.ics.university.example/1", True), ("http://a.ics.university.example/2", False), ("http://b.ics.university.example/a/b/q", False)}
     bans = spark.createDataFrame([], "host string, pattern string, seq bigint, reason string")
-    subtrees = spark.createDataFrame([("b.ics.uci.edu", "/a/b", 9)], "host string, subtree string, seq bigint")
-    assert [r.url for r in frontier.dequeue(state, bans, subtrees, 5).collect()] == ["http://a.ics.uci.edu/2"]
-    fresh = frontier.enqueue(state, spark.createDataFrame([("https://a.ics.uci.edu/2", 7), ("http://a.ics.uci.edu/3", 8)], "url string, seq bigint"))
-    assert [r.url for r in fresh.collect()] == ["http://a.ics.uci.edu/3"]
-    done = frontier.complete(state, spark.createDataFrame([("http://a.ics.uci.edu/2",)], "url string"))
-    assert {r.url for r in done.where("not completed").collect()} == {"http://b.ics.uci.edu/a/b/q"}
-    assert [r.url for r in frontier.load(saved, bans, subtrees).collect()] == ["http://a.ics.uci.edu/2"]
+    subtrees = spark.createDataFrame([("b.ics.university.example", "/a/b", 9)], "host string, subtree string, seq bigint")
+    assert [r.url for r in frontier.dequeue(state, bans, subtrees, 5).collect()] == ["http://a.ics.university.example/2"]
+    fresh = frontier.enqueue(state, spark.createDataFrame([("https://a.ics.university.example/2", 7), ("http://a.ics.university.example/3", 8)], "url string, seq bigint"))
+    assert [r.url for r in fresh.collect()] == ["http://a.ics.university.example/3"]
+    done = frontier.complete(state, spark.createDataFrame([("http://a.ics.university.example/2",)], "url string"))
+    assert {r.url for r in done.where("not completed").collect()} == {"http://b.ics.university.example/a/b/q"}
+    assert [r.url for r in frontier.load(saved, bans, subtrees).collect()] == ["http://a.ics.university.example/2"]
 
 
 def test_verdicts_in_order(spark):
-    bans = spark.createDataFrame([("a.ics.uci.edu", "/ban", 1, "r")], "host string, pattern string, seq bigint, reason string")
+    bans = spark.createDataFrame([("a.ics.university.example", "/ban", 1, "r")], "host string, pattern string, seq bigint, reason string")
     subtrees = spark.createDataFrame([], "host string, subtree string, seq bigint")
-    found = [("http://a.ics.uci.edu/x", 1), ("https://www.a.ics.uci.edu/x/", 2), ("http://a.ics.uci.edu/ban", 3), ("http://a.ics.uci.edu/f.PDF", 4), ("http://math.uci.edu/", 5), ("ftp://a.ics.uci.edu/y", 6), ("nonsense", 7), (None, 8)]
+    found = [("http://a.ics.university.example/x", 1), ("https://www.a.ics.university.example/x/", 2), ("http://a.ics.university.example/ban", 3), ("http://a.ics.university.example/f.PDF", 4), ("http://math.university.example/", 5), ("ftp://a.ics.university.example/y", 6), ("nonsense", 7), (None, 8)]
     got = frontier.verdicts(spark.createDataFrame(found, "url string, seq bigint"), bans, subtrees)
     assert {r.seq: r.verdict for r in got.collect()} == {1: "accept", 2: "seen", 3: "banned-bucket", 4: "bad-extension", 5: "out-of-scope", 6: "bad-scheme", 7: "out-of-scope", 8: "out-of-scope"}

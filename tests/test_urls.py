@@ -17,6 +17,10 @@ URLS = [
     ("http://h.example.com/d/?C=N;O=D", "http://h.example.com/d/", "http://h.example.com/d"),
     ("http://h.example.com/d?x=", "http://h.example.com/d", "http://h.example.com/d"),
     ("http://h.example.com/d?q=a+b~*%C3%A9&p=100%25", "http://h.example.com/d?p=100%25&q=a+b~%2A%C3%A9", "http://h.example.com/d?p=100%25&q=a+b~%2A%C3%A9"),
+    ("http://h.example.com/?q=50%+off%20now", "http://h.example.com/?q=50%25+off+now", "http://h.example.com/?q=50%25+off+now"),
+    ("http://h.example.com/?_class=1&tab_size=4&at_home=x&cjk=1&utm_zzz=1", "http://h.example.com/?_class=1&at_home=x&cjk=1&tab_size=4&utm_zzz=1", "http://h.example.com/?_class=1&at_home=x&cjk=1&tab_size=4&utm_zzz=1"),
+    ("http://h.example.com/?UTM_source=1&utm_source=2&do=x&rev=3&action=y", "http://h.example.com/?UTM_source=1", "http://h.example.com/?UTM_source=1"),
+    ("http://h.example.com/?x=%zz&y=%4", "http://h.example.com/?x=%25zz&y=%254", "http://h.example.com/?x=%25zz&y=%254"),
     ("http://h.example.com/a b|c", None, None), ("not a url", None, None), ("", None, None), (None, None, None),
 ]
 
@@ -47,11 +51,11 @@ def test_own_tracking_list(spark):
 
 @pytest.mark.parametrize(
     ("host", "want"),
-    [("a.ics.uci.edu", True), ("stat.uci.edu", True), ("uci.edu", False), ("math.uci.edu", False), ("ics.uci.edu.evil.com", False), (None, False), ("", False)],
+    [("a.ics.university.example", True), ("stat.university.example", True), ("university.example", False), ("math.university.example", False), ("ics.university.example.evil.com", False), (None, False), ("", False)],
 )
 def test_scope(spark, host, want):
     df = spark.createDataFrame([(host,)], "host string")
-    assert df.select(rules.host_in_scope(F.col("host"), conf.Scope())).first()[0] is want
+    assert df.select(rules.host_in_scope(F.col("host"), conf.Scope(domain="university.example"))).first()[0] is want
 
 
 def test_status_headers_size_extension(spark):
@@ -78,3 +82,9 @@ def test_url_hash_ignores_the_scheme(spark):
     df = spark.createDataFrame([("http://h.example/a/b;p?q#f",), ("https://h.example/a/b;p?q#f",)], "url string")
     want = hashlib.sha256(b"h.example//a/b/p/q/f").hexdigest()
     assert {r[0] for r in df.select(urls.url_hash(F.col("url"))).collect()} == {want}
+
+
+def test_tracking_list_of_a_file(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("! comment\n$removeparam=zz\n$removeparam=/^x_/\n$removeparam=qq,domain=h.example\n||h.example^$removeparam=rr\nplain\n\n")
+    assert conf.tracking_keys(str(path)) == ["zz", "plain"]
