@@ -3,43 +3,45 @@
 Each whole text is cut into segments (lines and sentences). Trusted labels say which segments
 are unfilled template fields, filler or notices, and which speak about such things in their
 own sentences. All other segments are open: they and the trusted ones meet in MinHash tables,
-pairs are verified by the similarity of their texts, and trusted labels spread through the
-connected components. A document is a case if it holds a field or a notice, or consists of
-filler. Null and blank texts are never cases.
-
-Equal segments are one node whatever the number of documents. Only components that hold trusted
-residue can give a label, so pairs are searched outward from it, until nothing new is reached.
+pairs are verified by the Hamming distance of their SimHashes and by the similarity of their
+texts, and trusted labels spread through the connected components. A document is a case if it
+holds a field or a notice, or consists of filler. Null and blank texts are never cases.
+
+All documents are read once: segments, their table keys and SimHashes are found for a whole
+batch of texts at once, on its bytes, and kept (about 90 bytes a segment). Only components that
+hold trusted residue can give a label, so pairs are searched outward from it among the keys kept,
+until nothing new is reached; texts are read again only where keys meet.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from re import _parser
 
+import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gristmill.functions.simhash import distance, simhash_of
+from gristmill.functions.simhash import distance
 from gristmill.operators.components import connected_components
 from gristmill.runtime import cut
 
-#: The forms in which template languages and editors mark a field to be filled.
+#: the forms in which template languages and editors mark a field to be filled.
 FIELD = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[\w. ]{1,40}\}|\$!\{?[A-Za-z]\w*|%\(\w+\)[sd]|%%[A-Z][A-Z_]*%%|\[\[[\w ]{1,40}\]\]"
-    r"|<%[=-]?[^%\n]{1,60}%>|<\?(?:php|=)[^>\n]{1,80}\?>|\{%[^%\n]{1,60}%\}|@(?:Model|ViewBag)\.\w+|__[A-Z][A-Z_]*[A-Z]__"
-    r"|(?<![\w~])~[A-Z][A-Z_]*[A-Z]~|\[(?:your|insert|enter|add|name of)\b[^\[\]\n]{0,40}\]|<[\w ]{1,40} goes here>"
-    r"|(?<![\w$#{%])\{[a-z][a-z_]{1,30}\}(?!\})|\[object Object\]",
+    r"\{\{[^{}\n]+\}\}|[$#]\{[\w. ]+\}|\$!\{?[A-Za-z]\w*|%\(\w+\)[sd]|%%[A-Z][A-Z_]*%%|\[\[[\w ]+\]\]"
+    r"|<%[=-]?[^%\n]+%>|<\?(?:php|=)[^>\n]+\?>|\{%[^%\n]+%\}|@(?:Model|ViewBag)\.\w+|__[A-Z][A-Z_]*[A-Z]__"
+    r"|(?<![\w~])~[A-Z][A-Z_]*[A-Z]~|\[(?:your|insert|enter|add|name of)\b[^\[\]\n]*\]|<[\w ]+ goes here>"
+    r"|(?<![\w$#{%])\{[a-z][a-z_]+\}(?!\})|\[object Object\]|<<[A-Z][A-Z_ ]*>>|(?<![\w%])%[a-z]+_?[a-z]*%(?![\w%])",
     re.I,
 )
-FIELD_SIGNS = ("{", "[", "<", "%(", "%%", "@", "~", "__", "$!")
+FIELD_SIGNS = ("{", "[", "<", "%", "@", "~", "__", "$!")
 #: Forms whose letters must be capitals; the pattern above ignores case for the others' sake.
 CAPITALS = re.compile(r"^(?:%%|__|~)")
-#: Stems of the customary pseudo-Latin filler.
+#: stems of the customary pseudo-Latin filler.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet conse adipi elit tinci dapib molli sodal bland nibh felis nibhe euism portt augue nulla "
     "turpe turpi quist quis variu massi massa fring ornar fauci sempe viver aenea hendr lacin liber curse cursu ultri "
@@ -52,14 +54,14 @@ SHARED = frozenset(
     "conse inter facil porta place magna tempo tempr liber curse cursu elit nulla bland massi massa molli sit sed justo eros dolor viver sapie vesti felis dui".split()
 )
 LATIN_WORDS = frozenset("lorem ipsum dolor dolore amet".split())
-#: Phrases of filler text.
+#: phrases of filler text.
 FILLER = re.compile(
     r"\b(?:text text|blind text|dummy text|sample text|example content|placeholder (?:copy|text)|filler text|blah blah|asdf|foo bar|qwerty"
     r"|xxxx|tbd tbd|(?:title|subtitle|text|content|heading|story) here|text goes here|replace (?:it|this|me) with your own|test post please ignore)\b"
     r"|^(\w+)(?: \1){2,}\b|^heading \d+\W*$|^(?:null|undefined|nan)(?: (?:null|undefined|nan))*\W*$|^test(?: test)+\b",
     re.I,
 )
-#: Phrases of error messages and of notices about access, login, upkeep, loading, scripts and cookies.
+#: phrases of error messages and of notices about access, login, upkeep, loading, scripts and cookies.
 NOTICE = re.compile(
     r"\b(?:[45]\d\d (?:not found|forbidden|internal server error|bad gateway|service (?:temporarily )?unavailable|unauthorized|gateway time-?out|bad request|gone)"
     r"|error establishing|could not connect to (?:the )?database|failed to load resource|internal error while|traceback \(most recent|undefined (?:index|variable|offset|function)"
@@ -132,308 +134,530 @@ def _literals(pattern: re.Pattern) -> list[frozenset[str] | None]:
 
 
 #: Derived from the forms: every match of FILLER or NOTICE holds one of these, or is REPEATED.
-_ALL = frozenset().union(*(x for p in (FILLER, NOTICE) for x in _literals(p) if x))
-LITERALS = tuple(sorted(x for x in _ALL if not any(y != x and y in x for y in _ALL)))
-#: Cues that a sentence speaks about such things instead of being one; three of CUES do as well.
-SPEAKS = re.compile(
-    r"\b(?:mark such as|variable \S+ holds|is swapped|written as|learned (?:why|how|that)|explain\w* (?:how|why|that)|tells? the|(?:log|message|manual|book) says|shows? (?:how|that|why)"
-    r"|traced|filled its|before the real|erklär\w* (?:wie|warum|dass)|zeigt, (?:wie|dass)|explica\w* (?:cómo|por qué|que)|muestra (?:cómo|que)|expliqu\w* (?:comment|pourquoi|que)|montre (?:comment|que))\b",
-    re.I,
+LITERALS = frozenset().union(*(x for p in (FILLER, NOTICE) for x in _literals(p) if x))
+
+
+def _automaton(words: frozenset[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for word in sorted(words):
+        out.add_word(word, 1)
+    out.make_automaton()
+    return out
+
+
+#: A segment without any of these holds no filler or notice (but for REPEATED and pseudo-Latin).
+HINTS = _automaton(LITERALS)
+#: Words by which a sentence speaks of something instead of being it: verbs of telling and holding, and
+#: things that tell or are spoken of. General vocabulary (see ``speaks``), of which only long segments are judged.
+TELLS = frozenset(
+    "says said say tells told tell explains explained explain shows showed show means meant describes described holds held contains stands reads returns "
+    "returned teaches taught learned learnt asks asked prints printed quotes quoted mentions discusses discussed "
+    "erklärt erklärte erklärten zeigt zeigte beschreibt bedeutet explica explicó explicaron muestra mostró describe significa explique expliqua montre montra décrit signifie".split()
 )
-CUES = frozenset(
-    "shell script variable holds tutorial shows mark such swapped value built template placeholder syntax students project learned why "
-    "explained how team traced reply tells crawler log says folder group print shop filled drafts real".split()
+THINGS = frozenset(
+    "log logs message messages tutorial manual chapter book lecture script scripts variable variables syntax placeholder placeholders template templates "
+    "mark marks reply replies answer code codes term phrase string article essay student students "
+    "fehler meldung handbuch skript variable platzhalter vorlage mensaje manual guion plantilla marcador registro message manuel gabarit modèle journal".split()
 )
-SENTENCE = re.compile(r"\n|(?<=[.!?…])\s+(?=[\"“¿¡(\[{]?[A-ZÄÖÜÉÈÀÁÍÓÚÑ¿¡])")
+HOW = frozenset("how that why whether what wie warum dass cómo que comment pourquoi".split())
+
+
+def speaks(words: list[str]) -> bool:
+    """A word of telling after a thing that tells, or right before "how", "that" or the like."""
+    for i, w in enumerate(words):
+        if w in TELLS and (not HOW.isdisjoint(words[i + 1 : i + 3]) or not THINGS.isdisjoint(words[max(0, i - 7) : i])):
+            return True
+    return False
+
+
 WORDS = re.compile(r"\w+")
 
 
-def label(segment: str, words: list[str], latin: bool = True, marks: bool = True, literals: tuple[str, ...] = LITERALS, anchored: bool = False) -> tuple[int, str]:
-    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``literals``:
-    those of LITERALS that the segment's text holds; ``anchored``: the text holds one of LATIN_WORDS."""
-    kind = ""
-    if marks and any(x in segment for x in FIELD_SIGNS):
+def label(segment: str, hinted: bool = True) -> tuple[int, str]:
+    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``hinted``: whether
+    it may hold a literal or pseudo-Latin (see ``hinted``)."""
+    kind, words = "", WORDS.findall(segment.lower()) if hinted else []
+    if any(x in segment for x in FIELD_SIGNS):
         for m in FIELD.finditer(segment):
             if not CAPITALS.match(m[0]) or m[0].upper() == m[0]:
                 kind = "field"
                 break
-    if not kind and latin and words:
+    if not kind and words:
         stems = [w[:5] for w in words if w[:5] in LATIN]
-        sure = anchored or not LATIN_WORDS.isdisjoint(words)
+        sure = not LATIN_WORDS.isdisjoint(words)
         if len(stems) >= max(2, 0.5 * len(words)) and (sure or sum(1 for x in stems if x not in SHARED) >= 2):
             return 1, "filler"
-    low = fold(segment)
-    if not kind and (any(x in low for x in literals) or REPEATED.match(segment)):
+    if not kind and (hinted and next(HINTS.iter(fold(segment)), None) is not None or REPEATED.match(segment)):
         kind = "filler" if FILLER.search(segment) else "notice" if NOTICE.search(segment) else ""
     if not kind:
         return 0, ""
+    words = words or WORDS.findall(segment.lower())
     long = len(words) >= (9 if kind != "filler" else 7)
-    return (-1 if long and (SPEAKS.search(segment) or len(CUES.intersection(words)) >= 3) else 1), kind
+    return (-1 if long and speaks(WORDS.findall(FIELD.sub(" x ", segment).lower())) else 1), kind
 
 
-def folded(part: str) -> str:
-    return re.sub(r"\d+", "0", " ".join(part.lower().split()))
+#: Tables, and minima of hashes of runs of three signs that key a table.
+BANDS, ROWS = 16, 3
+#: Hamming distance of the SimHashes of a pair, at most; see ``near_pairs``.
+MAX_DISTANCE = 26
+_RNG = np.random.default_rng(7)
+_FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Signs of fields that count as parts of a text; texts with one are marked.
+_SIGNS = b"{}[]<>~_%$#@"
+_SUSPECT = np.isin(np.arange(256), np.frombuffer(b"{[<%@~_$", np.uint8))
+_MARKS = np.isin(np.arange(256), np.frombuffer(b"{[<~_", np.uint8))
+
+
+def _letters() -> np.ndarray:
+    """What each byte becomes: letters lower-case, digits 0, signs of fields themselves, all else a blank."""
+    out = np.full(256, 32, np.uint8)
+    for c in range(256):
+        if chr(c).isascii() and chr(c).isalnum():
+            out[c] = ord("0") if chr(c).isdigit() else ord(chr(c).lower())
+        elif c in _SIGNS or c >= 128:
+            out[c] = c
+    return out
 
 
-SEGMENTS = "text string, label int, kind string, n_words int"
+_PLAIN = _letters()
+
+
+def _slots(c: np.ndarray, size: int) -> np.ndarray:
+    """Slots in a table of 2**22 of all windows of ``size`` (4 or 6) folded signs."""
+    x = c.astype(np.uint32)
+    g = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
+    more = x[3:] if size == 4 else g[3:]
+    return (g[: len(more)] * np.uint32(0x9E3779B1) ^ more * np.uint32(0x85EBCA6B)) >> np.uint32(10)
+
+
+def _rare_windows() -> dict[int, np.ndarray]:
+    """By size of window, marks of the slots of the window of rarest letters of each literal, and of the
+    starts of words by which pseudo-Latin is known. What holds a literal holds its window."""
+    out, often = {4: np.zeros(1 << 22, bool), 6: np.zeros(1 << 22, bool)}, " etaoinshrdlcumwfgypbvkjxqz"
+    for literal in sorted(LITERALS):
+        folded = _PLAIN[np.frombuffer(literal.encode(), np.uint8)].tobytes()
+        folded = re.sub(b"0+", b"0", re.sub(b" +", b" ", folded))
+        folded = folded if len(folded) > 3 else b" " + folded  # the one form of so short a literal begins its segment
+        size = 6 if len(folded) >= 6 else 4
+        windows = [folded[i : i + size] for i in range(len(folded) - size + 1)]
+        best = max(windows, key=lambda w: sum(often.find(chr(x)) % 32 for x in w))
+        out[size][_slots(np.frombuffer(best, np.uint8), size)] = True
+    for stem in LATIN_WORDS | (LATIN - SHARED):
+        window = f" {stem} "[:6].encode()
+        out[len(window) // 2 * 2][_slots(np.frombuffer(window, np.uint8), len(window) // 2 * 2)] = True
+    return out
 
 
-def _repeats(low: str) -> bool:
-    """Whether words may be REPEATED; words alone between spaces are looked at first."""
-    words = low.split(" ")
-    return any(map(str.endswith, words, words[1:])) and REPEATED.search(low) is not None
+_RARE = _rare_windows()
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+#: Last bytes of . ! ? and …, and first bytes of what may open a sentence: capitals, quotes, brackets, other scripts.
+_CLOSE = np.isin(np.arange(256), [*b".!?", 0xA6])
+_OPEN = (np.arange(256) >= 128) | np.isin(np.arange(256), np.frombuffer(b'ABCDEFGHIJKLMNOPQRSTUVWXYZ"([{', np.uint8))
+
+
+@dataclass
+class Segments:
+    """Segments of some texts: number of their text, places in the raw and the folded bytes, words,
+    whether they are marked, and suspect of a field or a repeated word."""
+
+    raw: np.ndarray
+    plain: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    n_words: np.ndarray
+    marked: np.ndarray
+    suspect: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def raw_text(self, k: int) -> str:
+        return self.raw[self.start[k] : self.end[k]].tobytes().decode("utf-8", "replace")
+
+    def text(self, k: int) -> str:
+        return self.plain[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace")
+
+
+def _within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether any of some sorted places lies in each span."""
+    return np.searchsorted(places, end) > np.searchsorted(places, start)
+
+
+def segments(texts: list[bytes], sentences: bool = True) -> Segments:
+    """The segments of texts, found on all bytes at once; without ``sentences``, whole lines. A break is a run of white space that holds a
+    line end, or that follows an end mark and precedes what may open a sentence. Folded, a segment
+    is in lower case (ASCII and Latin-1), digits of a number are one 0, and all but letters, digits
+    and signs of fields is one blank; segments of fewer than two signs are left out."""
+    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    blank = _BLANK[raw]
+    starts = np.flatnonzero(blank & ~np.r_[False, blank[:-1]])
+    ends = np.flatnonzero(blank & ~np.r_[blank[1:], False])
+    cuts = _within(np.flatnonzero(raw == 10), starts, ends + 1)
+    if sentences:
+        cuts |= _CLOSE[raw[np.maximum(starts - 1, 0)]] & _OPEN[raw[np.minimum(ends + 1, len(raw) - 1)]]
+    a, b = ends[cuts][:-1] + 1, starts[cuts][1:]
+    low = _PLAIN[raw]
+    low[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 32
+    keep = np.r_[True, ((low[1:] != 32) | (low[:-1] != 32)) & ((low[1:] != 48) | (low[:-1] != 48))]
+    plain, place = np.r_[low[keep], np.uint8(32)], np.cumsum(keep)
+    first, last = place[a] - keep[a], place[np.maximum(b - 1, 0)]
+    first += plain[np.minimum(first, len(plain) - 1)] == 32
+    last -= plain[np.maximum(last - 1, 0)] == 32
+    whole = last - first >= 2
+    a, b, first, last = a[whole], b[whole], first[whole], last[whole]
+    blanks = plain == 32
+    at = np.flatnonzero(blanks)
+    # Words are known by their length and first letters; three alike in a row may be a repeated word.
+    size, begin = np.diff(at), plain[at[:-1] + 1].astype(np.int64) | (plain[np.minimum(at[:-1] + 2, len(plain) - 1)].astype(np.int64) << 8)
+    alike = (size[1:] == size[:-1]) & (begin[1:] == begin[:-1])
+    again = at[:-3][alike[1:] & alike[:-1]] if len(at) > 3 else at[:0]
+    suspect = _within(np.flatnonzero(_SUSPECT[plain]), first, last) | _within(again, first - 1, last)
+    n_words = np.searchsorted(at, last) - np.searchsorted(at, first) + 1
+    return Segments(raw, plain, np.searchsorted(bounds, a, "right") - 1, a, b, first, last, n_words, _within(np.flatnonzero(_MARKS[plain]), first, last), suspect)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _runs(s: Segments, size: int = 65536) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of ``s`` that keep arrays within the processor's cache: which segments, the codes of all
+    runs of three folded signs, where each segment's runs begin and end (for ``_over``), and how many they are."""
+    at = 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(s.last, s.first[at] + size)))
+        a, b = int(s.first[at]) - 1, int(s.last[to - 1]) + 2
+        c = s.plain[a:b].astype(np.uint32)
+        lo, hi = s.first[at:to] - 1 - a, s.last[at:to] - 1 - a
+        yield slice(at, to), c[:-2] | (c[1:-1] << np.uint32(8)) | (c[2:] << np.uint32(16)), np.stack([lo, hi], 1).ravel(), hi - lo
+        at = to
+
+
+def _over(op: np.ufunc, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """``op`` over the runs of each segment."""
+    return op.reduceat(x, index)[::2]
+
+
+def _hashed(g: np.ndarray) -> np.ndarray:
+    return _mix(g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9))
+
+
+def _identity(g: np.ndarray, wide: np.ndarray, index: np.ndarray) -> np.ndarray:
+    lo = index[::2]
+    spot = (np.arange(len(g), dtype=np.int64) - np.repeat(lo, np.diff(np.r_[lo, len(g)]))).astype(np.uint64)
+    return _mix(_over(np.add, wide * (spot * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)), index))
+
+
+def identities(s: Segments) -> np.ndarray:
+    """64 bits that tell folded texts apart."""
+    parts = [_identity(g, _hashed(g), index) for _, g, index, _ in _runs(s)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Identities and table keys (segments x BANDS).
+
+    A key is of ROWS minima over the hashed runs of three signs and the level of length. Texts whose
+    runs have a share j in common meet in some table with the chance 1 - (1 - j**3)**16. Tables of
+    parts of SimHashes can't be used: a changed word in ten flips 4 to 12 bits of 64. ``shift``: added
+    to the level, so that texts meet whose lengths are on neighbouring levels.
+    """
+    node, keys = np.zeros(len(s), np.uint64), np.zeros((len(s), BANDS), np.uint32)
+    level = np.floor(np.log(np.maximum(1, s.last - s.first)) / np.log(1.25)).astype(np.int64) + shift + 1
+    for part, g, index, _ in _runs(s):
+        wide = _hashed(g)
+        node[part] = _identity(g, wide, index)
+        h = (wide >> np.uint64(32)).astype(np.uint32)
+        for t in range(BANDS):
+            key = (level[part] + t * 4096).astype(np.uint64)
+            for k in range(t * ROWS, (t + 1) * ROWS):
+                key = _mix(key ^ _over(np.minimum, h * _FACTORS[k] + _SHIFTS[k], index))
+            keys[part, t] = key >> np.uint64(32)
+    return node, keys
+
+
+def hinted(s: Segments) -> np.ndarray:
+    """Whether a segment may hold one of LITERALS or pseudo-Latin."""
+    # Signs that a pattern without regard to case takes for ASCII letters: long s, i with and without a dot, Kelvin.
+    a, b = s.raw[:-1], s.raw[1:]
+    odd = ((a == 0xC5) & (b == 0xBF)) | ((a == 0xC4) & ((b == 0xB0) | (b == 0xB1))) | ((a == 0x84) & (b == 0xAA))
+    out = _within(np.flatnonzero(odd), s.start, s.end)
+    for size, table in _RARE.items():
+        if len(s.plain) > size:
+            out |= _within(np.flatnonzero(table[_slots(s.plain, size)]), s.first - 1, s.last + 1)
+    return out
+
+
+def around(s: Segments) -> np.ndarray:
+    """Keys of segments on their level of length and the ones next to it (segments x 3 BANDS)."""
+    out = []
+    for shift in (-1, 0, 1):
+        out.append(fingerprints(s, shift)[1])
+    return np.concatenate(out, axis=1).astype(np.int64)
+
+
+def simhashes(s: Segments) -> np.ndarray:
+    """SimHash of each segment over its runs of three signs, repeats counted."""
+    out = np.zeros(len(s), np.uint64)
+    for part, g, index, own in _runs(s):
+        wide = _hashed(g)
+        # Bits are summed in lanes of 16, of 32 where a segment has so many runs.
+        lanes = 4 if int(own.max()) < 65536 else 2
+        width = 64 // lanes
+        ones = np.uint64(sum(1 << width * i for i in range(lanes)))
+        for shift in range(width):
+            sums = _over(np.add, (wide >> np.uint64(shift)) & ones, index)
+            for lane in range(lanes):
+                count = (sums >> np.uint64(width * lane)) & np.uint64((1 << width) - 1)
+                out[part] |= (count.astype(np.int64) > own // 2).astype(np.uint64) << np.uint64(width * lane + shift)
+    return out
+
+
+def trusted(s: Segments) -> list[tuple[int, int, str]]:
+    """(segment, label, kind) of the trusted segments."""
+    out, hints = [], hinted(s)
+    for k in np.flatnonzero(s.suspect | hints).tolist():
+        sign, kind = label(s.raw_text(k), bool(hints[k]))
+        if sign:
+            out.append((k, sign, kind))
+    return out
 
 
 def segments_of(text: str) -> list[tuple[str, int, str, int]]:
-    """Trusted segments of a text, without repeats: folded text, label, kind, words."""
-    out: dict[str, list] = {}
-    low = fold(text)
-    literals = tuple(x for x in LITERALS if x in low)
-    every = WORDS.findall(text.lower())
-    latin = sum(1 for w in every if w[:5] in LATIN) >= 2
-    anchored = latin and not LATIN_WORDS.isdisjoint(every)
-    marks = any(x in text for x in FIELD_SIGNS)
-    if not latin and not marks and not literals and not _repeats(low):
-        return []
-    for part in SENTENCE.split(text):
-        part = part.strip()
-        if not part:
-            continue
-        words = WORDS.findall(part.lower())
-        sign, kind = label(part, words, latin, marks, literals, anchored)
-        if not sign:
-            continue
-        key = folded(part)
-        if key in out:
-            out[key][3] += len(words)
-        else:
-            out[key] = [key, sign, kind, len(words)]
-    return [tuple(x) for x in out.values()]
+    """Trusted segments of a text: folded text, label, kind, words."""
+    s = segments([text.encode("utf-8", "replace")])
+    return [(s.text(k), sign, kind, int(s.n_words[k])) for k, sign, kind in trusted(s)]
+
+
+#: Bytes of a segment in ``prints``: identity, keys, words, whether it is marked.
+_ITEM = np.dtype([("node", "<u8"), ("keys", "<u4", (BANDS,)), ("words", "<u4"), ("marked", "u1")])
+_TRUSTED = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
+_SCAN = "total bigint, prints binary, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
+#: Texts are taken together up to so many bytes; a longer one by itself.
+_CHUNK = 400_000
+
 
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and bytes of the texts (null: none) of each chunk of a column."""
+    held: list[bytes] = []
+    size, first = 0, 0
+    for i, text in enumerate(column.cast(pa.binary()).to_pylist()):
+        held.append(text or b"")
+        size += len(held[-1])
+        if size > _CHUNK:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
 
-def with_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, total words, and the trusted segments of documents that have any."""
+
+def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, words in all, prints of all segments and the trusted segments of every document with segments."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, totals, rows = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and not text.isspace() and (found := segments_of(text)):
-                    ids.append(i)
-                    totals.append(len(WORDS.findall(text)))
-                    rows.append([dict(zip(("text", "label", "kind", "n_words"), x, strict=True)) for x in found])
-            if ids:
+            for first, texts in _chunks(batch.column(1)):
+                s = segments(texts)
+                if not len(s):
+                    continue
+                items = np.zeros(len(s), _ITEM)
+                items["node"], items["keys"] = fingerprints(s)
+                items["words"], items["marked"] = s.n_words, s.marked
+                rows: dict[int, list[dict]] = {}
+                for k, sign, kind in trusted(s):
+                    one = {"node": int(items["node"][k].astype(np.int64)), "text": s.text(k), "label": sign, "kind": kind, "n_words": int(s.n_words[k])}
+                    rows.setdefault(int(s.owner[k]), []).append(one)
+                docs, at = np.unique(s.owner, return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.column(0).type), pa.array(totals, pa.int64()), pa.array(rows, kinds)],
-                    [id_col, "total", "segments"],
+                    [
+                        batch.column(0).take(pa.array(docs + first)),
+                        pa.array(np.add.reduceat(s.n_words, at).astype(np.int64)),
+                        pa.array([x.tobytes() for x in np.split(items, at[1:])], pa.binary()),
+                        pa.array([rows.get(d, []) for d in docs.tolist()], _TRUSTED),
+                    ],
+                    [id_col, "total", "prints", "trusted"],
                 )
 
-    kinds = pa.list_(pa.struct([("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, total bigint, segments array<struct<{SEGMENTS.replace(' ', ':').replace(',:', ',')}>>")
+    return df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, {_SCAN}")
 
 
-def _grams(text: str) -> list[str]:
-    text = re.sub(r"\W+", " ", text)
-    return [text[i : i + 4] for i in range(max(1, len(text) - 3))]
+def keyed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, text, kind) with SimHash and the keys of their texts on their level of length and the next ones."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
+                columns = [pa.array(simhashes(s).view(np.int64)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "keys"])
 
-#: Tables, and minima of 4-gram hashes that key a table.
-BANDS, ROWS = 32, 3
-_RNG = np.random.default_rng(7)
-_FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-
+    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, keys array<bigint>")
 
-def band_keys(texts: list[str], around: bool = False) -> np.ndarray:
-    """Keys (texts x BANDS) under which near texts meet; each is of ROWS minima over the 4-grams and the
-    level of length.
 
-    Texts whose 4-grams have a share j in common meet in some table with the chance
-    1 - (1 - j**3)**32. The distance of 64-bit SimHashes can't be used instead: a changed word in
-    ten flips 4 to 12 bits, and tables for such distances have keys of a few bits.
-    Similar texts differ in length by a quarter at most, so lengths meet that are on the same level
-    or the next: ``around`` gives keys of three levels (texts x 3 BANDS), to meet those of one.
-    """
-    out = np.zeros((len(texts), BANDS), np.uint64)
-    for at in range(0, len(texts), 2048):
-        padded = [f" {' '.join(WORDS.findall(t))} " for t in texts[at : at + 2048]]
-        padded = [p if len(p) > 3 else "    " for p in padded]
-        sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        g = c[:-3] * np.uint64(0x9E3779B97F4A7C15) + c[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:-1] * np.uint64(0x165667B19E3779F9) + c[3:] * np.uint64(0x27D4EB2F165667C5)
-        g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        ends = np.cumsum(sizes)
-        whole = np.ones(len(c), bool)
-        whole[ends - 1] = whole[ends - 2] = whole[ends - 3] = False
-        g = (g >> np.uint64(32)).astype(np.uint32)[whole[:-3]]
-        starts = np.concatenate([[0], np.cumsum(sizes - 3)[:-1]])
-        for b in range(BANDS):
-            key = np.full(len(padded), b, np.uint64)
-            for k in range(b * ROWS, (b + 1) * ROWS):
-                key = (key ^ np.minimum.reduceat(g * _FACTORS[k] + _SHIFTS[k], starts)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
-            out[at : at + len(padded), b] = key
-    level = np.floor(np.log(np.maximum(1, [len(t) for t in texts])) / np.log(1.25)).astype(np.int64)[:, None]
-    shifts = (-1, 0, 1) if around else (0,)
-    return np.concatenate([out ^ ((level + i + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for i in shifts], axis=1) if texts else out
-
-
-def with_keys(nodes: DataFrame, around: bool = False) -> DataFrame:
-    """``nodes`` (node, text, kind) with the keys of their texts (see ``band_keys``)."""
+#: Most bits of a filter of keys or ids (128 MB); fewer for few of them. Filters only save rows: what
+#: passes by chance is dropped by the joins behind them.
+MOST_BITS = 30
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array(band_keys(batch.column(1).to_pylist(), around).view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["node", "text", "kind", "keys"])
 
-    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, keys array<bigint>")
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """Filter of a column of integers: bits at their lowest places, 16 for each value, as far as MOST_BITS goes."""
+    bits = int(min(MOST_BITS, max(20, np.ceil(np.log2(16 * max(1, values.count()))))))
+    at = values.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("k"))
+    parts = at.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).toLocalIterator()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def _marked(column: str) -> Column:
-    return F.array_contains(F.array(*[F.contains(F.col(column), F.lit(x)) for x in FIELD_SIGNS]), True)
-
-
-def near_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """(node, text, node2, text2) of texts that meet in a table and are similar enough. ``left``
-    (with keys around), ``right``: node, text, kind, keys. An unfilled field and a text without any mark of one are
-    never a pair, as the latter is the filled copy."""
-    one = left.select("node", F.length("text").alias("size"), F.explode("keys").alias("key"))
-    two = right.select(F.col("node").alias("node2"), F.length("text").alias("size2"), F.explode("keys").alias("key"))
-    most = (1 - similarity) * F.greatest("size", "size2")
-    met = one.join(two, "key").where((F.col("node") != F.col("node2")) & (F.abs(F.col("size") - F.col("size2")) <= most))
-    # Pairs meet in several tables; texts are compared once.
-    met = met.select("node", "node2").distinct()
-    both = met.join(left.select("node", "text", "kind"), "node").join(
-        right.select(F.col("node").alias("node2"), F.col("text").alias("text2"), F.col("kind").alias("kind2")), "node2"
-    )
-    filled = ((F.col("kind") == "field") & ~_marked("text2")) | ((F.col("kind2") == "field") & ~_marked("text"))
-    return both.where(~filled).where(F.expr(f"levenshtein(text, text2, cast(floor({1 - similarity!r} * greatest(length(text), length(text2)) + 1e-9) as int)) >= 0"))
+def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values.astype(np.int64) & (8 * len(table) - 1)
+    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
 
 
-@F.pandas_udf(T.LongType())
-def _print(texts: pd.Series) -> pd.Series:
-    return pd.Series([simhash_of(_grams(t)) for t in texts], dtype="int64")
+def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) -> DataFrame:
+    """(id, total, node, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
+    is marked, of ``fields``."""
+    sent = scan.sparkSession.sparkContext.broadcast((plain, fields))
+    names = [id_col, "total", "node", "n_words", "marked", "keys"]
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, fields = sent.value
+        for batch in batches:
+            items = [np.frombuffer(x, _ITEM) for x in batch.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, items), np.int64, len(items))
+            if not sizes.sum():
+                continue
+            flat = np.concatenate(items)
+            hit = _passes(plain, flat["keys"]) | (_passes(fields, flat["keys"]) & (flat["marked"] > 0)[:, None])
+            kept = np.flatnonzero(hit.any(axis=1))
+            if not len(kept):
+                continue
+            row = np.repeat(np.arange(len(items)), sizes)[kept]
+            keys = pa.ListArray.from_arrays(np.r_[0, np.cumsum(hit[kept].sum(axis=1))].astype(np.int32), pa.array(flat["keys"][kept][hit[kept]].astype(np.int64)))
+            some = flat[kept]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)),
+                    pa.array(some["words"].astype(np.int32)), pa.array(some["marked"] > 0), keys,
+                ],
+                names,
+            )
+
+    kind = scan.schema[id_col].dataType.simpleString()
+    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, n_words int, marked boolean, keys array<bigint>")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, text, print) of the segments ``wanted`` (id, node) in the documents, which are looked up by filters of ids and nodes."""
+    place = F.xxhash64(F.col(id_col))
+    sent = df.sparkSession.sparkContext.broadcast((bitmap(wanted.select(place.alias("p")), "p"), bitmap(wanted.select("node"), "node")))
 
-def spread(nodes: DataFrame, max_distance: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """Labels of open segments: (node, label, kind) of those in a component with trusted residue.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, nodes = sent.value
+        for batch in batches:
+            column = batch.column(0).filter(pa.array(_passes(ids, batch.column(1).to_numpy())))
+            for _, texts in _chunks(column):
+                s = segments(texts)
+                own = identities(s)
+                kept = np.unique(own, return_index=True)[1]
+                kept = kept[_passes(nodes, own[kept])]
+                if len(kept):
+                    found = [s.text(k) for k in kept.tolist()]
+                    again = segments([x.encode("utf-8", "replace") for x in found], sentences=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[kept].astype(np.int64)), pa.array(found), pa.array(simhashes(again).view(np.int64))], ["node", "text", "print"]
+                    )
 
-    ``nodes``: node, text, label, kind; one row per distinct segment. A component that also
-    holds a sentence speaking about residue gives no label. ``max_distance``: if given, the
-    SimHashes of a pair must lie within it as well.
-    """
-    close = near_pairs(cut(with_keys(nodes, around=True)), cut(with_keys(nodes)), similarity).where("node < node2")
-    if max_distance is not None:
-        close = close.where(distance(_print("text"), _print("text2")) <= max_distance)
-    edges = close.select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    parts = connected_components(edges)
-    labelled = nodes.join(parts.withColumnRenamed("id", "node"), "node")
-    told = labelled.groupBy("component").agg(F.max("label").alias("most"), F.min("label").alias("least"), F.max("kind").alias("kind2"))
-    return (
-        labelled.where("label = 0")
-        .join(told, "component")
-        .where("most = 1 and least = 0")
-        .select("node", F.lit(1).alias("spread_label"), F.col("kind2").alias("spread_kind"))
-    )
+    got = df.select(text_col, place.alias("_place")).where(F.col(text_col).isNotNull()).mapInArrow(find, "node bigint, text string, print bigint")
+    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-#: Keys of unfilled fields are marked by this, so that only texts with marks meet them.
-FIELD_SALT = 0x5BD1E9955BD1E995
-#: Bits of the filter of trusted keys, of fixed size whatever their number; it only saves rows.
-FILTER_BITS = 27
+def _marked(column: str) -> Column:
+    return F.col(column).rlike(r"[{\[<~_]")
 
 
-def _filter(keyed: DataFrame) -> np.ndarray:
-    """Bitmap of the keys' lowest bits."""
-    at = keyed.select(F.explode("keys").alias("k")).select(F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("k"))
-    parts = at.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in parts:
-        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
-    return out
+def near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, similarity: float, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(node, node2) of the pairs ``met`` whose texts are similar enough: SimHashes within ``max_distance``
+    first, then edit similarity. ``left``, ``right``: node, text, kind, print. An unfilled field and a
+    text without any mark of one are never a pair, as the latter is the filled copy."""
+    both = met.join(left.select("node", "text", "kind", "print"), "node").join(
+        right.select(F.col("node").alias("node2"), F.col("text").alias("text2"), F.col("print").alias("print2")), "node2"
+    )
+    close = both.where(distance(F.col("print"), F.col("print2")) <= max_distance).where((F.col("kind") != "field") | _marked("text2"))
+    most = f"cast(floor({1 - similarity!r} * greatest(length(text), length(text2)) + 1e-9) as int)"
+    return close.where(F.expr(f"levenshtein(text, text2, {most}) >= 0")).select("node", "node2")
 
 
-def _met(df: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
-    """id, total words, segment, its words and the keys that pass the filter, of every segment of
-    the documents that has such keys."""
-    sent, names = df.sparkSession.sparkContext.broadcast(bits), [id_col, "total", "text", "n_words", "keys"]
+def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(node, node2) that share a key. ``left``: node, kind, keys (around); ``right``: node, marked, keys."""
+    one = left.select("node", "kind", F.explode("keys").alias("key"))
+    two = right.select(F.col("node").alias("node2"), "marked", F.explode("keys").alias("key")).distinct()
+    met = one.join(two, "key").where(F.col("node") != F.col("node2")).where((F.col("kind") != "field") | F.col("marked"))
+    return met.select("node", "node2").distinct()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, docs, parts = batch.column(0), [], []
-                texts = batch.column(1).to_pylist()
-                for i, text in enumerate(texts):
-                    if text and not text.isspace():
-                        found = [folded(x) for part in SENTENCE.split(text) if (x := part.strip())]
-                        parts += found
-                        docs += [i] * len(found)
-                if not parts:
-                    continue
-                distinct = list(dict.fromkeys(parts))
-                keys = band_keys(distinct)
-                marked = np.array([any(m in x for m in FIELD_SIGNS) for x in distinct])[:, None]
-                keys = np.concatenate([keys, np.where(marked, keys ^ np.uint64(FIELD_SALT), keys)], axis=1)
-                low = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                hit = (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
-                hit[:, BANDS:] &= marked
-                kept = {distinct[k]: keys[k][hit[k]].view(np.int64).tolist() for k in np.flatnonzero(hit.any(axis=1)).tolist()}
-                rows = [(i, x) for i, x in zip(docs, parts, strict=True) if x in kept]
-                totals = {i: len(WORDS.findall(texts[i])) for i in {i for i, _ in rows}}
-                words = {x: len(WORDS.findall(x)) for x in kept}
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array([i for i, _ in rows], pa.int64())), pa.array([totals[i] for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string()),
-                            pa.array([words[x] for _, x in rows], pa.int32()), pa.array([kept[x] for _, x in rows], pa.list_(pa.int64())),
-                        ],
-                        names,
-                    )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, total bigint, text string, n_words int, keys array<bigint>")
+_ROWS = ("total", "node", "n_words")
 
 
-def reached(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, similarity: float = 0.8) -> DataFrame | None:
-    """(id, total, text, label 0, kind '', n_words, node) of the open segments that pairs link,
-    over any number of steps, to trusted residue; None if there are none.
+def reached(df: DataFrame, scan: DataFrame, id_col: str, text_col: str, nodes: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, edges): (id, total, node, n_words) of the open segments that pairs link, over any number of
+    steps, to trusted residue, and all pairs (a, b) found; None if there are none.
 
-    All segments of all documents are searched; each step passes over the documents and asks for
-    neighbours of the segments found by the last one. ``nodes``: node, text, label, kind.
+    All segments of all documents are searched; each step asks the kept keys for the neighbours of
+    the segments found by the last one. ``nodes``: node, text, label, kind of the trusted segments.
     """
-    known, front, out = nodes.select("node"), nodes.where("label = 1"), None
+    known, front, rows, edges = nodes.select("node"), nodes.where("label = 1").select("node", "text", "kind"), None, None
     while not front.isEmpty():
-        salted = F.transform("keys", lambda k: k.bitwiseXOR(F.lit(FIELD_SALT)))
-        keyed = cut(with_keys(front, around=True).withColumn("keys", F.when(F.col("kind") == "field", salted).otherwise(F.col("keys"))))
-        met = cut(_met(df, id_col, text_col, _filter(keyed)).withColumn("node", F.xxhash64("text")).join(known, "node", "left_anti"))
-        right = met.select("node", "text", F.lit("").alias("kind"), "keys").dropDuplicates(["node"])
-        new = cut(near_pairs(keyed, right, similarity).select(F.col("node2").alias("node"), F.col("text2").alias("text")).dropDuplicates(["node"]))
-        if new.isEmpty():
-            break
-        rows = met.join(new.select("node"), "node", "left_semi").groupBy(id_col, "total", "text", "node").agg(F.sum("n_words").cast("int").alias("n_words"))
-        rows = cut(rows.select(id_col, "total", "text", F.lit(0).alias("label"), F.lit("").alias("kind"), "n_words", "node"))
-        out = rows if out is None else out.union(rows)
-        known, front = known.union(new.select("node")), new.withColumn("kind", F.lit(""))
-    return out
+        left = cut(keyed(front))
+        keys = left.select("kind", F.explode("keys").alias("key"))
+        met = cut(_met(scan, id_col, bitmap(keys.where("kind <> 'field'"), "key"), bitmap(keys.where("kind = 'field'"), "key")))
+        pairs = cut(meetings(left, met))
+        wanted = met.select(id_col, "node").join(pairs.select(F.col("node2").alias("node")).distinct(), "node", "left_semi")
+        right = cut(_texts(df, id_col, text_col, wanted.groupBy("node").agg(F.min(id_col).alias(id_col))))
+        close = cut(near_pairs(pairs, left, right, similarity))
+        edges = close if edges is None else edges.union(close)
+        new = cut(close.select(F.col("node2").alias("node")).distinct().join(known, "node", "left_anti"))
+        found = met.join(new, "node", "left_semi").select(id_col, *_ROWS)
+        rows = cut(found) if rows is None else rows.union(cut(found))
+        known = known.union(new)
+        front = cut(right.join(new, "node", "left_semi").select("node", "text", F.lit("").alias("kind")))
+    return None if edges is None or edges.isEmpty() else (rows, edges.select(F.col("node").alias("a"), F.col("node2").alias("b")))
+
+
+def spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, spread_label, spread_kind) of the open nodes in a component with trusted residue. A
+    component that also holds a segment speaking about residue gives no label.
+
+    ``nodes``: node, label, kind; one row per distinct segment, open ones may be missing.
+    """
+    parts = connected_components(edges).withColumnRenamed("id", "node")
+    labelled = parts.join(nodes.select("node", "label", "kind"), "node", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    told = labelled.groupBy("component").agg(F.max("label").alias("most"), F.min("label").alias("least"), F.max(F.when(F.col("label") == 1, F.col("kind"))).alias("spread_kind"))
+    given = told.where("most = 1 and least = 0").select("component", "spread_kind")
+    return labelled.where("label = 0").join(given, "component").select("node", F.lit(1).alias("spread_label"), "spread_kind")
+
 
+def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spreading: bool = True) -> DataFrame:
+    """(id, reason) of every document with residue; reason is field, notice or filler.
 
-def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, reason) of every document with residue; reason is field, notice or filler."""
-    found = cut(with_segments(df, id_col, text_col))
-    rows = found.select(id_col, "total", F.explode("segments").alias("s")).select(id_col, "total", "s.*")
-    rows = rows.withColumn("node", F.xxhash64("text"))
+    ``spreading``: whether labels spread to near copies of trusted segments.
+    """
+    scan = cut(scanned(df, id_col, text_col))
+    rows = scan.select(id_col, "total", F.explode("trusted").alias("s")).select(id_col, "total", "s.*")
     nodes = cut(rows.groupBy("node").agg(F.first("text").alias("text"), F.max("label").alias("label"), F.max("kind").alias("kind")))
-    opened = reached(df, id_col, text_col, nodes)
-    if opened is not None:
-        rows = rows.unionByName(opened)
-        nodes = cut(nodes.union(opened.select("node", "text", "label", "kind").dropDuplicates(["node"])))
-    learned = spread(nodes)
-    told = rows.join(learned, "node", "left").withColumn("label", F.coalesce("spread_label", "label")).withColumn(
-        "kind", F.coalesce("spread_kind", "kind")
-    )
+    told = rows.select(id_col, *_ROWS, "label", "kind")
+    more = reached(df, scan, id_col, text_col, nodes) if spreading else None
+    if more is not None:
+        opened = more[0].join(spread(nodes, more[1]), "node")
+        told = told.union(opened.select(id_col, *_ROWS, "spread_label", "spread_kind"))
     hit = F.col("label") == 1
     per_doc = told.groupBy(id_col).agg(
         F.max(hit & (F.col("kind") == "field")).alias("field"),

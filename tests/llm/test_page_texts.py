@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_forest_votes_alike_in_sql(spark):
     ],
 )
 def test_trusted_labels(text, label):
-    assert residue.label(text, residue.WORDS.findall(text.lower()))[0] == label
+    assert residue.label(text)[0] == label
 
 
 def test_residue(spark):
@@ -97,14 +98,29 @@ def test_english_words_of_latin_stems_are_no_filler():
 def test_every_form_implies_the_guard():
     needs = [(x, p) for p in (residue.FILLER, residue.NOTICE) for x in residue._literals(p)]
     assert [p for x, p in needs if x is None] == [residue.FILLER]  # REPEATED, which is tested by itself
-    assert all(any(y in z for y in residue.LITERALS) for x, _ in needs if x for z in x)
+    literals = {z for x, _ in needs if x for z in x}
+    assert literals == residue.LITERALS and [z for z in literals if len(z) < 4] == ["nan"]
+    for z in literals - {"nan"}:
+        assert residue.hinted(residue.segments([f"ab {z}cd".encode()])).any(), z
+    for x in residue.LATIN_WORDS | (residue.LATIN - residue.SHARED):
+        assert residue.hinted(residue.segments([f"ab {x} cd".encode()])).any(), x
 
 
-def test_labels_spread_to_near_copies(spark):
-    base = "some unusual wording telling that this service may not be reached at present reload"
-    nodes = [(1, base, 1, "notice"), (2, base + "s", 0, ""), (3, "a wholly different line about other things reload", 0, ""), (4, "speaks about it at some length and more", -1, "notice")]
-    df = spark.createDataFrame(nodes, "node bigint, text string, label int, kind string")
-    assert [(r.node, r.spread_kind) for r in residue.spread(df, max_distance=10).collect()] == [(2, "notice")]
+def test_segments_of_many_texts_are_those_of_each():
+    texts = [PROSE, "", "  ", "One. Two! three? “Four” 5.", "É 12 a\r\n- 3,4 x", "a", "x" * 70_000 + ". End", "…\n…", "no break. lower case", "{{ A }} of 17%"]
+    both = residue.segments([t.encode() for t in texts])
+    got = [(int(i), both.text(k)) for k, i in enumerate(both.owner)]
+    alone = [(i, s.text(k)) for i, t in enumerate(texts) for s in [residue.segments([t.encode()])] for k in range(len(s))]
+    assert got == alone and [t for i, t in got if i in (3, 4, 8, 9)] == ["one", "two! three?".replace("!", "").replace("?", ""), "“four” 0", "é 0 a", "0 0 x", "no break lower case", "{{ a }} of 0%"]
+    keys = residue.fingerprints(both)[1]
+    each = [residue.fingerprints(residue.segments([t.encode()])) for t in texts]
+    assert (keys == np.concatenate([k for _, k in each])).all() and (residue.identities(both) == np.concatenate([n for n, _ in each])).all()
+
+
+def test_labels_spread_through_components(spark):
+    nodes = spark.createDataFrame([(1, 1, "notice"), (4, -1, "notice"), (5, 1, "field")], "node bigint, label int, kind string")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 6), (5, 6), (7, 8)], "a bigint, b bigint")
+    assert sorted((r.node, r.spread_kind) for r in residue.spread(nodes, edges).collect()) == [(2, "notice"), (3, "notice")]
 
 
 def _edit_distance(a, b):
@@ -135,8 +151,9 @@ def test_reworded_notices_are_candidates(spark):
                 texts.append("".join(x))
     texts = sorted(set(texts))
     wanted = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
-    nodes = spark.createDataFrame([(i, x, "") for i, x in enumerate(texts)], "node bigint, text string, kind string")
-    pairs = residue.near_pairs(residue.with_keys(nodes, around=True), residue.with_keys(nodes), 0.8)
+    left = residue.keyed(spark.createDataFrame([(i, x, "") for i, x in enumerate(texts)], "node bigint, text string, kind string"))
+    right = left.select("node", "text", "print", F.lit(False).alias("marked"), F.slice("keys", residue.BANDS + 1, residue.BANDS).alias("keys"))
+    pairs = residue.near_pairs(residue.meetings(left, right), left, right, 0.8)
     got = {(r.node, r.node2) for r in pairs.where("node < node2").collect()}
     assert got <= wanted and len(got) >= 0.95 * len(wanted) > 300, (len(got), len(wanted))
 
@@ -152,7 +169,10 @@ def test_all_segments_are_searched(spark):
         (10, "We wouldn't find a thing that was asked for in your home"),
         (11, "Ann Lee explained how the team traced a 500 Internal Server Error to a full disk"), (12, "Ann Lee explained how the team traced a 500 Internl Servr Error to a full disk"),
     ]
-    got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    without = {r.doc_id for r in residue.residue(df, spreading=False).collect()}
+    assert without == {1, 3, 5, 8}
+    got = {r.doc_id: r.reason for r in residue.residue(df).collect()}
     assert got == {1: "notice", 2: "notice", 3: "notice", 4: "notice", 5: "field", 8: "notice", 9: "notice", 10: "notice"}
 
 
