@@ -198,7 +198,7 @@ def label(segment: str, hinted: bool = True) -> tuple[int, str]:
 
 #: Tables, and minima of hashes of runs of three signs that key a table.
 BANDS, ROWS = 16, 3
-#: Hamming distance of the SimHashes of a pair, at most; see ``near_pairs``.
+#: Hamming distance of the SimHashes of a pair, at most; two words in ten changed flip about 17 bits, unlike texts differ in 32.
 MAX_DISTANCE = 26
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -360,26 +360,26 @@ def identities(s: Segments) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Identities and table keys (segments x BANDS).
+def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identities, SimHashes and table keys (segments x BANDS).
 
     A key is of ROWS minima over the hashed runs of three signs and the level of length. Texts whose
     runs have a share j in common meet in some table with the chance 1 - (1 - j**3)**16. Tables of
     parts of SimHashes can't be used: a changed word in ten flips 4 to 12 bits of 64. ``shift``: added
     to the level, so that texts meet whose lengths are on neighbouring levels.
     """
-    node, keys = np.zeros(len(s), np.uint64), np.zeros((len(s), BANDS), np.uint32)
+    node, print_, keys = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), np.zeros((len(s), BANDS), np.uint32)
     level = np.floor(np.log(np.maximum(1, s.last - s.first)) / np.log(1.25)).astype(np.int64) + shift + 1
-    for part, g, index, _ in _runs(s):
+    for part, g, index, own in _runs(s):
         wide = _hashed(g)
-        node[part] = _identity(g, wide, index)
+        node[part], print_[part] = _identity(g, wide, index), _simhash(wide, index, own)
         h = (wide >> np.uint64(32)).astype(np.uint32)
         for t in range(BANDS):
             key = (level[part] + t * 4096).astype(np.uint64)
             for k in range(t * ROWS, (t + 1) * ROWS):
                 key = _mix(key ^ _over(np.minimum, h * _FACTORS[k] + _SHIFTS[k], index))
             keys[part, t] = key >> np.uint64(32)
-    return node, keys
+    return node, print_, keys
 
 
 def hinted(s: Segments) -> np.ndarray:
@@ -396,26 +396,21 @@ def hinted(s: Segments) -> np.ndarray:
 
 def around(s: Segments) -> np.ndarray:
     """Keys of segments on their level of length and the ones next to it (segments x 3 BANDS)."""
-    out = []
-    for shift in (-1, 0, 1):
-        out.append(fingerprints(s, shift)[1])
-    return np.concatenate(out, axis=1).astype(np.int64)
-
-
-def simhashes(s: Segments) -> np.ndarray:
-    """SimHash of each segment over its runs of three signs, repeats counted."""
-    out = np.zeros(len(s), np.uint64)
-    for part, g, index, own in _runs(s):
-        wide = _hashed(g)
-        # Bits are summed in lanes of 16, of 32 where a segment has so many runs.
-        lanes = 4 if int(own.max()) < 65536 else 2
-        width = 64 // lanes
-        ones = np.uint64(sum(1 << width * i for i in range(lanes)))
-        for shift in range(width):
-            sums = _over(np.add, (wide >> np.uint64(shift)) & ones, index)
-            for lane in range(lanes):
-                count = (sums >> np.uint64(width * lane)) & np.uint64((1 << width) - 1)
-                out[part] |= (count.astype(np.int64) > own // 2).astype(np.uint64) << np.uint64(width * lane + shift)
+    return np.concatenate([fingerprints(s, shift)[2] for shift in (-1, 0, 1)], axis=1).astype(np.int64)
+
+
+def _simhash(wide: np.ndarray, index: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """SimHash of each segment over its hashed runs, repeats counted."""
+    out = np.zeros(len(own), np.uint64)
+    # Bits are summed in lanes of 16, of 32 where a segment has so many runs.
+    lanes = 4 if int(own.max()) < 65536 else 2
+    width = 64 // lanes
+    ones = np.uint64(sum(1 << width * i for i in range(lanes)))
+    for shift in range(width):
+        sums = _over(np.add, (wide >> np.uint64(shift)) & ones, index)
+        for lane in range(lanes):
+            count = (sums >> np.uint64(width * lane)) & np.uint64((1 << width) - 1)
+            out |= (count.astype(np.int64) > own // 2).astype(np.uint64) << np.uint64(width * lane + shift)
     return out
 
 
@@ -435,8 +430,8 @@ def segments_of(text: str) -> list[tuple[str, int, str, int]]:
     return [(s.text(k), sign, kind, int(s.n_words[k])) for k, sign, kind in trusted(s)]
 
 
-#: Bytes of a segment in ``prints``: identity, keys, words, whether it is marked.
-_ITEM = np.dtype([("node", "<u8"), ("keys", "<u4", (BANDS,)), ("words", "<u4"), ("marked", "u1")])
+#: Bytes of a segment in ``prints``: identity, SimHash, keys, words, whether it is marked.
+_ITEM = np.dtype([("node", "<u8"), ("print", "<u8"), ("keys", "<u4", (BANDS,)), ("words", "<u4"), ("marked", "u1")])
 _TRUSTED = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
 _SCAN = "total bigint, prints binary, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
 #: Texts are taken together up to so many bytes; a longer one by itself.
@@ -467,7 +462,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not len(s):
                     continue
                 items = np.zeros(len(s), _ITEM)
-                items["node"], items["keys"] = fingerprints(s)
+                items["node"], items["print"], items["keys"] = fingerprints(s)
                 items["words"], items["marked"] = s.n_words, s.marked
                 rows: dict[int, list[dict]] = {}
                 for k, sign, kind in trusted(s):
@@ -495,38 +490,56 @@ def keyed(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
-                columns = [pa.array(simhashes(s).view(np.int64)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
+                columns = [pa.array(fingerprints(s)[1].view(np.int64)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "keys"])
 
     return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, keys array<bigint>")
 
 
-#: Most bits of a filter of keys or ids (128 MB); fewer for few of them. Filters only save rows: what
+#: Most bits of a filter of integers (128 MB); fewer for few of them. Filters only save rows: what
 #: passes by chance is dropped by the joins behind them.
-MOST_BITS = 30
+MOST_BITS, BITS_EACH = 30, 32
+_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _probe(values: np.ndarray, bits: int, k: int) -> np.ndarray:
+    return _mix(values.astype(np.uint64) * _PROBES[k]) >> np.uint64(64 - bits)
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Filter of a column of integers: bits at their lowest places, 16 for each value, as far as MOST_BITS goes."""
-    bits = int(min(MOST_BITS, max(20, np.ceil(np.log2(16 * max(1, values.count()))))))
-    at = values.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("k"))
-    parts = at.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).toLocalIterator()
+    """Bloom filter of a column of integers: three bits for each in a table of BITS_EACH times as many, as far as MOST_BITS goes."""
+    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(BITS_EACH * max(1, values.count()))))))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate([_probe(batch.column(0).to_numpy(zero_copy_only=False), bits, k) for k in range(len(_PROBES))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 0x7FFF)], ["part", "k"])
+
+    at = values.select(column).mapInArrow(places, "part bigint, k bigint")
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts:
-        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    for r in at.groupBy("part").agg(F.bitmap_construct_agg("k").alias("bits")).toLocalIterator():
+        part = np.frombuffer(r.bits, np.uint8)[: len(out)]
+        out[r.part << 12 : (r.part << 12) + len(part)] = part
     return out
 
 
 def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values.astype(np.int64) & (8 * len(table) - 1)
-    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 != 0
+    """Which values may be in the filter; later bits are looked up only of those that pass the earlier ones."""
+    flat, bits = values.ravel(), 3 + len(table).bit_length() - 1
+    kept = np.arange(len(flat))
+    for k in range(len(_PROBES)):
+        at = _probe(flat[kept], bits, k)
+        kept = kept[(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0]
+    out = np.zeros(len(flat), bool)
+    out[kept] = True
+    return out.reshape(values.shape)
 
 
 def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) -> DataFrame:
-    """(id, total, node, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
+    """(id, total, node, print, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
     is marked, of ``fields``."""
     sent = scan.sparkSession.sparkContext.broadcast((plain, fields))
-    names = [id_col, "total", "node", "n_words", "marked", "keys"]
+    names = [id_col, "total", "node", "print", "n_words", "marked", "keys"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, fields = sent.value
@@ -545,18 +558,18 @@ def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) ->
             some = flat[kept]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)),
+                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)), pa.array(some["print"].astype(np.int64)),
                     pa.array(some["words"].astype(np.int32)), pa.array(some["marked"] > 0), keys,
                 ],
                 names,
             )
 
     kind = scan.schema[id_col].dataType.simpleString()
-    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, n_words int, marked boolean, keys array<bigint>")
+    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, print bigint, n_words int, marked boolean, keys array<bigint>")
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, text, print) of the segments ``wanted`` (id, node) in the documents, which are looked up by filters of ids and nodes."""
+    """(node, text) of the segments ``wanted`` (id, node) in the documents, which are looked up by filters of ids and nodes."""
     place = F.xxhash64(F.col(id_col))
     sent = df.sparkSession.sparkContext.broadcast((bitmap(wanted.select(place.alias("p")), "p"), bitmap(wanted.select("node"), "node")))
 
@@ -571,12 +584,9 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Data
                 kept = kept[_passes(nodes, own[kept])]
                 if len(kept):
                     found = [s.text(k) for k in kept.tolist()]
-                    again = segments([x.encode("utf-8", "replace") for x in found], sentences=False)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[kept].astype(np.int64)), pa.array(found), pa.array(simhashes(again).view(np.int64))], ["node", "text", "print"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(own[kept].astype(np.int64)), pa.array(found)], ["node", "text"])
 
-    got = df.select(text_col, place.alias("_place")).where(F.col(text_col).isNotNull()).mapInArrow(find, "node bigint, text string, print bigint")
+    got = df.select(text_col, place.alias("_place")).where(F.col(text_col).isNotNull()).mapInArrow(find, "node bigint, text string")
     return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -584,24 +594,22 @@ def _marked(column: str) -> Column:
     return F.col(column).rlike(r"[{\[<~_]")
 
 
-def near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, similarity: float, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(node, node2) of the pairs ``met`` whose texts are similar enough: SimHashes within ``max_distance``
-    first, then edit similarity. ``left``, ``right``: node, text, kind, print. An unfilled field and a
-    text without any mark of one are never a pair, as the latter is the filled copy."""
-    both = met.join(left.select("node", "text", "kind", "print"), "node").join(
-        right.select(F.col("node").alias("node2"), F.col("text").alias("text2"), F.col("print").alias("print2")), "node2"
-    )
-    close = both.where(distance(F.col("print"), F.col("print2")) <= max_distance).where((F.col("kind") != "field") | _marked("text2"))
+def near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """(node, node2) of the pairs ``met`` whose texts are similar enough. ``left``, ``right``: node, text.
+    An unfilled field and a text without any mark of one are never a pair, as the latter is the filled copy."""
+    both = met.join(left.select("node", "kind", "text"), "node").join(right.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
     most = f"cast(floor({1 - similarity!r} * greatest(length(text), length(text2)) + 1e-9) as int)"
+    close = both.where((F.col("kind") != "field") | _marked("text2"))
     return close.where(F.expr(f"levenshtein(text, text2, {most}) >= 0")).select("node", "node2")
 
 
-def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(node, node2) that share a key. ``left``: node, kind, keys (around); ``right``: node, marked, keys."""
-    one = left.select("node", "kind", F.explode("keys").alias("key"))
-    two = right.select(F.col("node").alias("node2"), "marked", F.explode("keys").alias("key")).distinct()
+def meetings(left: DataFrame, right: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(node, node2) that share a key and whose SimHashes are within ``max_distance``. ``left``: node, kind,
+    print, keys (around); ``right``: node, marked, print, keys."""
+    one = left.select("node", "kind", "print", F.explode("keys").alias("key"))
+    two = right.select(F.col("node").alias("node2"), "marked", F.col("print").alias("print2"), F.explode("keys").alias("key")).distinct()
     met = one.join(two, "key").where(F.col("node") != F.col("node2")).where((F.col("kind") != "field") | F.col("marked"))
-    return met.select("node", "node2").distinct()
+    return met.where(distance(F.col("print"), F.col("print2")) <= max_distance).select("node", "node2").distinct()
 
 
 _ROWS = ("total", "node", "n_words")
