@@ -199,7 +199,7 @@ def label(segment: str, hinted: bool = True) -> tuple[int, str]:
 #: Tables, and minima of hashes of runs of three signs that key a table.
 BANDS, ROWS = 16, 3
 #: Hamming distance of the SimHashes of a pair, at most; two words in ten changed flip about 17 bits, unlike texts differ in 32.
-MAX_DISTANCE = 26
+MAX_DISTANCE = 22
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -259,7 +259,7 @@ _OPEN = (np.arange(256) >= 128) | np.isin(np.arange(256), np.frombuffer(b'ABCDEF
 @dataclass
 class Segments:
     """Segments of some texts: number of their text, places in the raw and the folded bytes, words,
-    whether they are marked, and suspect of a field or a repeated word."""
+    length, whether they are marked, and suspect of a field or a repeated word."""
 
     raw: np.ndarray
     plain: np.ndarray
@@ -269,6 +269,7 @@ class Segments:
     first: np.ndarray
     last: np.ndarray
     n_words: np.ndarray
+    size: np.ndarray
     marked: np.ndarray
     suspect: np.ndarray
 
@@ -318,7 +319,9 @@ def segments(texts: list[bytes], sentences: bool = True) -> Segments:
     again = at[:-3][alike[1:] & alike[:-1]] if len(at) > 3 else at[:0]
     suspect = _within(np.flatnonzero(_SUSPECT[plain]), first, last) | _within(again, first - 1, last)
     n_words = np.searchsorted(at, last) - np.searchsorted(at, first) + 1
-    return Segments(raw, plain, np.searchsorted(bounds, a, "right") - 1, a, b, first, last, n_words, _within(np.flatnonzero(_MARKS[plain]), first, last), suspect)
+    inner = np.flatnonzero((plain >> 6) == 2)  # bytes within a sign
+    size = last - first - np.searchsorted(inner, last) + np.searchsorted(inner, first)
+    return Segments(raw, plain, np.searchsorted(bounds, a, "right") - 1, a, b, first, last, n_words, size, _within(np.flatnonzero(_MARKS[plain]), first, last), suspect)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -369,7 +372,7 @@ def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray, n
     to the level, so that texts meet whose lengths are on neighbouring levels.
     """
     node, print_, keys = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), np.zeros((len(s), BANDS), np.uint32)
-    level = np.floor(np.log(np.maximum(1, s.last - s.first)) / np.log(1.25)).astype(np.int64) + shift + 1
+    level = np.floor(np.log(np.maximum(1, s.size)) / np.log(1.25)).astype(np.int64) + shift + 1
     for part, g, index, own in _runs(s):
         wide = _hashed(g)
         node[part], print_[part] = _identity(g, wide, index), _simhash(wide, index, own)
@@ -430,8 +433,8 @@ def segments_of(text: str) -> list[tuple[str, int, str, int]]:
     return [(s.text(k), sign, kind, int(s.n_words[k])) for k, sign, kind in trusted(s)]
 
 
-#: Bytes of a segment in ``prints``: identity, SimHash, keys, words, whether it is marked.
-_ITEM = np.dtype([("node", "<u8"), ("print", "<u8"), ("keys", "<u4", (BANDS,)), ("words", "<u4"), ("marked", "u1")])
+#: Bytes of a segment in ``prints``: identity, SimHash, keys, length, words, whether it is marked.
+_ITEM = np.dtype([("node", "<u8"), ("print", "<u8"), ("keys", "<u4", (BANDS,)), ("size", "<u4"), ("words", "<u4"), ("marked", "u1")])
 _TRUSTED = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
 _SCAN = "total bigint, prints binary, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
 #: Texts are taken together up to so many bytes; a longer one by itself.
@@ -463,7 +466,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 items = np.zeros(len(s), _ITEM)
                 items["node"], items["print"], items["keys"] = fingerprints(s)
-                items["words"], items["marked"] = s.n_words, s.marked
+                items["size"], items["words"], items["marked"] = s.size, s.n_words, s.marked
                 rows: dict[int, list[dict]] = {}
                 for k, sign, kind in trusted(s):
                     one = {"node": int(items["node"][k].astype(np.int64)), "text": s.text(k), "label": sign, "kind": kind, "n_words": int(s.n_words[k])}
@@ -490,10 +493,10 @@ def keyed(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
-                columns = [pa.array(fingerprints(s)[1].view(np.int64)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "keys"])
+                columns = [pa.array(fingerprints(s)[1].view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "size", "keys"])
 
-    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, keys array<bigint>")
+    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, size int, keys array<bigint>")
 
 
 #: Most bits of a filter of integers (128 MB); fewer for few of them. Filters only save rows: what
@@ -536,10 +539,10 @@ def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) -> DataFrame:
-    """(id, total, node, print, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
+    """(id, total, node, print, size, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
     is marked, of ``fields``."""
     sent = scan.sparkSession.sparkContext.broadcast((plain, fields))
-    names = [id_col, "total", "node", "print", "n_words", "marked", "keys"]
+    names = [id_col, "total", "node", "print", "size", "n_words", "marked", "keys"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, fields = sent.value
@@ -558,14 +561,14 @@ def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) ->
             some = flat[kept]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)), pa.array(some["print"].astype(np.int64)),
+                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)), pa.array(some["print"].astype(np.int64)), pa.array(some["size"].astype(np.int32)),
                     pa.array(some["words"].astype(np.int32)), pa.array(some["marked"] > 0), keys,
                 ],
                 names,
             )
 
     kind = scan.schema[id_col].dataType.simpleString()
-    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, print bigint, n_words int, marked boolean, keys array<bigint>")
+    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, print bigint, size int, n_words int, marked boolean, keys array<bigint>")
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -603,13 +606,14 @@ def near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, similarity: fl
     return close.where(F.expr(f"levenshtein(text, text2, {most}) >= 0")).select("node", "node2")
 
 
-def meetings(left: DataFrame, right: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(node, node2) that share a key and whose SimHashes are within ``max_distance``. ``left``: node, kind,
-    print, keys (around); ``right``: node, marked, print, keys."""
-    one = left.select("node", "kind", "print", F.explode("keys").alias("key"))
-    two = right.select(F.col("node").alias("node2"), "marked", F.col("print").alias("print2"), F.explode("keys").alias("key")).distinct()
+def meetings(left: DataFrame, right: DataFrame, similarity: float, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(node, node2) that share a key, whose SimHashes are within ``max_distance`` and whose lengths allow for
+    the similarity. ``left``: node, kind, print, size, keys (around); ``right``: node, marked, print, size, keys."""
+    one = left.select("node", "kind", "print", "size", F.explode("keys").alias("key"))
+    two = right.select(F.col("node").alias("node2"), "marked", F.col("print").alias("print2"), F.col("size").alias("size2"), F.explode("keys").alias("key")).distinct()
     met = one.join(two, "key").where(F.col("node") != F.col("node2")).where((F.col("kind") != "field") | F.col("marked"))
-    return met.where(distance(F.col("print"), F.col("print2")) <= max_distance).select("node", "node2").distinct()
+    close = F.abs(F.col("size") - F.col("size2")) <= (1 - similarity) * F.greatest("size", "size2") + 1e-9
+    return met.where(close & (distance(F.col("print"), F.col("print2")) <= max_distance)).select("node", "node2").distinct()
 
 
 _ROWS = ("total", "node", "n_words")
@@ -627,7 +631,7 @@ def reached(df: DataFrame, scan: DataFrame, id_col: str, text_col: str, nodes: D
         left = cut(keyed(front))
         keys = left.select("kind", F.explode("keys").alias("key"))
         met = cut(_met(scan, id_col, bitmap(keys.where("kind <> 'field'"), "key"), bitmap(keys.where("kind = 'field'"), "key")))
-        pairs = cut(meetings(left, met))
+        pairs = cut(meetings(left, met, similarity))
         wanted = met.select(id_col, "node").join(pairs.select(F.col("node2").alias("node")).distinct(), "node", "left_semi")
         right = cut(_texts(df, id_col, text_col, wanted.groupBy("node").agg(F.min(id_col).alias(id_col))))
         close = cut(near_pairs(pairs, left, right, similarity))

@@ -152,8 +152,8 @@ def test_reworded_notices_are_candidates(spark):
     texts = sorted(set(texts))
     wanted = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and _edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
     left = residue.keyed(spark.createDataFrame([(i, x, "") for i, x in enumerate(texts)], "node bigint, text string, kind string"))
-    right = left.select("node", "text", "print", F.lit(False).alias("marked"), F.slice("keys", residue.BANDS + 1, residue.BANDS).alias("keys"))
-    pairs = residue.near_pairs(residue.meetings(left, right), left, right, 0.8)
+    right = left.select("node", "text", "print", "size", F.lit(False).alias("marked"), F.slice("keys", residue.BANDS + 1, residue.BANDS).alias("keys"))
+    pairs = residue.near_pairs(residue.meetings(left, right, 0.8), left, right, 0.8)
     got = {(r.node, r.node2) for r in pairs.where("node < node2").collect()}
     assert got <= wanted and len(got) >= 0.95 * len(wanted) > 300, (len(got), len(wanted))
 
