@@ -625,13 +625,19 @@ def reached(df: DataFrame, scan: DataFrame, id_col: str, text_col: str, nodes: D
 
     All segments of all documents are searched; each step asks the kept keys for the neighbours of
     the segments found by the last one. ``nodes``: node, text, label, kind of the trusted segments.
+    Pairs of two segments with a trusted label tell nothing and are not made, so families of variants
+    of one notice do not meet among themselves; open segments meet all but trusted residue, as those
+    that speak about it bar them.
     """
     known, front, rows, edges = nodes.select("node"), nodes.where("label = 1").select("node", "text", "kind"), None, None
+    told = nodes.select("node")
     while not front.isEmpty():
         left = cut(keyed(front))
         keys = left.select("kind", F.explode("keys").alias("key"))
         met = cut(_met(scan, id_col, bitmap(keys.where("kind <> 'field'"), "key"), bitmap(keys.where("kind = 'field'"), "key")))
-        pairs = cut(meetings(left, met, similarity))
+        open_ = met.join(told, "node", "left_anti")
+        pairs = cut(meetings(left, open_, similarity))
+        told = nodes.where("label = 1").select("node")
         wanted = met.select(id_col, "node").join(pairs.select(F.col("node2").alias("node")).distinct(), "node", "left_semi")
         right = cut(_texts(df, id_col, text_col, wanted.groupBy("node").agg(F.min(id_col).alias(id_col))))
         close = cut(near_pairs(pairs, left, right, similarity))
