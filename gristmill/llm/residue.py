@@ -173,10 +173,10 @@ def speaks(words: list[str]) -> bool:
 WORDS = re.compile(r"\w+")
 
 
-def label(segment: str, hinted: bool = True) -> tuple[int, str]:
-    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``hinted``: whether
-    it may hold a literal or pseudo-Latin (see ``hinted``)."""
-    kind, words = "", WORDS.findall(segment.lower()) if hinted else []
+def label(segment: str, literal: bool = True, latin: bool = True) -> tuple[int, str]:
+    """Trusted label and kind of a segment: 1 residue, -1 speaks about it, 0 open. ``literal``, ``latin``:
+    whether it may hold one of LITERALS, or pseudo-Latin (see ``hinted``)."""
+    kind, words = "", WORDS.findall(segment.lower()) if latin else []
     if any(x in segment for x in FIELD_SIGNS):
         for m in FIELD.finditer(segment):
             if not CAPITALS.match(m[0]) or m[0].upper() == m[0]:
@@ -187,7 +187,7 @@ def label(segment: str, hinted: bool = True) -> tuple[int, str]:
         sure = not LATIN_WORDS.isdisjoint(words)
         if len(stems) >= max(2, 0.5 * len(words)) and (sure or sum(1 for x in stems if x not in SHARED) >= 2):
             return 1, "filler"
-    if not kind and (hinted and next(HINTS.iter(fold(segment)), None) is not None or REPEATED.match(segment)):
+    if not kind and (literal and next(HINTS.iter(fold(segment)), None) is not None or REPEATED.match(segment)):
         kind = "filler" if FILLER.search(segment) else "notice" if NOTICE.search(segment) else ""
     if not kind:
         return 0, ""
@@ -202,7 +202,6 @@ BANDS, ROWS = 16, 3
 MAX_DISTANCE = 22
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 #: Signs of fields that count as parts of a text; texts with one are marked.
 _SIGNS = b"{}[]<>~_%$#@"
 _SUSPECT = np.isin(np.arange(256), np.frombuffer(b"{[<%@~_$", np.uint8))
@@ -232,9 +231,9 @@ def _slots(c: np.ndarray, size: int) -> np.ndarray:
 
 
 def _rare_windows() -> dict[int, np.ndarray]:
-    """By size of window, marks of the slots of the window of rarest letters of each literal, and of the
-    starts of words by which pseudo-Latin is known. What holds a literal holds its window."""
-    out, often = {4: np.zeros(1 << 22, bool), 6: np.zeros(1 << 22, bool)}, " etaoinshrdlcumwfgypbvkjxqz"
+    """By size of window, marks of the slots of the window of rarest letters of each literal (1), and of the
+    starts of words by which pseudo-Latin is known (2). What holds a literal holds its window."""
+    out, often = {4: np.zeros(1 << 22, np.uint8), 6: np.zeros(1 << 22, np.uint8)}, " etaoinshrdlcumwfgypbvkjxqz"
     for literal in sorted(LITERALS):
         folded = _PLAIN[np.frombuffer(literal.encode(), np.uint8)].tobytes()
         folded = re.sub(b"0+", b"0", re.sub(b" +", b" ", folded))
@@ -242,10 +241,11 @@ def _rare_windows() -> dict[int, np.ndarray]:
         size = 6 if len(folded) >= 6 else 4
         windows = [folded[i : i + size] for i in range(len(folded) - size + 1)]
         best = max(windows, key=lambda w: sum(often.find(chr(x)) % 32 for x in w))
-        out[size][_slots(np.frombuffer(best, np.uint8), size)] = True
+        out[size][_slots(np.frombuffer(best, np.uint8), size)] |= 1
     for stem in LATIN_WORDS | (LATIN - SHARED):
         window = f" {stem} "[:6].encode()
-        out[len(window) // 2 * 2][_slots(np.frombuffer(window, np.uint8), len(window) // 2 * 2)] = True
+        size = len(window) // 2 * 2
+        out[size][_slots(np.frombuffer(window[:size], np.uint8), size)] |= 2
     return out
 
 
@@ -377,24 +377,32 @@ def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray, n
         wide = _hashed(g)
         node[part], print_[part] = _identity(g, wide, index), _simhash(wide, index, own)
         h = (wide >> np.uint64(32)).astype(np.uint32)
+        buf = np.empty_like(h)
         for t in range(BANDS):
             key = (level[part] + t * 4096).astype(np.uint64)
             for k in range(t * ROWS, (t + 1) * ROWS):
-                key = _mix(key ^ _over(np.minimum, h * _FACTORS[k] + _SHIFTS[k], index))
+                np.multiply(h, _FACTORS[k], out=buf)
+                key = _mix(key ^ _over(np.minimum, buf, index))
             keys[part, t] = key >> np.uint64(32)
     return node, print_, keys
 
 
-def hinted(s: Segments) -> np.ndarray:
-    """Whether a segment may hold one of LITERALS or pseudo-Latin."""
+def hinted(s: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a segment may hold one of LITERALS, and whether it may hold pseudo-Latin."""
     # Signs that a pattern without regard to case takes for ASCII letters: long s, i with and without a dot, Kelvin.
-    a, b = s.raw[:-1], s.raw[1:]
-    odd = ((a == 0xC5) & (b == 0xBF)) | ((a == 0xC4) & ((b == 0xB0) | (b == 0xB1))) | ((a == 0x84) & (b == 0xAA))
-    out = _within(np.flatnonzero(odd), s.start, s.end)
+    odd = np.zeros(0, np.int64)
+    if len(high := np.flatnonzero(s.raw[:-1] >= 0x84)):
+        a, b = s.raw[high], s.raw[high + 1]
+        odd = high[((a == 0xC5) & (b == 0xBF)) | ((a == 0xC4) & ((b == 0xB0) | (b == 0xB1))) | ((a == 0x84) & (b == 0xAA))]
+    literal = _within(odd, s.start, s.end)
+    latin = literal.copy()
     for size, table in _RARE.items():
         if len(s.plain) > size:
-            out |= _within(np.flatnonzero(table[_slots(s.plain, size)]), s.first - 1, s.last + 1)
-    return out
+            marks = table[_slots(s.plain, size)]
+            at = np.flatnonzero(marks)
+            for bit, out in ((1, literal), (2, latin)):
+                out |= _within(at[(marks[at] & bit) > 0], s.first - 1, s.last + 1)
+    return literal, latin
 
 
 def around(s: Segments) -> np.ndarray:
@@ -403,25 +411,26 @@ def around(s: Segments) -> np.ndarray:
 
 
 def _simhash(wide: np.ndarray, index: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """SimHash of each segment over its hashed runs, repeats counted."""
-    out = np.zeros(len(own), np.uint64)
-    # Bits are summed in lanes of 16, of 32 where a segment has so many runs.
-    lanes = 4 if int(own.max()) < 65536 else 2
-    width = 64 // lanes
-    ones = np.uint64(sum(1 << width * i for i in range(lanes)))
-    for shift in range(width):
-        sums = _over(np.add, (wide >> np.uint64(shift)) & ones, index)
-        for lane in range(lanes):
-            count = (sums >> np.uint64(width * lane)) & np.uint64((1 << width) - 1)
-            out |= (count.astype(np.int64) > own // 2).astype(np.uint64) << np.uint64(width * lane + shift)
+    """SimHash of each segment over its hashed runs, repeats counted. Bits are summed in lanes of 8;
+    segments of more runs than a lane holds are summed apart."""
+    out, buf, lane = np.zeros(len(own), np.uint64), np.empty_like(wide), np.uint64(0x0101010101010101)
+    for shift in range(8):
+        np.right_shift(wide, np.uint64(shift), out=buf)
+        np.bitwise_and(buf, lane, out=buf)
+        counts = np.ascontiguousarray(_over(np.add, buf, index)).view(np.uint8).reshape(-1, 8)  # little-endian: byte k counts bit 8 k + shift
+        bits = (counts > (own // 2)[:, None]).astype(np.uint8)
+        out |= np.ascontiguousarray(bits).view(np.uint64).ravel() << np.uint64(shift)
+    for k in np.flatnonzero(own > 255).tolist():
+        each = np.unpackbits(wide[index[2 * k] : index[2 * k + 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = np.packbits(each.sum(axis=0, dtype=np.int64) > own[k] // 2, bitorder="little").view(np.uint64)[0]
     return out
 
 
 def trusted(s: Segments) -> list[tuple[int, int, str]]:
     """(segment, label, kind) of the trusted segments."""
-    out, hints = [], hinted(s)
-    for k in np.flatnonzero(s.suspect | hints).tolist():
-        sign, kind = label(s.raw_text(k), bool(hints[k]))
+    out, (literal, latin) = [], hinted(s)
+    for k in np.flatnonzero(s.suspect | literal | latin).tolist():
+        sign, kind = label(s.raw_text(k), bool(literal[k]), bool(latin[k]))
         if sign:
             out.append((k, sign, kind))
     return out

@@ -101,9 +101,9 @@ def test_every_form_implies_the_guard():
     literals = {z for x, _ in needs if x for z in x}
     assert literals == residue.LITERALS and [z for z in literals if len(z) < 4] == ["nan"]
     for z in literals - {"nan"}:
-        assert residue.hinted(residue.segments([f"ab {z}cd".encode()])).any(), z
+        assert residue.hinted(residue.segments([f"ab {z}cd".encode()]))[0].any(), z
     for x in residue.LATIN_WORDS | (residue.LATIN - residue.SHARED):
-        assert residue.hinted(residue.segments([f"ab {x} cd".encode()])).any(), x
+        assert residue.hinted(residue.segments([f"ab {x} cd".encode()]))[1].any(), x
 
 
 def test_segments_of_many_texts_are_those_of_each():
@@ -112,7 +112,13 @@ def test_segments_of_many_texts_are_those_of_each():
     got = [(int(i), both.text(k)) for k, i in enumerate(both.owner)]
     alone = [(i, s.text(k)) for i, t in enumerate(texts) for s in [residue.segments([t.encode()])] for k in range(len(s))]
     assert got == alone and [t for i, t in got if i in (3, 4, 8, 9)] == ["one", "two! three?".replace("!", "").replace("?", ""), "“four” 0", "é 0 a", "0 0 x", "no break lower case", "{{ a }} of 0%"]
-    keys = residue.fingerprints(both)[2]
+    nodes, prints, keys = residue.fingerprints(both)
+    g = lambda t: [f" {t} "[i : i + 3] for i in range(len(t))]
+    for k, x in enumerate(prints.tolist()):
+        if both.text(k).isascii():
+            codes = np.array([int.from_bytes(r.encode(), "little") for r in g(both.text(k))], np.uint32)
+            bits = (residue._hashed(codes)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            assert x == sum(1 << b for b in range(64) if bits[:, b].sum() > len(codes) // 2)
     each = [residue.fingerprints(residue.segments([t.encode()])) for t in texts]
     assert (keys == np.concatenate([k for _, _, k in each])).all() and (residue.identities(both) == np.concatenate([n for n, _, _ in each])).all()
 
