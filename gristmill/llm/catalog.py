@@ -73,22 +73,21 @@ def p5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.with_reasons(prose.with_stats(table(spark, sf_dir, "documents"), _common(spark, sf_dir)))
 
 
-def _measured(spark: SparkSession, sf_dir: str, also=None) -> DataFrame:
-    """Spam features and natural share of all documents, from one pass over their texts."""
-    return cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), also=also))
+def _measured(spark: SparkSession, sf_dir: str, stats: str, also=None) -> DataFrame:
+    """Spam features and text statistics of all documents, from one pass over their texts."""
+    return cut(spam.with_features(table(spark, sf_dir, "documents"), _common(spark, sf_dir), stats=stats, also=also))
 
 
-def _outside(measured: DataFrame) -> DataFrame:
-    """Documents failing the deciding rule of text quality, and spam pages."""
-    whole = measured.select("doc_id", "n_words", F.col("natural_all").alias("natural_share")).where("n_words > 0")
-    failed = whole.where(prose.rules()["mostly_outside_sentences"]).select("doc_id")
-    spams = spam.scored(measured).where("p_spam >= 0.5").select("doc_id")
-    return failed.union(spams).distinct()
+def _spam_pages(measured: DataFrame) -> DataFrame:
+    return spam.scored(measured).where("p_spam >= 0.5").select("doc_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents failing the deciding rule, with the spam pages and without residue."""
-    return _outside(_measured(spark, sf_dir)).join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    """Documents whose recorded reasons hold the deciding one, with the spam pages and without residue."""
+    measured = _measured(spark, sf_dir, "all")
+    stats = measured.select("doc_id", *[F.col(f"s_{c.split()[0]}").alias(c.split()[0]) for c in prose.STATS.split(", ")])
+    failed = prose.with_reasons(stats).where(F.array_contains("reasons", prose.DECIDING)).select("doc_id")
+    return failed.union(_spam_pages(measured)).distinct().join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p7_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +107,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents of the hardest band; the level, the features and the statistics of a
     document are measured in one pass."""
     model = reading.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
-    measured = _measured(spark, sf_dir, (reading.LEVEL, reading.measurer(spark, model)))
-    hard = measured.where("level = 5 and english").select("doc_id")
-    return hard.join(_outside(measured), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
+    measured = _measured(spark, sf_dir, "deciding", (reading.LEVEL, reading.measurer(spark, model)))
+    hard = measured.where("level = 5 and english")
+    prose_only = hard.where(~prose.rules("s_")[prose.DECIDING]).select("doc_id")
+    return prose_only.join(_spam_pages(measured), "doc_id", "left_anti").join(p7_found(spark, sf_dir), "doc_id", "left_anti")
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

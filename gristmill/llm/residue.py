@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.simhash import distance
+from gristmill.llm.prose import chunks
 from gristmill.operators.components import connected_components
 from gristmill.runtime import cut
 
@@ -446,30 +447,12 @@ def segments_of(text: str) -> list[tuple[str, int, str, int]]:
 _ITEM = np.dtype([("node", "<u8"), ("print", "<u8"), ("keys", "<u4", (BANDS,)), ("size", "<u4"), ("words", "<u4"), ("marked", "u1")])
 _TRUSTED = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
 _SCAN = "total bigint, prints binary, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
-#: Texts are taken together up to so many bytes; a longer one by itself.
-_CHUNK = 400_000
-
-
-def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """First row and bytes of the texts (null: none) of each chunk of a column."""
-    held: list[bytes] = []
-    size, first = 0, 0
-    for i, text in enumerate(column.cast(pa.binary()).to_pylist()):
-        held.append(text or b"")
-        size += len(held[-1])
-        if size > _CHUNK:
-            yield first, held
-            held, size, first = [], 0, i + 1
-    if held:
-        yield first, held
-
-
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, words in all, prints of all segments and the trusted segments of every document with segments."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _chunks(batch.column(1)):
+            for first, texts in chunks(batch.column(1)):
                 s = segments(texts)
                 if not len(s):
                     continue
@@ -589,7 +572,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Data
         ids, nodes = sent.value
         for batch in batches:
             column = batch.column(0).filter(pa.array(_passes(ids, batch.column(1).to_numpy())))
-            for _, texts in _chunks(column):
+            for _, texts in chunks(column):
                 s = segments(texts)
                 own = identities(s)
                 kept = np.unique(own, return_index=True)[1]

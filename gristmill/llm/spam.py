@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.site import site
-from gristmill.llm import forest
-from gristmill.llm.prose import line_words, natural_lines, natural_words
+from gristmill.llm import forest, prose
 from gristmill.runtime import bounded_sample
 
 #: At most so many weakly labelled pages train the trees.
@@ -58,20 +57,33 @@ SIGNS = (
 )
 
 
-def features(text: str, common: frozenset[str], parts: tuple | None = None) -> list[float]:
-    """FEATURES of a text. All but the shares of common and natural words look at the lines
-    that are no natural sentences, and are measured by words against the whole text."""
-    lines, sizes, known = parts or line_words(text, common)
-    if len(lines) > 2 and sizes[0] <= 14:
-        lines, sizes, known = lines[1:], sizes[1:], known[1:]
-    n, rows = sum(sizes), len(lines)
-    if not n:
-        return [0.0] * len(FEATURES)
-    natural = natural_lines(sizes, known)
-    rest = [x for x in zip(lines, sizes, known, natural, strict=True) if not x[3]]
-    share = 1 - sum(x[1] for x in rest) / n
-    if not rest:
-        return [0.0] * 9 + [sum(known) / n, share, 0.0, 0.0, n / rows, 0.0, 0.0]
+def feature_rows(texts: list[bytes], s: prose.Lines, common: frozenset[str]) -> np.ndarray:
+    """FEATURES of each text (texts x FEATURES); ``s``: their lines. All but the shares of common and natural
+    words look at the lines that are no natural sentences, and are measured by words against the whole text."""
+    opens = np.r_[True, s.owner[1:] != s.owner[:-1]] if len(s.owner) else np.zeros(0, bool)
+    keep = ~(opens & (s.per_text()[s.owner] > 2) & (s.sizes <= 14))
+    owner, n, known, number = s.owner[keep], s.sizes[keep], s.known[keep], s.number[keep]
+    natural = prose._natural(owner, n, known)
+    of = lambda x: np.bincount(owner, x, len(texts))
+    words, rows = of(n), np.maximum(1, np.bincount(owner, minlength=len(texts)))
+    some = np.maximum(1, words)
+    out = np.zeros((len(texts), len(FEATURES)))
+    for name, x in (("common_share", of(known) / some), ("natural_share", of(n * natural) / some), ("words_per_line", words / rows)):
+        out[:, FEATURES.index(name)] = x
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    rest = ~natural
+    for i in np.flatnonzero(of(rest) > 0).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        text = texts[i].decode("utf-8", "replace")
+        lines = text.split("\n")
+        left = rest[a:b]
+        parts = [(lines[j], m, k) for j, m, k in zip(number[a:b][left].tolist(), n[a:b][left].tolist(), known[a:b][left].tolist(), strict=True)]
+        _measure(out[i], text, parts, int(words[i]), common)
+    return out
+
+
+def _measure(row: np.ndarray, text: str, rest: list[tuple[str, int, int]], n: int, common: frozenset[str]) -> None:
+    """Fill in the features of a text of ``n`` words that look at its lines outside sentences: (line, words, common words)."""
     body = "\n".join(x[0] for x in rest)
     urls = offers = url_lines = price_lines = label_lines = mark_lines = captions = joined = tags = 0.0
     bare = body
@@ -86,7 +98,7 @@ def features(text: str, common: frozenset[str], parts: tuple | None = None) -> l
     if OFFER.search(bare):
         offers = len(PRICE.findall(bare)) + len(ARTICLE.findall(bare))
         price_lines = sum(x[1] for x in rest if PRICE.search(x[0]))
-    for line, size, k, _ in rest:
+    for line, size, k in rest:
         if ":" in line and LABEL.match(line):
             label_lines += size
         if size <= 12 and k <= 0.4 * size and MARK.search(line):
@@ -101,27 +113,24 @@ def features(text: str, common: frozenset[str], parts: tuple | None = None) -> l
     pairs = Counter(a + " " + b for a, b in zip(plain, plain[1:], strict=False) if a and b)
     if "-" in bare or "_" in bare:
         joined = sum(1 for t in raw if ("-" in t or "_" in t) and len(t) > 8 and not SALES.isdisjoint(re.split("[-_#]", t.lower())))
-    found = [
-        urls,
-        url_lines / n,
-        tags / total,
-        min(1.0, 6 * offers / n),
-        price_lines / n,
-        label_lines / n,
-        mark_lines / n,
-        captions / n,
-        sum(map(SALES.__contains__, low)) / total,
-        sum(known) / n,
-        share,
-        sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
-        len(DIGITS.findall(bare)) / total,
-        n / rows,
-        joined / total,
-    ]
+    found = {
+        "url_share": urls,
+        "url_line_share": url_lines / n,
+        "tag_share": tags / total,
+        "offer_share": min(1.0, 6 * offers / n),
+        "price_line_share": price_lines / n,
+        "label_line_share": label_lines / n,
+        "mark_line_share": mark_lines / n,
+        "caption_share": captions / n,
+        "sales_share": sum(map(SALES.__contains__, low)) / total,
+        "phrase_share": sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
+        "digit_share": len(DIGITS.findall(bare)) / total,
+        "joined_share": joined / total,
+    }
     # The strongest single sign of spam: its kinds are many, and each page shows but one or two.
-    signs = dict(zip(FEATURES, found, strict=False))
-    strong = [signs[k] for k in SIGNS] + [min(1.0, 3 * signs["sales_share"]), min(1.0, 3 * signs["joined_share"])]
-    return [*found, max(strong)]
+    found["evidence"] = max(*(found[k] for k in SIGNS), min(1.0, 3 * found["sales_share"]), min(1.0, 3 * found["joined_share"]))
+    for name, x in found.items():
+        row[FEATURES.index(name)] = x
 
 
 def with_features(
@@ -130,31 +139,32 @@ def with_features(
     id_col: str = "doc_id",
     text_col: str = "text",
     url_col: str = "fetch_url",
+    stats: str = "",
     also: tuple[str, Callable[[list], list[pa.Array]]] | None = None,
 ) -> DataFrame:
-    """id, site, FEATURES, and the words and natural share of the whole text (``n_words``,
-    ``natural_all``: what the deciding rule of text quality looks at) of every document with text.
-
-    On demand with the columns of ``also``: their schema, and a function of texts.
+    """id, site and FEATURES of every document with text; with ``stats`` its text statistics as well (``s_``
+    before their names): "all", or "deciding" for what the deciding rule of text quality looks at; on demand
+    with the columns of ``also``: their schema, and a function of texts.
     """
+    table = prose.hashes_of(common)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = [], batch.column(2).to_pylist()
-            for text in texts:
-                parts = line_words(text, common)
-                n = sum(parts[1])
-                rows.append((*features(text, common, parts), float(n), natural_words(parts[1], parts[2]) / n if n else 0.0))
-            if rows:
-                columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-                columns += also[1](texts) if also else []
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
-
-    more = also[0].split(", ") if also else []
-    names = [id_col, "_site", *FEATURES, "n_words", "natural_all", *(x.split()[0] for x in more)]
+            for first, texts in prose.chunks(batch.column(2)):
+                lines = prose.lines_of(texts, table)
+                rows = feature_rows(texts, lines, common)
+                columns = [pa.array(rows[:, k]) for k in range(len(FEATURES))]
+                columns += measures[stats](lines)
+                columns += also[1]([t.decode("utf-8", "replace") for t in texts]) if also else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:2]), *columns], names)
+
+    measures = {"": lambda s: [], "all": prose.stat_arrays, "deciding": prose.deciding_arrays}
+    more = [f"s_{x}" for x in {"": [], "all": prose.STATS.split(", "), "deciding": prose.DECIDING_STATS.split(", ")}[stats]]
+    more += also[0].split(", ") if also else []
+    names = [id_col, "_site", *FEATURES, *(x.split()[0] for x in more)]
     source = df.where(F.trim(F.col(text_col)) != "").select(id_col, site(F.col(url_col)).alias("_site"), text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), "n_words double", "natural_all double", *more]))
+    return source.mapInArrow(measure, ", ".join([f"`{id_col}` {kind}", "_site string", *(f"{f} double" for f in FEATURES), *more]))
 
 
 def weak_label() -> Column:
