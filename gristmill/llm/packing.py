@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from gristmill.llm.tokens import VOCABULARY, token_counts
 from gristmill.runtime import cut
 
-#: Ranks are counted within (capacity, length, salt), so a hot length is spread over so many windows.
-SALTS = 64
+#: Ranks are counted within (capacity, length, salt). A length has as many salts as keep its windows at
+#: about so many pieces, so a hot length (such as that of all full pieces) is spread however many they are.
+WINDOW = 50_000
+#: Capacities are few, which is checked; so their pieces, plans and histogram are bounded.
+MOST_CAPACITIES = 1_000
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -71,7 +74,7 @@ def pieces_of(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     n, c = F.col("n_tokens"), F.col("capacity")
     return (
         sizes.where(n > 0)
-        .crossJoin(F.broadcast(capacities))  # a handful of capacities
+        .crossJoin(F.broadcast(capacities))  # at most MOST_CAPACITIES
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), (F.ceil(n / c) - 1).cast("int"))))
         .withColumn("length", F.least(c, n - F.col("piece_no") * c).cast("int"))
     )
@@ -83,21 +86,25 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer: str = VOCABULARY,
+    window: int = WINDOW,
 ) -> DataFrame:
     """(pack_name, container_id, id, piece_no, n_tokens) of every piece of every text.
 
-    ``capacities``: pack_name, capacity_tokens; null or non-positive capacities are ignored.
+    ``capacities``: pack_name, capacity_tokens; null names and null or non-positive capacities are ignored.
     """
     caps = capacities.select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    caps = caps.where("capacity > 0").dropDuplicates()
+    caps = caps.where("capacity > 0 and pack_name is not null").dropDuplicates()
+    if caps.limit(MOST_CAPACITIES + 1).count() > MOST_CAPACITIES:
+        raise ValueError("too many capacities")
     sizes = cut(token_counts(df, [id_col], text_col, tokenizer))
-    pieces = pieces_of(sizes, caps).withColumn(
-        "salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.lit(SALTS)).cast("int")
-    )
     group = ["pack_name", "capacity", "length"]
+    plain = pieces_of(sizes, caps)
+    totals = cut(plain.groupBy(*group).agg(F.count("*").alias("n")))
+    salts = totals.select(*group, F.ceil(F.col("n") / window).cast("bigint").alias("salts"))
+    pieces = plain.join(salts, group).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), F.col("salts"))).drop("salts")
     per_salt = cut(pieces.groupBy(*group, "salt").agg(F.count("*").alias("n")))
     histogram: dict[tuple[str, int], dict[int, int]] = {}
-    for row in per_salt.groupBy(*group).agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
+    for row in totals.collect():  # at most the sum of the capacities
         histogram.setdefault((row.pack_name, row.capacity), {})[row.length] = row.n
     plans = {k: rank_intervals(pack_histogram(v, k[1])) for k, v in histogram.items()}
 

@@ -61,8 +61,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def is_english(words: list[str]) -> bool:
-    n = Counter(map(_LANGUAGES.get, words))
-    said = {k: sum(c for langs, c in n.items() if langs and k in langs) for k in WORDS_OF}
+    n = Counter(filter(_LANGUAGES.__contains__, words))
+    said = {k: sum(n[w] for w in known) for k, known in WORDS_OF.items()}
     return said["en"] > max(said["de"], said["fr"], said["es"])
 
 

@@ -364,28 +364,41 @@ def identities(s: Segments) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def fingerprints(s: Segments, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Identities, SimHashes and table keys (segments x BANDS).
-
-    A key is of ROWS minima over the hashed runs of three signs and the level of length. Texts whose
-    runs have a share j in common meet in some table with the chance 1 - (1 - j**3)**16. Tables of
-    parts of SimHashes can't be used: a changed word in ten flips 4 to 12 bits of 64. ``shift``: added
-    to the level, so that texts meet whose lengths are on neighbouring levels.
-    """
-    node, print_, keys = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), np.zeros((len(s), BANDS), np.uint32)
-    level = np.floor(np.log(np.maximum(1, s.size)) / np.log(1.25)).astype(np.int64) + shift + 1
+def _measured(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identities, SimHashes and minima (segments x BANDS ROWS) of segments."""
+    node, print_, least = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), np.zeros((BANDS * ROWS, len(s)), np.uint32)
     for part, g, index, own in _runs(s):
         wide = _hashed(g)
         node[part], print_[part] = _identity(g, wide, index), _simhash(wide, index, own)
         h = (wide >> np.uint64(32)).astype(np.uint32)
         buf = np.empty_like(h)
-        for t in range(BANDS):
-            key = (level[part] + t * 4096).astype(np.uint64)
-            for k in range(t * ROWS, (t + 1) * ROWS):
-                np.multiply(h, _FACTORS[k], out=buf)
-                key = _mix(key ^ _over(np.minimum, buf, index))
-            keys[part, t] = key >> np.uint64(32)
-    return node, print_, keys
+        for k in range(BANDS * ROWS):
+            np.multiply(h, _FACTORS[k], out=buf)
+            least[k, part] = _over(np.minimum, buf, index)
+    return node, print_, least
+
+
+def _keys(least: np.ndarray, size: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Table keys (segments x BANDS) of minima and the level of length; ``shift`` is added to the level, so
+    that texts meet whose lengths are on neighbouring levels."""
+    level = np.floor(np.log(np.maximum(1, size)) / np.log(1.25)).astype(np.int64) + shift + 1
+    keys = np.empty((len(size), BANDS), np.uint32)
+    for t in range(BANDS):
+        a, b, c = (least[t * ROWS + i].astype(np.uint64) for i in range(ROWS))
+        key = _mix((level + t * 4096).astype(np.uint64) ^ (a << np.uint64(32) | b)) ^ c
+        keys[:, t] = _mix(key) >> np.uint64(32)
+    return keys
+
+
+def fingerprints(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identities, SimHashes and table keys (segments x BANDS).
+
+    A key is of ROWS minima over the hashed runs of three signs and the level of length. Texts whose
+    runs have a share j in common meet in some table with the chance 1 - (1 - j**3)**16. Tables of
+    parts of SimHashes can't be used: a changed word in ten flips 4 to 12 bits of 64.
+    """
+    node, print_, least = _measured(s)
+    return node, print_, _keys(least, s.size)
 
 
 def hinted(s: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -406,11 +419,6 @@ def hinted(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     return literal, latin
 
 
-def around(s: Segments) -> np.ndarray:
-    """Keys of segments on their level of length and the ones next to it (segments x 3 BANDS)."""
-    return np.concatenate([fingerprints(s, shift)[2] for shift in (-1, 0, 1)], axis=1).astype(np.int64)
-
-
 def _simhash(wide: np.ndarray, index: np.ndarray, own: np.ndarray) -> np.ndarray:
     """SimHash of each segment over its hashed runs, repeats counted. Bits are summed in lanes of 8;
     segments of more runs than a lane holds are summed apart."""
@@ -485,7 +493,9 @@ def keyed(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
-                columns = [pa.array(fingerprints(s)[1].view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(around(s).tolist(), pa.list_(pa.int64()))]
+                _, print_, least = _measured(s)
+                keys = np.concatenate([_keys(least, s.size, i) for i in (-1, 0, 1)], axis=1).astype(np.int64)
+                columns = [pa.array(print_.view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "size", "keys"])
 
     return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, size int, keys array<bigint>")

@@ -24,7 +24,7 @@ def test_pack(spark):
     texts = ["word " * n for n in (1, 5, 40, 100, 260, 5, 5)] + [None, "", "<|endoftext|>"]
     rows = [(i, t, 3) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, length int")
-    caps = spark.createDataFrame([("a", 64), ("b", 200), ("bad", 0), ("none", None)], "pack_name string, capacity_tokens int")
+    caps = spark.createDataFrame([("a", 64), ("b", 200), ("bad", 0), ("none", None), (None, 9)], "pack_name string, capacity_tokens int")
     got = packing.pack(df, caps).collect()
     room = {}
     for r in got:
@@ -43,10 +43,21 @@ def test_pack(spark):
 def test_hot_length_keeps_ranks_apart(spark):
     df = spark.createDataFrame([(i, "one two three") for i in range(500)] + [(7, "one two three")], "doc_id bigint, text string")
     caps = spark.createDataFrame([("a", 10)], "pack_name string, capacity_tokens int")
-    per = packing.pack(df, caps).groupBy("container_id").sum("n_tokens").collect()
+    per = packing.pack(df, caps, window=20).groupBy("container_id").sum("n_tokens").collect()
     assert sum(r[1] for r in per) == 1503 and max(r[1] for r in per) <= 10 and len(per) == 167
 
 
+def test_full_pieces_of_one_text_are_spread(spark):
+    df = spark.createDataFrame([(1, "word " * 3000)] + [(i, "a b c d") for i in range(2, 50)], "doc_id bigint, text string")
+    caps = spark.createDataFrame([("a", 8)], "pack_name string, capacity_tokens int")
+    got = packing.pack(df, caps, window=10).collect()
+    room = {}
+    for r in got:
+        room.setdefault(r.container_id, []).append(r.n_tokens)
+    assert max(map(sum, room.values())) <= 8 and sum(len(v) for v in room.values()) == len(got)
+    assert sorted(room) == list(range(len(room))) and sum(v == [8] for v in room.values()) >= 375
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "x" * 20_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"]).collect()}
