@@ -61,8 +61,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def is_english(words: list[str]) -> bool:
-    n = Counter(filter(_LANGUAGES.__contains__, words))
-    said = {k: sum(n[w] for w in known) for k, known in WORDS_OF.items()}
+    said = dict.fromkeys(WORDS_OF, 0)
+    for word, n in Counter(filter(_LANGUAGES.__contains__, words)).items():
+        for language in _LANGUAGES[word]:
+            said[language] += n
     return said["en"] > max(said["de"], said["fr"], said["es"])
 
 

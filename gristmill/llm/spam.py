@@ -33,12 +33,14 @@ PRICE = re.compile(r"(?:[$€£]\s?\d+(?:[.,]\d\d)?|\d+[.,]\d\d\s?(?:EUR|USD|GBP
 ARTICLE = re.compile(r"\b[A-Z]{1,4}-\d{3,7}\b")
 OFFER = re.compile(r"[$€£]|\b(?:EUR|USD|GBP|in stock|sold out|add to cart)\b|\b[A-Z]{1,4}-\d{3}", re.I)
 BARE = re.compile(r"\.[a-z]{2,9}/", re.I)
-DIGIT, DIGITS = re.compile(r"\d"), re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
 LABEL = re.compile(r"\s*(?:tags?|keywords?|labels?|categories)\s*:", re.I)
 MARK = re.compile(
     r"^\W*(?:visit|click here|go to|see|more|open|read)\b.{0,5}[:»A-Z]|read more\s*$|\[open\]|\(link\)|»\s*$|^\s*[›»]\s|^\W*(?:partner|related|useful) (?:sites|links)\W*$",
     re.I,
 )
+#: What matches MARK holds one of these.
+MARK_SIGNS = ("more", "open", "read", "see", "visit", "go to", "click here", "»", "›", "(link)", "sites", "links")
 PART = re.compile(r"\s+[|/·»›•~]+\s+")
 #: Words by which sellers widen search phrases.
 SALES = frozenset(
@@ -101,8 +103,10 @@ def _measure(row: np.ndarray, text: str, rest: list[tuple[str, int, int]], n: in
     for line, size, k in rest:
         if ":" in line and LABEL.match(line):
             label_lines += size
-        if size <= 12 and k <= 0.4 * size and MARK.search(line):
-            mark_lines += size
+        if size <= 12 and k <= 0.4 * size:
+            small = line.lower()
+            if any(x in small for x in MARK_SIGNS) and MARK.search(line):
+                mark_lines += size
         if k <= 0.15 * size:
             parts = PART.split(line.strip())
             if len(parts) >= 3:
@@ -124,7 +128,7 @@ def _measure(row: np.ndarray, text: str, rest: list[tuple[str, int, int]], n: in
         "caption_share": captions / n,
         "sales_share": sum(map(SALES.__contains__, low)) / total,
         "phrase_share": sum(c for _, c in pairs.most_common(6) if c > 2) * 2 / total,
-        "digit_share": len(DIGITS.findall(bare)) / total,
+        "digit_share": sum(1 for t in raw if DIGIT.search(t)) / total,
         "joined_share": joined / total,
     }
     # The strongest single sign of spam: its kinds are many, and each page shows but one or two.
