@@ -1,4 +1,5 @@
-"""Command line: ``stats DIRECTORY`` reports on a page log, ``replay DIRECTORY`` lists its bans."""
+"""Command line: ``stats DIRECTORY`` reports on a page log, ``replay DIRECTORY`` lists its bans, ``crawl DIRECTORY``
+crawls through a cache server into a directory, or on from where it stands."""
 
 from __future__ import annotations
 
@@ -6,18 +7,30 @@ import argparse
 import sys
 from pathlib import Path
 
+from gristmill import conf
 from gristmill.operators import stats, traps
+from gristmill.plans import driver
 from gristmill.runtime import local_session
 from gristmill.sources import pagelog
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gristmill", description=__doc__)
-    parser.add_argument("command", choices=["stats", "replay"])
+    parser.add_argument("command", choices=["stats", "replay", "crawl"])
     parser.add_argument("directory", nargs="?", default="text")
     parser.add_argument("--stop-words", help="a file with one stop word a line")
     parser.add_argument("--output", default="crawler_stats.txt")
+    parser.add_argument("--config_file", default="config.ini", help="settings of a crawl")
+    parser.add_argument("--restart", action="store_true", help="drop what an earlier crawl left in the directory")
+    parser.add_argument("--rounds", type=int, help="stop after so many rounds")
+    parser.add_argument("--scope", help="domain that links must lie in, below one of the units")
     args = parser.parse_args(argv)
+    if args.command == "crawl":
+        config = conf.CrawlConfig.read(args.config_file)
+        scope = conf.Scope(domain=args.scope) if args.scope else conf.Scope()
+        state = driver.run(local_session("*"), config, args.directory, args.restart, args.rounds, scope)
+        print(state.where("completed").count(), "fetched,", state.where("not completed").count(), "left")
+        return 0
     if not Path(args.directory).exists():
         print(f"no directory at {args.directory}", file=sys.stderr)
         return 1

@@ -33,12 +33,16 @@ def with_pattern(entries: DataFrame) -> DataFrame:
     return n.select(*entries.columns, F.col("_n.netloc").alias("host"), F.get(F.col("_n.bucket_keys"), F.lit(0)).alias("pattern"))
 
 
+def allowed(todo: DataFrame, bans: DataFrame, subtrees: DataFrame) -> DataFrame:
+    """Entries with host and pattern that are not banned; those without a host never are."""
+    named = with_pattern(todo)
+    return named.where("host is null").union(traps.enabled_patterns(named.where("host is not null"), bans, subtrees).select(*named.columns))
+
+
 def dequeue(current: DataFrame, bans: DataFrame, subtrees: DataFrame, n: int) -> DataFrame:
     """The next ``n`` entries to fetch, last in first out, with their rank; entries whose pattern
     was banned meanwhile are passed over, those without a host never are."""
-    todo = with_pattern(current.where("not completed"))
-    allowed = todo.where("host is null").union(traps.enabled_patterns(todo.where("host is not null"), bans, subtrees).select(*todo.columns))
-    top = allowed.orderBy(F.desc("seq")).limit(n)
+    top = allowed(current.where("not completed"), bans, subtrees).orderBy(F.desc("seq")).limit(n)
     return top.select(F.row_number().over(Window.orderBy(F.desc("seq"))).alias("rank"), "url_hash", "url", "seq")
 
 

@@ -13,9 +13,19 @@ from gristmill.operators import frontier
 SCHEMA = "url_hash string, url string, completed boolean, seq bigint"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _place(spark, path)
+    return system.exists(target)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    system, target = _place(spark, path)
+    system.delete(target, True)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -25,7 +35,7 @@ def append(rows: DataFrame, path: str) -> None:
 def open_store(spark: SparkSession, path: str, seeds: Sequence[str] = (), restart: bool = False) -> DataFrame:
     """The frontier's state at ``path``. With ``restart`` what is there is dropped. An empty or
     new store is seeded; seeds are not checked for admission."""
-    if restart or not _exists(spark, path):
+    if restart or not exists(spark, path):
         spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
     stored = spark.read.schema(SCHEMA).parquet(path)
     if stored.isEmpty() and seeds:
