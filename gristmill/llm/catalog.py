@@ -145,6 +145,20 @@ SELECT x AS doc_id_a, y AS doc_id_b
 FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
 WHERE shared >= 0.7 * (p.n + q.n - shared)"""
 
+P4_CLASSES = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS g
+  FROM f WHERE len(w) >= 50),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT s.doc_id, s.g FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE shared >= 0.8 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+roots AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT r.x AS doc_id, class_id, count(l.y) AS n_links FROM roots r LEFT JOIN links l ON l.x = r.x GROUP BY 1, 2"""
+
 LINES_SQL = rf"""
 lines AS (
   SELECT log_id, {SITE_SQL.format("fetch_url")} AS site, unnest(string_split(text, chr(10))) AS line,
@@ -215,5 +229,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_clean": P1_CLEAN,
         "p2_terms": P2_TERMS,
         "p4_found": P4_FOUND,
+        "p4_classes": P4_CLASSES,
         "p2_found": f"SELECT term FROM ({P2_TERMS}) WHERE mark IS NOT NULL",
     }

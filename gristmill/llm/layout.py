@@ -27,7 +27,7 @@ from gristmill.runtime import cut
 _DIGITS = re.compile("[0-9]+")
 _LABEL = re.compile(r"[^\W\d_][^\d_.,;:!?()|]{1,23}$")
 MARKER = re.compile(r"^(?:[-*•›»>·–|]\s+|\d{1,2}[.)]\s+)+")
-#: Openings of furniture lines, whatever follows.
+#: Openings of furniture lines, whatever follows.
 OPENING = re.compile(
     r"(?:skip (?:to|navigation)|jump to\b|toggle (?:menu|navigation)|« ?back\b|‹ ?back\b|back to (?:top|\w+(?: \w+)?$)|you are here\b|print (?:this|version|page)|send (?:by|this)|e-?mail this|share (?:this|on|via)"
     r"|shared \d+|tell a friend|like what you read|follow us|subscribe to|sign up (?:for|to)|never miss|join (?:our|the) (?:mailing|newsletter)|support \w+.{0,40}: donate|donate\b|article continues|story continues|read (?:also|more|next)\b"
@@ -36,7 +36,7 @@ OPENING = re.compile(
     r"|log ?in\b.{0,25}$|register\b.{0,12}$|leave a (?:comment|reply)|\d+ comments?$|comments? \(\d+\)|powered by|site by|designed by)",
     re.I,
 )
-#: Phrases that make a line furniture wherever they stand in it.
+#: Phrases that make a line furniture wherever they stand in it.
 PHRASE = re.compile(
     r"uses cookies|all rights reserved|without (?:the )?(?:written|prior) consent|is an equal opportunity|is provided as is|without warranty|remembers your preferences|reflect those of|cookies? settings"
     r"|found this useful|was (?:it|this) (?:\w+ )?(?:useful|helpful) to you|desk is closed|rate this|\d+ views\b"
@@ -44,13 +44,13 @@ PHRASE = re.compile(
     re.I,
 )
 WHOLE = re.compile(r"\W*(?:menu|navigation|search(?: \w+)?|advertis(?:e)?ments?|sponsored(?: content)?|ad|ok|close|share|print|top|more|login|print this page|send by e-mail)\W*$", re.I)
-#: Headings that open a list of teasers.
+#: Headings that open a list of teasers.
 ASIDE = re.compile(
     r"\W*(?:most (?:read|popular|viewed)|related (?:articles|posts|stories|links|pages)|recent (?:posts|articles|comments|news)|you (?:may|might) also like|more (?:from|in|on) (?:this|the) \w+|quick ?links|popular (?:posts|articles)"
     r"|latest (?:posts|news|articles)|further reading|editor'?s picks|recommended(?: for you)?|trending(?: now)?|see also|what to read next|in this section|more stories)\W*$",
     re.I,
 )
-#: Entries of site menus.
+#: Entries of site menus.
 MENU = frozenset(
     "home|about|about us|contact|contact us|news|events|people|faculty|staff|students|research|projects|publications|courses|calendar|seminars|jobs|careers|library|help|faq|search|site map|sitemap|directory|maps|map|log in|login|my account|"
     "intranet|wiki|software|software store|downloads|forms|policies|awards|alumni|giving|outreach|partners|photos|gallery|facilities|admissions|undergraduate|graduate|blog|archive|press|media|resources|services|support|overview|academics|"

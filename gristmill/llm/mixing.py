@@ -66,10 +66,16 @@ def solve_rate(above: np.ndarray, wanted: float, cap: int) -> float:
     return (low + high) / 2
 
 
+#: Sources are few, which is checked; so what is collected or broadcast of them is bounded.
+MOST_SOURCES = 10_000
+
+
 def sized(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, tokenizer: str, seed: int) -> DataFrame:
     source = F.lower(F.trim(F.col("source")))
     named = df.where(F.col(id_col).isNotNull()).select(id_col, source.alias("source"), text_col)
     wanted = targets.select(F.lower(F.trim(F.col("source"))).alias("source")).dropDuplicates()
+    if wanted.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError("too many sources")
     counted = token_counts(named.join(F.broadcast(wanted), "source", "left_semi"), [id_col, "source"], text_col, tokenizer)
     return cut(counted.where("n_tokens > 0")).withColumn("u", uniform(seed, id_col))
 

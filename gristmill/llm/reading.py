@@ -35,7 +35,7 @@ SAMPLE = 10_000
 #: A word needs so many graded documents to have a grade, and the running share that marks it as known.
 MIN_DOCS, KNOWN = 4, 0.2
 QUANTILES = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
-#: Frequent function words by language.
+#: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was on are as with by at from this be or which an were our every each one while",
     "de": "der die das und ist nicht mit den dem ein eine auf im zu von des sich wird auch aber oder nach bei als",

@@ -31,7 +31,7 @@ from gristmill.llm.prose import chunks
 from gristmill.operators.components import connected_components
 from gristmill.runtime import cut
 
-#: the forms in which template languages and editors mark a field to be filled.
+#: The forms in which template languages and editors mark a field to be filled.
 FIELD = re.compile(
     r"\{\{[^{}\n]+\}\}|[$#]\{[\w. ]+\}|\$!\{?[A-Za-z]\w*|%\(\w+\)[sd]|%%[A-Z][A-Z_]*%%|\[\[[\w ]+\]\]"
     r"|<%[=-]?[^%\n]+%>|<\?(?:php|=)[^>\n]+\?>|\{%[^%\n]+%\}|@(?:Model|ViewBag)\.\w+|__[A-Z][A-Z_]*[A-Z]__"
@@ -42,7 +42,7 @@ FIELD = re.compile(
 FIELD_SIGNS = ("{", "[", "<", "%", "@", "~", "__", "$!")
 #: Forms whose letters must be capitals; the pattern above ignores case for the others' sake.
 CAPITALS = re.compile(r"^(?:%%|__|~)")
-#: stems of the customary pseudo-Latin filler.
+#: Stems of the customary pseudo-Latin filler.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet conse adipi elit tinci dapib molli sodal bland nibh felis nibhe euism portt augue nulla "
     "turpe turpi quist quis variu massi massa fring ornar fauci sempe viver aenea hendr lacin liber curse cursu ultri "
@@ -55,14 +55,14 @@ SHARED = frozenset(
     "conse inter facil porta place magna tempo tempr liber curse cursu elit nulla bland massi massa molli sit sed justo eros dolor viver sapie vesti felis dui".split()
 )
 LATIN_WORDS = frozenset("lorem ipsum dolor dolore amet".split())
-#: phrases of filler text.
+#: Phrases of filler text.
 FILLER = re.compile(
     r"\b(?:text text|blind text|dummy text|sample text|example content|placeholder (?:copy|text)|filler text|blah blah|asdf|foo bar|qwerty"
     r"|xxxx|tbd tbd|(?:title|subtitle|text|content|heading|story) here|text goes here|replace (?:it|this|me) with your own|test post please ignore)\b"
     r"|^(\w+)(?: \1){2,}\b|^heading \d+\W*$|^(?:null|undefined|nan)(?: (?:null|undefined|nan))*\W*$|^test(?: test)+\b",
     re.I,
 )
-#: phrases of error messages and of notices about access, login, upkeep, loading, scripts and cookies.
+#: Phrases of error messages and of notices about access, login, upkeep, loading, scripts and cookies.
 NOTICE = re.compile(
     r"\b(?:[45]\d\d (?:not found|forbidden|internal server error|bad gateway|service (?:temporarily )?unavailable|unauthorized|gateway time-?out|bad request|gone)"
     r"|error establishing|could not connect to (?:the )?database|failed to load resource|internal error while|traceback \(most recent|undefined (?:index|variable|offset|function)"
@@ -149,7 +149,7 @@ def _automaton(words: frozenset[str]) -> ahocorasick.Automaton:
 #: A segment without any of these holds no filler or notice (but for REPEATED and pseudo-Latin).
 HINTS = _automaton(LITERALS)
 #: Words by which a sentence speaks of something instead of being it: verbs of telling and holding, and
-#: things that tell or are spoken of. General vocabulary (see ``speaks``), of which only long segments are judged.
+#: Things that tell or are spoken of. General vocabulary (see ``speaks``), of which only long segments are judged.
 TELLS = frozenset(
     "says said say tells told tell explains explained explain shows showed show means meant describes described holds held contains stands reads returns "
     "returned teaches taught learned learnt asks asked prints printed quotes quoted mentions discusses discussed "
@@ -502,7 +502,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
 
 
 #: Most bits of a filter of integers (128 MB); fewer for few of them. Filters only save rows: what
-#: passes by chance is dropped by the joins behind them.
+#: Passes by chance is dropped by the joins behind them.
 MOST_BITS, BITS_EACH = 30, 32
 _PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 

@@ -42,7 +42,7 @@ MARK = re.compile(
 #: What matches MARK holds one of these.
 MARK_SIGNS = ("more", "open", "read", "see", "visit", "go to", "click here", "»", "›", "(link)", "sites", "links")
 PART = re.compile(r"\s+[|/·»›•~]+\s+")
-#: Words by which sellers widen search phrases.
+#: Words by which sellers widen search phrases.
 SALES = frozenset(
     "buy cheap best price prices discount affordable online order deal deals coupon coupons sale wholesale free "
     "shipping shop store near me usa uk review reviews comparison top official trusted original download today "

@@ -11,6 +11,24 @@ PHRASES = "cheap vpn deal best vpn deal vpn deal online\n" * 20
 LINKS = "\n".join(f"https://www.site{i}.example/page{i}" for i in range(20))
 
 
+def test_statistics_of_many_texts_are_those_of_each():
+    texts = [PROSE, None, "", TABLE, " \n", PHRASES, LINKS, "“Ünd” der\u00a0Ärger…\r\n• eins\n12) zwei\n\n", "a.\na.\nb", "int the = 1;", "x" * 3000 + " the"]
+    common = prose.hashes_of(COMMON)
+    both = prose.statistics(prose.lines_of([(t or "").encode() for t in texts], common))
+    for k, t in enumerate(texts):
+        assert tuple(x[k].item() for x in both) == prose.stats(t, COMMON), t
+    names = [x.split()[0] for x in prose.STATS.split(", ")]
+    got = dict(zip(names, prose.stats("One two, the end.\n- the bullet ...\n- the bullet ...\n# 7", COMMON), strict=True))
+    assert got["n_words"] == 12 and got["n_common_words"] == 3 and got["bullet_line_share"] == 0.5 and got["ellipsis_line_share"] == 0.5
+    assert got["punctuated_line_share"] == 0.75 and got["duplicate_line_share"] == 0.25 and got["symbol_ratio"] == 0.25
+
+
+def test_found_rows_have_their_reason(spark):
+    df = spark.createDataFrame([(1, PROSE), (2, TABLE), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.reasons for r in prose.with_reasons(prose.with_stats(df, COMMON)).collect()}
+    assert prose.DECIDING in got[2] and prose.DECIDING not in got[1] and got[3] == []
+
+
 def test_natural_share():
     share = lambda t: prose.stats(t, COMMON)[-1]
     assert share(PROSE) == 1 and share(PROSE.upper()) == 1 and share("- " + PROSE.strip().replace(". ", "\n- ")) == 1
