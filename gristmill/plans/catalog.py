@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SCOPE = conf.Scope(domain="mereford.example")
 #: Thresholds so low that each kind of ban, and bans of subtrees, fall in tables of any size.
 LOW = conf.TrapThresholds(min_pages=3, max_urls=40, near_dup_trigger=2, low_value_trigger=3, min_requests=4, error_percent=30, subtree_trigger=2)
+#: Lower still, as a page log has few pages of one pattern.
+LEAST = replace(LOW, max_urls=2, min_pages=1, near_dup_trigger=0, min_words=200, low_value_trigger=1)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +175,7 @@ def streamed_bans(spark, sf_dir):
 
 def replay_bans(spark, sf_dir):
     """Bans that a restart restores from the page log."""
-    return traps.pattern_bans(pagelog.replay(_log(spark, sf_dir)), LOW)
+    return traps.pattern_bans(pagelog.replay(_log(spark, sf_dir)), LEAST)
 
 
 def low_bans(spark, sf_dir):

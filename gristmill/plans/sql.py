@@ -184,6 +184,8 @@ LOGGED = f"logged AS (SELECT {signed('simhash')} AS simhash FROM pagelog)"
 USUAL = {"min_pages": 20, "max_urls": 10000, "trigger": 20, "distance": 3, "min_words": 50, "low": 20, "min_requests": 20, "percent": 80, "subtree": 3}
 LOW = {"min_pages": 3, "max_urls": 40, "trigger": 2, "distance": 3, "min_words": 50, "low": 3, "min_requests": 4, "percent": 30, "subtree": 2}
 
+LEAST = LOW | {"max_urls": 2, "min_pages": 1, "trigger": 0, "min_words": 200, "low": 1}
+
 
 def events(of: str = "trap_events", t: dict = USUAL) -> str:
     return f"""
@@ -340,7 +342,7 @@ FROM responses r LEFT JOIN texts t ON t.resp_id = r.resp_id LEFT JOIN prints p O
 SELECT row_number() OVER (ORDER BY concat(host, '/'), log_id) - 1 AS seq, log_id, host FROM k""",
         "replay_events": f"WITH {REPLAY} SELECT host, pattern, seq, simhash, n_features, dedup_key FROM replayed",
         "low_bans": f"WITH {bans(t=LOW)} SELECT host, pattern, seq, reason FROM bans",
-        "replay_bans": f"WITH {REPLAY}, {bans('replayed', LOW)} SELECT host, pattern, seq, reason FROM bans",
+        "replay_bans": f"WITH {REPLAY}, {bans('replayed', LEAST)} SELECT host, pattern, seq, reason FROM bans",
         "frontier_enqueue": f"""WITH {LINKS}, {STATE},
 found AS (SELECT {url_hash("link")} AS url_hash, link AS url, resp_id * 100000 + pos AS seq FROM links),
 fresh AS (SELECT url_hash, arg_min(url, seq) AS url, min(seq) AS seq FROM found GROUP BY url_hash)
