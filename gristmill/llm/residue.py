@@ -7,26 +7,25 @@ pairs are verified by the Hamming distance of their SimHashes and by the similar
 texts, and trusted labels spread through the connected components. A document is a case if it
 holds a field or a notice, or consists of filler. Null and blank texts are never cases.
 
-All documents are read once: segments, their table keys and SimHashes are found for a whole
-batch of texts at once, on its bytes, and kept (about 90 bytes a segment). Only components that
-hold trusted residue can give a label, so pairs are searched outward from it among the keys kept,
-until nothing new is reached; texts are read again only where keys meet.
+Segments, their table keys and SimHashes are found for a whole batch of texts at once, on its
+bytes. Only components that hold trusted residue can give a label, so pairs are searched outward
+from it, until nothing new is reached: each step holds the keys of the segments found by the last
+one in every task and passes over all texts, whose pairs are verified where they are found.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from re import _parser
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.simhash import distance
 from gristmill.llm.prose import chunks
 from gristmill.operators.components import connected_components
 from gristmill.runtime import cut
@@ -451,205 +450,353 @@ def segments_of(text: str) -> list[tuple[str, int, str, int]]:
     return [(s.text(k), sign, kind, int(s.n_words[k])) for k, sign, kind in trusted(s)]
 
 
-#: Bytes of a segment in ``prints``: identity, SimHash, keys, length, words, whether it is marked.
-_ITEM = np.dtype([("node", "<u8"), ("print", "<u8"), ("keys", "<u4", (BANDS,)), ("size", "<u4"), ("words", "<u4"), ("marked", "u1")])
 _TRUSTED = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("label", pa.int32()), ("kind", pa.string()), ("n_words", pa.int32())]))
-_SCAN = "total bigint, prints binary, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
+_SCAN = "total bigint, trusted array<struct<node:bigint,text:string,label:int,kind:string,n_words:int>>"
+
+
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, words in all, prints of all segments and the trusted segments of every document with segments."""
+    """id, words in all and the trusted segments of every document that has some."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
                 s = segments(texts)
-                if not len(s):
+                told = trusted(s)
+                if not told:
                     continue
-                items = np.zeros(len(s), _ITEM)
-                items["node"], items["print"], items["keys"] = fingerprints(s)
-                items["size"], items["words"], items["marked"] = s.size, s.n_words, s.marked
+                at = np.array([k for k, _, _ in told])
                 rows: dict[int, list[dict]] = {}
-                for k, sign, kind in trusted(s):
-                    one = {"node": int(items["node"][k].astype(np.int64)), "text": s.text(k), "label": sign, "kind": kind, "n_words": int(s.n_words[k])}
+                for (k, sign, kind), node in zip(told, _identities_of(s, at).tolist(), strict=True):
+                    one = {"node": node, "text": s.text(k), "label": sign, "kind": kind, "n_words": int(s.n_words[k])}
                     rows.setdefault(int(s.owner[k]), []).append(one)
-                docs, at = np.unique(s.owner, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(docs + first)),
-                        pa.array(np.add.reduceat(s.n_words, at).astype(np.int64)),
-                        pa.array([x.tobytes() for x in np.split(items, at[1:])], pa.binary()),
-                        pa.array([rows.get(d, []) for d in docs.tolist()], _TRUSTED),
-                    ],
-                    [id_col, "total", "prints", "trusted"],
-                )
+                docs, total = np.fromiter(rows, np.int64, len(rows)), np.bincount(s.owner, s.n_words, len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + first)), pa.array(total[docs]), pa.array(list(rows.values()), _TRUSTED)], [id_col, "total", "trusted"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, {_SCAN}")
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, text, kind) with SimHash and the keys of their texts on their level of length and the next ones."""
+def _identities_of(s: Segments, at: np.ndarray) -> np.ndarray:
+    """Identities of some segments, signed."""
+    return identities(replace(s, owner=s.owner[at], first=s.first[at], last=s.last[at])).view(np.int64)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
-                _, print_, least = _measured(s)
-                keys = np.concatenate([_keys(least, s.size, i) for i in (-1, 0, 1)], axis=1).astype(np.int64)
-                columns = [pa.array(print_.view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "size", "keys"])
 
-    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, size int, keys array<bigint>")
+#: Kinds of signs that are counted: letters, 0, blank, other ASCII, beginnings of other signs; 31 is not counted.
+_KINDS = np.array([c - 97 if 97 <= c <= 122 else 26 if c == 48 else 27 if c == 32 else 28 if c < 128 else 31 if c < 192 else 29 for c in range(256)])
 
 
-#: Most bits of a filter of integers (128 MB); fewer for few of them. Filters only save rows: what
-#: Passes by chance is dropped by the joins behind them.
-MOST_BITS, BITS_EACH = 30, 32
-_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+def _spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
 
 
-def _probe(values: np.ndarray, bits: int, k: int) -> np.ndarray:
-    return _mix(values.astype(np.uint64) * _PROBES[k]) >> np.uint64(64 - bits)
+def _bags(s: Segments, at: np.ndarray) -> np.ndarray:
+    """How many signs of each kind some segments have (up to 255): an edit changes one count up and one down at most."""
+    size = s.last[at] - s.first[at]
+    row = np.repeat(np.arange(len(at)) * 32, size) + _KINDS[s.plain[_spans(size, s.first[at])]]
+    bags = np.minimum(np.bincount(row, minlength=32 * len(at)), 255).astype(np.uint8).reshape(-1, 32)
+    bags[:, 31] = 0
+    return bags
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Bloom filter of a column of integers: three bits for each in a table of BITS_EACH times as many, as far as MOST_BITS goes."""
-    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(BITS_EACH * max(1, values.count()))))))
+#: Segments that are asked from in one pass over the texts, which bounds what a task holds (about 250 bytes each).
+SLICE = 400_000
+#: Pairs looked at together.
+PAIRS = 1 << 20
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate([_probe(batch.column(0).to_numpy(zero_copy_only=False), bits, k) for k in range(len(_PROBES))]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 0x7FFF)], ["part", "k"])
-
-    at = values.select(column).mapInArrow(places, "part bigint, k bigint")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in at.groupBy("part").agg(F.bitmap_construct_agg("k").alias("bits")).toLocalIterator():
-        part = np.frombuffer(r.bits, np.uint8)[: len(out)]
-        out[r.part << 12 : (r.part << 12) + len(part)] = part
+
+@dataclass
+class Front:
+    """Segments that are asked from: identity, SimHash, length, whether a field, what they are known to be linked with
+    (``group``), kinds of signs and text; and their table keys in order, with the segment of each. ``starts``: where the
+    keys of equal leading bits begin."""
+
+    node: np.ndarray
+    print: np.ndarray
+    size: np.ndarray
+    field: np.ndarray
+    group: np.ndarray
+    bag: np.ndarray
+    texts: pa.Array
+    keys: np.ndarray
+    who: np.ndarray
+    shift: int
+    starts: np.ndarray
+
+
+def _front(table: pa.Table, print_: np.ndarray, size: np.ndarray, bag: np.ndarray, keys: np.ndarray) -> Front:
+    column = lambda name: table.column(name).combine_chunks()
+    order = np.argsort(keys.ravel(), kind="stable")
+    ranked = keys.ravel()[order].astype(np.uint32)
+    bits = int(min(24, max(8, np.ceil(np.log2(1 + len(order))))))
+    starts = np.searchsorted(ranked >> np.uint32(32 - bits), np.arange((1 << bits) + 1)).astype(np.int32)
+    field = np.array(column("kind").to_pylist(), object) == "field"
+    node, group = column("node").to_numpy().view(np.uint64), column("group").to_numpy()
+    return Front(node, print_, size, field, group, bag, column("text"), ranked, (order // keys.shape[1]).astype(np.int32), 32 - bits, starts)
+
+
+def front_of(asked: DataFrame) -> Front:
+    """``asked`` (node, text, kind, group), SLICE rows at most, for the tasks."""
+    table, parts = asked.select("node", "text", "kind", "group").toArrow(), []
+    for batch in table.to_batches():
+        for _, texts in chunks(batch.column(1)):
+            s = segments(texts, sentences=False)
+            _, print_, least = _measured(s)
+            parts.append((print_, s.size, _bags(s, np.arange(len(s))), _keys(least, s.size)))
+    return _front(table, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _within_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """The most edits that leave texts of these lengths similar enough."""
+    return np.floor((1 - similarity) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def _met(front: Front, node: np.ndarray, print_: np.ndarray, size: np.ndarray, marked: np.ndarray, keys: np.ndarray, barred: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of segments (numbers, not ``barred``) and of ``front`` that share a key, whose SimHashes are within ``most``
+    and whose lengths allow for the similarity."""
+    width, bucket = keys.shape[1], (keys.ravel() >> np.uint32(front.shift)).astype(np.int64)
+    low = front.starts[bucket]
+    n = (front.starts[bucket + 1] - low).astype(np.int64)
+    n.reshape(-1, width)[barred] = 0
+    hits = np.flatnonzero(n)
+    ends, out, at = np.cumsum(n[hits]), [np.zeros((0, 2), np.int64)], 0
+    while at < len(hits):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        hit = hits[at:to]
+        entry, by = _spans(n[hit], low[hit].astype(np.int64)), np.repeat(hit, n[hit])
+        same = front.keys[entry] == keys.ravel()[by]
+        i, j = by[same] // width, front.who[entry[same]].astype(np.int64)
+        near = np.bitwise_count(print_[i] ^ front.print[j]) <= most
+        i, j = i[near], j[near]
+        close = (np.abs(size[i] - front.size[j]) <= _within_reach(size[i], front.size[j], similarity)) & (node[i] != front.node[j]) & (~front.field[j] | marked[i])
+        out.append(np.stack([i[close], j[close]], 1))
+        at = to
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Which pairs of texts are within the edit distance that ``similarity`` allows for their lengths. All pairs are
+    gone through together, along the diagonals that so few edits can reach."""
+    out = np.zeros(len(left), bool)
+    sizes = np.array([[len(a), len(b)] for a, b in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    most, order = _within_reach(sizes[:, 0], sizes[:, 1], similarity), np.argsort(sizes.max(1), kind="stable")
+    at = 0
+    while at < len(order):
+        room = max(1, PAIRS // (3 * int(sizes[order[at]].max()) + 8))
+        part = order[at : at + room]
+        part = part[sizes[part].max(1) <= 1.3 * sizes[part[0]].max() + 8]
+        at += len(part)
+        out[part] = _edits([left[k] for k in part], [right[k] for k in part], sizes[part], most[part])
     return out
 
 
-def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values may be in the filter; later bits are looked up only of those that pass the earlier ones."""
-    flat, bits = values.ravel(), 3 + len(table).bit_length() - 1
-    kept = np.arange(len(flat))
-    for k in range(len(_PROBES)):
-        at = _probe(flat[kept], bits, k)
-        kept = kept[(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0]
-    out = np.zeros(len(flat), bool)
-    out[kept] = True
-    return out.reshape(values.shape)
+def _edits(left: list[str], right: list[str], sizes: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most ``most``; entry k of a row is the diagonal k - reach."""
+    reach, (long, wide) = int(most.max()), sizes.max(0)
+    a, b = np.full((len(left), long), -1, np.int32), np.full((len(left), reach + max(long, wide) + reach + 1), -2, np.int32)
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        a[k, : len(x)] = np.frombuffer(x.encode("utf-32-le", "replace"), np.int32)
+        b[k, reach : reach + len(y)] = np.frombuffer(y.encode("utf-32-le", "replace"), np.int32)
+    out, live, steps = np.zeros(len(left), bool), np.arange(len(left)), np.arange(2 * reach + 1, dtype=np.int32)
+    far = np.int32(1 << 29)
+    row = np.tile(np.where(steps >= reach, steps - reach, far), (len(left), 1))
+    for i in range(long + 1):
+        if i:
+            row = row + (a[:, i - 1 : i] != b[:, i - 1 : i + 2 * reach])
+            row[:, :-1] = np.minimum(row[:, :-1], last[:, 1:] + 1)
+            row = np.minimum.accumulate(row - steps, axis=1) + steps
+        ended = np.flatnonzero(sizes[:, 0] == i)
+        if len(ended):
+            apart = sizes[ended, 1] - i
+            inner = np.abs(apart) <= most[ended]
+            out[live[ended[inner]]] = row[ended[inner], apart[inner] + reach] <= most[ended[inner]]
+        if len(ended) or i % 8 == 7:
+            keep = (sizes[:, 0] > i) & (row.min(1) <= most)
+            row, a, b, sizes, most, live = row[keep], a[keep], b[keep], sizes[keep], most[keep], live[keep]
+            if not len(live):
+                break
+        last = row
+    return out
+
+
+def _may_meet(front: Front, s: Segments, similarity: float) -> Segments:
+    """The segments whose length allows for a pair with one of ``front``, with their folded bytes only."""
+
+    def fits(ranked: np.ndarray) -> np.ndarray:
+        if not len(ranked):
+            return np.zeros(len(s), bool)
+        k = np.searchsorted(ranked, s.size)
+        ends = ranked[np.minimum(k, len(ranked) - 1)], ranked[np.maximum(k - 1, 0)]
+        return np.logical_or.reduce([np.abs(s.size - x) <= _within_reach(s.size, x, similarity) for x in ends])
 
+    at = np.flatnonzero(fits(np.unique(front.size[~front.field])) | (s.marked & fits(np.unique(front.size[front.field]))))
+    if len(at) == len(s):
+        return s
+    size = s.last[at] - s.first[at]
+    first = np.cumsum(size + 2) - size - 1
+    parts = {k: getattr(s, k)[at] for k in ("owner", "start", "end", "n_words", "size", "marked", "suspect")}
+    return Segments(raw=s.raw, plain=np.r_[s.plain[_spans(size + 2, s.first[at] - 1)], np.uint8(32)], first=first, last=first + size, **parts)
 
-def _met(scan: DataFrame, id_col: str, plain: np.ndarray, fields: np.ndarray) -> DataFrame:
-    """(id, total, node, print, size, n_words, marked, keys) of every segment with a key among those of ``plain``, or, if it
-    is marked, of ``fields``."""
-    sent = scan.sparkSession.sparkContext.broadcast((plain, fields))
-    names = [id_col, "total", "node", "print", "size", "n_words", "marked", "keys"]
+
+def _linked(front: Front, s: Segments, told: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(identities of all segments; segment and group of each link): the segments that a pair links to each group.
+    Candidates of a group are compared from the nearest on, until one is similar enough."""
+    node, print_, least = _measured(s)
+    keys = np.concatenate([_keys(least, s.size, i) for i in (-1, 0, 1)], axis=1)
+    i, j = _met(front, node, print_, s.size, s.marked, keys, _among(node, told)[0], similarity, MAX_DISTANCE)
+    if len(i):
+        some, row = np.unique(i, return_inverse=True)
+        bags = _bags(s, some).astype(np.int16)
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), PAIRS // 16):
+            part = slice(k, k + PAIRS // 16)
+            more = bags[row[part]] - front.bag[j[part]]
+            least_edits = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+            keep[part] = least_edits <= _within_reach(s.size[i[part]], front.size[j[part]], similarity)
+        # Both ends in one group: they are linked already.
+        own, place = _among(node[i], np.sort(front.node))
+        keep &= ~(own & (front.group[np.argsort(front.node, kind="stable")[place]] == front.group[j]))
+        i, j = i[keep], j[keep]
+    group = front.group[j]
+    order = np.lexsort((np.bitwise_count(print_[i] ^ front.print[j]), group, i))
+    i, j, group = i[order], j[order], group[order]
+    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (group[1:] != group[:-1])]) if len(i) else i
+    at, end, found, left, step = begin.copy(), np.r_[begin[1:], len(i)], np.zeros(len(begin), bool), np.arange(len(begin)), 1
+    texts: dict[int, str] = {}
+    while len(left):
+        n = np.minimum(step, end[left] - at[left])
+        pairs, of = _spans(n, at[left]), np.repeat(left, n)
+        for k in np.unique(i[pairs]).tolist():
+            texts[k] = texts.get(k) or s.text(k)
+        good = alike([texts[k] for k in i[pairs].tolist()], front.texts.take(pa.array(j[pairs])).to_pylist(), similarity)
+        found[of[good]] = True
+        at[left] += n
+        left, step = left[~found[left] & (at[left] < end[left])], min(2 * step, 1024)
+    return node, i[begin[found]], group[begin[found]]
+
+
+def _among(values: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is among ranked ones, and its place."""
+    if not len(ranked):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    place = np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)
+    return ranked[place] == values, place
+
+
+def neighbours(df: DataFrame, id_col: str, text_col: str, front: Front, told: np.ndarray, similarity: float) -> DataFrame:
+    """(id, total, node, n_words, text, groups) of every segment of every document, but for the identities ``told``, that a
+    pair links to a segment of ``front``; ``groups``: those it is linked to."""
+    sent = df.sparkSession.sparkContext.broadcast((front, told))
+    names = [id_col, "total", *_ROWS[1:], "text", "groups"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, fields = sent.value
+        front, told = sent.value
         for batch in batches:
-            items = [np.frombuffer(x, _ITEM) for x in batch.column(2).to_pylist()]
-            sizes = np.fromiter(map(len, items), np.int64, len(items))
-            if not sizes.sum():
-                continue
-            flat = np.concatenate(items)
-            hit = _passes(plain, flat["keys"]) | (_passes(fields, flat["keys"]) & (flat["marked"] > 0)[:, None])
-            kept = np.flatnonzero(hit.any(axis=1))
-            if not len(kept):
-                continue
-            row = np.repeat(np.arange(len(items)), sizes)[kept]
-            keys = pa.ListArray.from_arrays(np.r_[0, np.cumsum(hit[kept].sum(axis=1))].astype(np.int32), pa.array(flat["keys"][kept][hit[kept]].astype(np.int64)))
-            some = flat[kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(some["node"].astype(np.int64)), pa.array(some["print"].astype(np.int64)), pa.array(some["size"].astype(np.int32)),
-                    pa.array(some["words"].astype(np.int32)), pa.array(some["marked"] > 0), keys,
-                ],
-                names,
-            )
-
-    kind = scan.schema[id_col].dataType.simpleString()
-    return scan.select(id_col, "total", "prints").mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, print bigint, size int, n_words int, marked boolean, keys array<bigint>")
-
-
-def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the segments ``wanted`` (id, node) in the documents, which are looked up by filters of ids and nodes."""
-    place = F.xxhash64(F.col(id_col))
-    sent = df.sparkSession.sparkContext.broadcast((bitmap(wanted.select(place.alias("p")), "p"), bitmap(wanted.select("node"), "node")))
+            for first, texts in chunks(batch.column(1)):
+                s = segments(texts)
+                totals = np.bincount(s.owner, s.n_words, len(texts)).astype(np.int64)
+                s = _may_meet(front, s, similarity)
+                node, linked, groups = _linked(front, s, told, similarity) if len(s) else (None, [], None)
+                if not len(linked):
+                    continue
+                at, begin = np.unique(linked, return_index=True)
+                total = totals[s.owner[at]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(groups)].astype(np.int32)), pa.array(groups))
+                columns = [pa.array(total), pa.array(node[at].view(np.int64)), pa.array(s.n_words[at].astype(np.int32)), pa.array([s.text(k) for k in at.tolist()]), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.owner[at] + first)), *columns], names)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
+    return found.mapInArrow(find, f"`{id_col}` {kind}, total bigint, node bigint, n_words int, text string, groups array<bigint>")
+
+
+def keyed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, text, kind) with SimHash and the keys of their texts on their level of length and the next ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nodes = sent.value
         for batch in batches:
-            column = batch.column(0).filter(pa.array(_passes(ids, batch.column(1).to_numpy())))
-            for _, texts in chunks(column):
-                s = segments(texts)
-                own = identities(s)
-                kept = np.unique(own, return_index=True)[1]
-                kept = kept[_passes(nodes, own[kept])]
-                if len(kept):
-                    found = [s.text(k) for k in kept.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[kept].astype(np.int64)), pa.array(found)], ["node", "text"])
+            if batch.num_rows:
+                s = segments([x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()], sentences=False)
+                _, print_, least = _measured(s)
+                keys = np.concatenate([_keys(least, s.size, i) for i in (-1, 0, 1)], axis=1).astype(np.int64)
+                columns = [pa.array(print_.view(np.int64)), pa.array(s.size.astype(np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "kind", "print", "size", "keys"])
+
+    return nodes.select("node", "text", "kind").mapInArrow(find, "node bigint, text string, kind string, print bigint, size int, keys array<bigint>")
 
-    got = df.select(text_col, place.alias("_place")).where(F.col(text_col).isNotNull()).mapInArrow(find, "node bigint, text string")
-    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
+def meetings(left: DataFrame, right: DataFrame, similarity: float, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(node, node2) that share a key, whose SimHashes are within ``max_distance`` and whose lengths allow for the
+    similarity (``_met`` for tables). ``left``: node, text, kind, print, size, keys (around), held by every task; ``right``:
+    node, marked, print, size, keys."""
+    table = left.select("node", "text", "kind", F.col("node").alias("group"), "print", "size", "keys").toArrow()
+    arrays = [table.column(c).to_numpy() for c in ("print", "size")]
+    keys = np.array(table.column("keys").to_pylist(), np.int64).astype(np.uint32)
+    front = _front(table, arrays[0].view(np.uint64), arrays[1].astype(np.int64), np.zeros((0, 32), np.uint8), keys)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node, print_, size = (batch.column(k).to_numpy() for k in range(3))
+                keys = np.array(batch.column(4).to_pylist(), np.int64).astype(np.uint32)
+                marked = batch.column(3).to_numpy(zero_copy_only=False)
+                i, j = _met(front, node.view(np.uint64), print_.view(np.uint64), size.astype(np.int64), marked, keys, np.zeros(len(node), bool), similarity, max_distance)
+                yield pa.RecordBatch.from_arrays([pa.array(front.node[j].view(np.int64)), pa.array(node[i])], ["node", "node2"])
 
-def _marked(column: str) -> Column:
-    return F.col(column).rlike(r"[{\[<~_]")
+    return right.select("node", "print", "size", "marked", "keys").mapInArrow(find, "node bigint, node2 bigint").distinct()
 
 
 def near_pairs(met: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """(node, node2) of the pairs ``met`` whose texts are similar enough. ``left``, ``right``: node, text.
-    An unfilled field and a text without any mark of one are never a pair, as the latter is the filled copy."""
-    both = met.join(left.select("node", "kind", "text"), "node").join(right.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
-    most = f"cast(floor({1 - similarity!r} * greatest(length(text), length(text2)) + 1e-9) as int)"
-    close = both.where((F.col("kind") != "field") | _marked("text2"))
-    return close.where(F.expr(f"levenshtein(text, text2, {most}) >= 0")).select("node", "node2")
+    """(node, node2) of the pairs ``met`` whose texts are similar enough. ``left``, ``right``: node, text."""
+    both = met.join(left.select("node", "text"), "node").join(right.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["node", "node2"]).filter(pa.array(alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
 
-def meetings(left: DataFrame, right: DataFrame, similarity: float, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(node, node2) that share a key, whose SimHashes are within ``max_distance`` and whose lengths allow for
-    the similarity. ``left``: node, kind, print, size, keys (around); ``right``: node, marked, print, size, keys."""
-    one = left.select("node", "kind", "print", "size", F.explode("keys").alias("key"))
-    two = right.select(F.col("node").alias("node2"), "marked", F.col("print").alias("print2"), F.col("size").alias("size2"), F.explode("keys").alias("key")).distinct()
-    met = one.join(two, "key").where(F.col("node") != F.col("node2")).where((F.col("kind") != "field") | F.col("marked"))
-    close = F.abs(F.col("size") - F.col("size2")) <= (1 - similarity) * F.greatest("size", "size2") + 1e-9
-    return met.where(close & (distance(F.col("print"), F.col("print2")) <= max_distance)).select("node", "node2").distinct()
+    return both.select("node", "node2", "text", "text2").mapInArrow(find, "node bigint, node2 bigint")
 
 
 _ROWS = ("total", "node", "n_words")
 
 
-def reached(df: DataFrame, scan: DataFrame, id_col: str, text_col: str, nodes: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
+def reached(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
     """(rows, edges): (id, total, node, n_words) of the open segments that pairs link, over any number of
-    steps, to trusted residue, and all pairs (a, b) found; None if there are none.
+    steps, to trusted residue, and links (a, b) that tell their components; None if there are none.
 
-    All segments of all documents are searched; each step asks the kept keys for the neighbours of
-    the segments found by the last one. ``nodes``: node, text, label, kind of the trusted segments.
+    All segments of all documents are searched; each step asks for the neighbours of the segments found
+    by the last one, SLICE at a time. ``nodes``: node, text, label, kind of the trusted segments.
     Pairs of two segments with a trusted label tell nothing and are not made, so families of variants
     of one notice do not meet among themselves; open segments meet all but trusted residue, as those
-    that speak about it bar them.
+    that speak about it bar them. Segments that were found from one group are linked with one another, so
+    a step looks for one link of a segment to each group, not for all pairs.
     """
-    known, front, rows, edges = nodes.select("node"), nodes.where("label = 1").select("node", "text", "kind"), None, None
-    told = nodes.select("node")
-    while not front.isEmpty():
-        left = cut(keyed(front))
-        keys = left.select("kind", F.explode("keys").alias("key"))
-        met = cut(_met(scan, id_col, bitmap(keys.where("kind <> 'field'"), "key"), bitmap(keys.where("kind = 'field'"), "key")))
-        open_ = met.join(told, "node", "left_anti")
-        pairs = cut(meetings(left, open_, similarity))
-        told = nodes.where("label = 1").select("node")
-        wanted = met.select(id_col, "node").join(pairs.select(F.col("node2").alias("node")).distinct(), "node", "left_semi")
-        right = cut(_texts(df, id_col, text_col, wanted.groupBy("node").agg(F.min(id_col).alias(id_col))))
-        close = cut(near_pairs(pairs, left, right, similarity))
-        edges = close if edges is None else edges.union(close)
-        new = cut(close.select(F.col("node2").alias("node")).distinct().join(known, "node", "left_anti"))
-        found = met.join(new, "node", "left_semi").select(id_col, *_ROWS)
-        rows = cut(found) if rows is None else rows.union(cut(found))
-        known = known.union(new)
-        front = cut(right.join(new, "node", "left_semi").select("node", "text", F.lit("").alias("kind")))
-    return None if edges is None or edges.isEmpty() else (rows, edges.select(F.col("node").alias("a"), F.col("node2").alias("b")))
+    ids = lambda x: np.sort(x.select("node").toArrow().column(0).to_numpy().view(np.uint64))
+    told, residue_only = ids(nodes), ids(nodes.where("label = 1"))
+    known, rows, edges = nodes.select("node"), None, None
+    front = nodes.where("label = 1").select("node", "text", "kind", F.col("node").alias("group"))
+    while (n := front.count()) > 0:
+        new, parts = None, -(-n // SLICE)
+        for part in range(parts):
+            asked = front.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part)
+            if asked.isEmpty():
+                continue
+            some = front_of(asked)
+            found = cut(neighbours(df, id_col, text_col, some, told, similarity))
+            if found.isEmpty():
+                continue
+            links = found.select(F.explode("groups").alias("a"), F.col("node").alias("b")).distinct()
+            edges = links if edges is None else edges.union(links)
+            fresh = cut(found.groupBy("node").agg(F.first("text").alias("text"), F.min(F.array_min("groups")).alias("group")).join(known, "node", "left_anti"))
+            own = found.join(fresh.select("node"), "node", "left_semi").select(id_col, *_ROWS)
+            rows = own if rows is None else rows.union(own)
+            known = known.union(fresh.select("node"))
+            new = fresh if new is None else new.union(fresh)
+        if new is None:
+            break
+        front, told = new.select("node", "text", F.lit("").alias("kind"), "group"), residue_only
+    return None if edges is None else (rows, edges)
 
 
 def spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -670,11 +817,11 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sprea
 
     ``spreading``: whether labels spread to near copies of trusted segments.
     """
-    scan = cut(scanned(df, id_col, text_col))
-    rows = scan.select(id_col, "total", F.explode("trusted").alias("s")).select(id_col, "total", "s.*")
+    scan = scanned(df, id_col, text_col)
+    rows = cut(scan.select(id_col, "total", F.explode("trusted").alias("s")).select(id_col, "total", "s.*"))
     nodes = cut(rows.groupBy("node").agg(F.first("text").alias("text"), F.max("label").alias("label"), F.max("kind").alias("kind")))
     told = rows.select(id_col, *_ROWS, "label", "kind")
-    more = reached(df, scan, id_col, text_col, nodes) if spreading else None
+    more = reached(df, id_col, text_col, nodes) if spreading else None
     if more is not None:
         opened = more[0].join(spread(nodes, more[1]), "node")
         told = told.union(opened.select(id_col, *_ROWS, "spread_label", "spread_kind"))

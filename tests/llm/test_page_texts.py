@@ -200,6 +200,45 @@ def test_all_segments_are_searched(spark):
     assert got == {1: "notice", 2: "notice", 3: "notice", 4: "notice", 5: "field", 8: "notice", 9: "notice", 10: "notice"}
 
 
+def test_edit_distances_of_many_pairs():
+    import random
+
+    rng, left, right = random.Random(4), [], []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 2, 7, 20, 60, 130])))
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        left.append(a)
+        right.append("".join(b))
+    got = residue.alike(left, right, 0.8).tolist()
+    want = [_edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in zip(left, right, strict=True)]
+    assert got == want and 50 < sum(want) < 350
+
+
+def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Of many variants of one sentence, each is linked to what is known to be one group by one comparison, not by all; slices of a
+    step and pieces of a batch lose nothing."""
+    asked = []
+    alike = residue.alike
+    monkeypatch.setattr(residue, "alike", lambda a, b, t: asked.append(len(a)) or alike(a, b, t))
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in ("arn", "eld", "oss", "irk", "unt")]
+    texts = [f"{n} told us that the shop behind the old mill is closed for repairs".encode() for n in names]
+    s = residue.segments(texts)
+    front = residue.front_of(spark.createDataFrame([(k, s.text(k), "", 7) for k in range(25)], "node bigint, text string, kind string, group bigint"))
+    node, linked, groups = residue._linked(front, s, np.zeros(0, np.uint64), 0.8)
+    assert linked.tolist() == list(range(50)) and set(groups.tolist()) == {7} and sum(asked) < 100
+    few = residue._may_meet(front, residue.segments([*texts, b"short one", PROSE.encode()]), 0.8)
+    assert [few.text(k) for k in range(50)] == [s.text(k) for k in range(50)] and (residue.identities(few)[:50] == node).all()
+    rows = [(i, f"It may have been moved to {n}.") for i, n in enumerate(names)] + [(100 + i, PROSE + f"\nIt might have been moved to {n}.") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {tuple(r) for r in residue.residue(df).collect()}
+    monkeypatch.setattr(residue, "SLICE", 7)
+    monkeypatch.setattr(residue, "PAIRS", 64)
+    assert {r[0] for r in whole} == {r[0] for r in rows} and {tuple(r) for r in residue.residue(df).collect()} == whole
+
+
 PAGE = """Skip navigation
 Retragi Lab
 Menu
