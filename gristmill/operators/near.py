@@ -1,4 +1,8 @@
-"""Near-duplicate SimHash values, exact within a distance, by blocks that must agree."""
+"""Near-duplicate SimHash values, exact within a distance, by blocks that must agree.
+
+Tables of keys are merged, never broadcast: a value has (k + 1)**2 keys, but Spark takes an exploded
+array for one row when it estimates a size, and would send a table of gigabytes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def near_values(values: DataFrame, column: str = "simhash", k: int = 3) -> DataF
     """
     v = values.select(F.col(column).alias("v")).where("v is not null").distinct()
     keyed = v.select("v", F.explode(table_keys(F.col("v"), k)).alias("t")).select("v", "t.*")
-    pairs = keyed.join(keyed.withColumnRenamed("v", "w"), ["block", "bits", "part", "rest"]).where("v < w")
+    pairs = keyed.hint("merge").join(keyed.withColumnRenamed("v", "w"), ["block", "bits", "part", "rest"]).where("v < w")
     apart = distance(F.col("v"), F.col("w"))
     return pairs.where(apart <= k).select(F.col("v").alias("value_a"), F.col("w").alias("value_b"), apart.alias("distance")).distinct()
 
@@ -34,6 +38,6 @@ def search(queries: DataFrame, index: DataFrame, column: str = "simhash", k: int
     left = asked.select("asked", F.explode(table_keys(F.col("asked"), k)).alias("t")).select("asked", "t.*")
     right = counted.select("value", F.explode(table_keys(F.col("value"), k)).alias("t")).select("value", "t.*")
     apart = distance(F.col("asked"), F.col("value"))
-    met = left.join(right, ["block", "bits", "part", "rest"]).where(apart <= k).select("asked", "value", apart.alias("distance")).distinct()
+    met = left.hint("merge").join(right, ["block", "bits", "part", "rest"]).where(apart <= k).select("asked", "value", apart.alias("distance")).distinct()
     found = met.join(counted, "value").withColumnRenamed("asked", column)
     return q.join(found, column)

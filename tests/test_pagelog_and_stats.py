@@ -74,6 +74,15 @@ def test_statistics_of_nothing(spark, pages):
     assert stats.longest_page(first).count() == 0 and "(none)" in stats.report(first, stop)
 
 
+def test_tables_of_keys_are_never_broadcast(spark):
+    """Their size is underestimated, as a value has 16 keys, so a threshold wouldn't hold them off the driver."""
+    df = spark.range(50).selectExpr("id as n", "xxhash64(id) as simhash")
+    for found in (near.near_values(df), near.search(df, df)):
+        found.collect()
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [block#" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_near_values_equal_brute_force(spark):
     import random
 
