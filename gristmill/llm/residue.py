@@ -509,7 +509,7 @@ PAIRS = 1 << 20
 class Front:
     """Segments that are asked from: identity, SimHash, length, whether a field, what they are known to be linked with
     (``group``), kinds of signs and text; and their table keys in order, with the segment of each. ``starts``: where the
-    keys of equal leading bits begin."""
+    keys of equal leading bits begin; ``seen``: by more leading bits, whether there is such a key at all."""
 
     node: np.ndarray
     print: np.ndarray
@@ -522,6 +522,7 @@ class Front:
     who: np.ndarray
     shift: int
     starts: np.ndarray
+    seen: np.ndarray
 
 
 def _front(table: pa.Table, print_: np.ndarray, size: np.ndarray, bag: np.ndarray, keys: np.ndarray) -> Front:
@@ -529,10 +530,12 @@ def _front(table: pa.Table, print_: np.ndarray, size: np.ndarray, bag: np.ndarra
     order = np.argsort(keys.ravel(), kind="stable")
     ranked = keys.ravel()[order].astype(np.uint32)
     bits = int(min(24, max(8, np.ceil(np.log2(1 + len(order))))))
+    seen = np.zeros(1 << min(27, bits + 5), bool)
+    seen[ranked >> np.uint32(32 - min(27, bits + 5))] = True
     starts = np.searchsorted(ranked >> np.uint32(32 - bits), np.arange((1 << bits) + 1)).astype(np.int32)
     field = np.array(column("kind").to_pylist(), object) == "field"
     node, group = column("node").to_numpy().view(np.uint64), column("group").to_numpy()
-    return Front(node, print_, size, field, group, bag, column("text"), ranked, (order // keys.shape[1]).astype(np.int32), 32 - bits, starts)
+    return Front(node, print_, size, field, group, bag, column("text"), ranked, (order // keys.shape[1]).astype(np.int32), 32 - bits, starts, np.packbits(seen, bitorder="little"))
 
 
 def front_of(asked: DataFrame) -> Front:
@@ -554,25 +557,26 @@ def _within_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray
 def _met(front: Front, node: np.ndarray, print_: np.ndarray, size: np.ndarray, marked: np.ndarray, keys: np.ndarray, barred: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of segments (numbers, not ``barred``) and of ``front`` that share a key, whose SimHashes are within ``most``
     and whose lengths allow for the similarity."""
-    width, bucket = keys.shape[1], (keys.ravel() >> np.uint32(front.shift)).astype(np.int64)
-    low = front.starts[bucket]
-    n = (front.starts[bucket + 1] - low).astype(np.int64)
-    n.reshape(-1, width)[barred] = 0
-    hits = np.flatnonzero(n)
-    ends, out, at = np.cumsum(n[hits]), [np.zeros((0, 2), np.int64)], 0
+    width, flat = keys.shape[1], keys.ravel()
+    place = flat >> np.uint32(30 - len(front.seen).bit_length())
+    hits = np.flatnonzero((front.seen[place >> np.uint32(3)] >> (place & np.uint32(7)).astype(np.uint8)) & 1)
+    hits = hits[~barred[hits // width]]
+    bucket = (flat[hits] >> np.uint32(front.shift)).astype(np.int64)
+    low = front.starts[bucket].astype(np.int64)
+    n = front.starts[bucket + 1] - low
+    ends, out, at = np.cumsum(n), [np.zeros(0, np.int64)], 0
     while at < len(hits):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-        hit = hits[at:to]
-        entry, by = _spans(n[hit], low[hit].astype(np.int64)), np.repeat(hit, n[hit])
-        same = front.keys[entry] == keys.ravel()[by]
+        entry, by = _spans(n[at:to], low[at:to]), np.repeat(hits[at:to], n[at:to])
+        same = front.keys[entry] == flat[by]
         i, j = by[same] // width, front.who[entry[same]].astype(np.int64)
         near = np.bitwise_count(print_[i] ^ front.print[j]) <= most
         i, j = i[near], j[near]
         close = (np.abs(size[i] - front.size[j]) <= _within_reach(size[i], front.size[j], similarity)) & (node[i] != front.node[j]) & (~front.field[j] | marked[i])
-        out.append(np.stack([i[close], j[close]], 1))
+        out.append(np.unique(i[close] * len(front.node) + j[close]))
         at = to
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs = np.unique(np.concatenate(out))
+    return pairs // len(front.node), pairs % len(front.node)
 
 
 def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:

@@ -217,6 +217,22 @@ def test_edit_distances_of_many_pairs():
     assert got == want and 50 < sum(want) < 350
 
 
+def test_keys_are_looked_up_by_their_leading_bits(spark):
+    """All pairs that share a key are met; nearly all keys that no asking segment has are dismissed without a look at the lists."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("arn", "eld", "oss", "irk", "unt")]
+    s = residue.segments([" ".join(rng.choice(words, 6)).encode() for _ in range(400)])
+    front = residue.front_of(spark.createDataFrame([(k, s.text(k), "", k) for k in range(0, 400, 4)], "node bigint, text string, kind string, group bigint"))
+    node, print_, least = residue._measured(s)
+    keys = np.concatenate([residue._keys(least, s.size, i) for i in (-1, 0, 1)], axis=1)
+    i, j = residue._met(front, node, print_, s.size, s.marked, keys, np.arange(400) % 5 == 0, 0.8, 64)
+    own = residue._keys(least, s.size)[::4]
+    met = (keys[:, None, :, None] == own[None, :, None, :]).any((2, 3)) & (np.abs(s.size[:, None] - front.size) <= 0.2 * np.maximum(s.size[:, None], front.size) + 1e-9)
+    met[::5] = False
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(met)), strict=True)) and len(i) > 400
+    assert np.unpackbits(front.seen).sum() <= len(front.keys) <= len(front.seen) * 8 / 32
+
+
 def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
     """Of many variants of one sentence, each is linked to what is known to be one group by one comparison, not by all; slices of a
     step and pieces of a batch lose nothing."""
