@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -154,22 +155,48 @@ def levels(rows: list[list[float] | None], model: Model) -> list[int | None]:
 LEVEL = "level int, n_known bigint, english boolean"
 
 
+class Measure:
+    """Level, known words and language of many texts at once. Words are numbered by their grade, so the
+    numbers of a text's words in order give its grades in order."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        ranked = sorted(model.grades, key=model.grades.get)
+        others = sorted(_LANGUAGES.keys() - model.grades.keys())
+        self.known, self.number = len(ranked), {w: k for k, w in enumerate([*ranked, *others])}
+        self.grade = np.array([model.grades[w] for w in ranked], float)
+        self.said = {k: np.array([w in words for w in self.number], bool) for k, words in WORDS_OF.items()}
+
+    def __call__(self, texts: list) -> list[pa.Array]:
+        n, size, number = len(texts), len(self.number), self.number
+        found = [[k for k in map(number.get, words_of(text)) if k is not None] for text in texts]
+        of = np.repeat(np.arange(n), np.fromiter(map(len, found), np.int64, n))
+        codes = np.sort(of * size + np.fromiter(chain.from_iterable(found), np.int64, len(of)))
+        of, words = codes // size, codes % size
+        said = {k: np.bincount(of[marks[words]], minlength=n) for k, marks in self.said.items()}
+        english = said["en"] > np.maximum(np.maximum(said["de"], said["fr"]), said["es"])
+        graded = words < self.known
+        codes, of, grades = codes[graded], of[graded], self.grade[words[graded]]
+        fresh = np.r_[True, np.diff(codes) > 0] if len(codes) else np.zeros(0, bool)
+        parts = [_spreads(grades[x], np.searchsorted(of[x], np.arange(n + 1))) for x in (fresh, slice(None))]
+        rows = [a + b if a else None for a, b in zip(*parts, strict=True)]
+        known = np.bincount(of, minlength=n)
+        return [pa.array(levels(rows, self.model), pa.int32()), pa.array(known.astype(np.int64)), pa.array(english)]
+
+
+def _spreads(grades: np.ndarray, bounds: np.ndarray) -> list[list[float]]:
+    """``_spread`` of each text's grades, which are in order; empty without any."""
+    last = np.diff(bounds) - 1
+    some = last >= 0
+    at = bounds[:-1][some][:, None] + np.round(last[some][:, None] * np.array(QUANTILES)).astype(np.int64)
+    picked, values = iter(grades[at].tolist()), grades.tolist()
+    return [[*next(picked), sum(values[a:b]) / (b - a)] if a < b else [] for a, b in pairwise(bounds.tolist())]
+
+
 def measurer(spark: SparkSession, model: Model) -> Callable[[list], list[pa.Array]]:
     """A function of texts that gives the columns of LEVEL; the model is bounded by its sample."""
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(texts: list) -> list[pa.Array]:
-        model = shared.value
-        rows, known, english = [], [], []
-        for text in texts:
-            words = words_of(text)
-            running = [g for g in map(model.grades.get, words) if g is not None]
-            known.append(len(running))
-            rows.append(_described(words, running, model.grades))
-            english.append(is_english(words))
-        return [pa.array(levels(rows, model), pa.int32()), pa.array(known, pa.int64()), pa.array(english, pa.bool_())]
-
-    return measure
+    shared = spark.sparkContext.broadcast(Measure(model))
+    return lambda texts: shared.value(texts)
 
 
 def with_level(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -316,6 +316,17 @@ def test_reading_levels(spark):
     assert reading.with_level(df, none).where("level is not null").count() == 0
 
 
+def test_levels_of_many_texts_are_those_of_each():
+    grades = {"cat": 1.0, "dog": 1.25, "the": 0.5, "budget": 3.1, "lattice": 4.7, "von": 4.7}
+    model = reading.Model(grades, [np.r_[-2.0, np.full(16, 0.1)], np.r_[-4.0, np.full(16, 0.1)]], [1, 2, 3])
+    texts = ["the cat and the dog", None, "", "zzz", "der die das cat", "Lattice of the von budget; THE cat", "une café les lattice dog dog dog dog"] * 3
+    level, known, english = (x.to_pylist() for x in reading.Measure(model)(texts))
+    words = [reading.words_of(t) for t in texts]
+    assert level == reading.levels([reading.quantiles(w, grades) for w in words], model) and len(set(level)) > 2
+    assert known == [sum(x in grades for x in w) for w in words] and english == [reading.is_english(w) for w in words]
+    assert [x.to_pylist() for x in reading.Measure(reading.Model({}, [], []))(["the cat", ""])] == [[None, None], [0, 0], [True, False]]
+
+
 def test_extra_columns_do_no_harm(spark):
     df = spark.createDataFrame([(1, PROSE, "http://h.example/")], "doc_id bigint, text string, fetch_url string")
     wide = df.withColumn("_site", F.lit(1)).withColumn("n_words", F.lit(2)).withColumn("label", F.lit(3)).withColumn("place", F.lit(4))
